@@ -2,12 +2,59 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarry.llm import quality_rules, secrets
-from quarry.llm.shared import table
+from quarry.llm import bpe, classifier, quality_rules, records, secrets, sharding
+from quarry.llm.shared import small_batches, table
+
+#: Vocabulary of the tokenizing queries; a parameter of the operators.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sharded = sharding.shard(table(spark, sf_dir, "documents"), 8)
+    return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = classifier.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, manifest = records.write_tokens(table(spark, sf_dir, "documents"), VOCABULARY)
+    return records.read_back(spark, folder, manifest)
+
+
+def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    path = VOCABULARY
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in bpe.grouped(batches):
+            v = bpe.vocabulary(path)
+            ids, at = bpe.encode_all(t.column("text"), bpe.by_index(v))
+            raw = ids.astype("<u4").tobytes()
+            cuts = at.tolist()
+            sha = lambda x: hashlib.sha256(x).hexdigest()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    t.column("doc_id").combine_chunks(),
+                    pa.array(np.diff(at), pa.int64()),
+                    pa.array([sha(raw[4 * a : 4 * b]) for a, b in zip(cuts, cuts[1:], strict=False)]),
+                    pa.array([sha(bpe.decode(v, ids[a:b]).encode()) for a, b in zip(cuts, cuts[1:], strict=False)]),
+                ],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
+
+    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +68,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_shard": op1_shard,
+    "op2_quality_classifier": op2_quality_classifier,
+    "op3_token_records": op3_token_records,
+    "op9_bpe_round_trip": op9_bpe_round_trip,
     "op4_secret_scan": op4_secret_scan,
     "op10_quality_rules": op10_quality_rules,
 }
