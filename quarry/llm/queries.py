@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, classifier, quality_rules, records, secrets, sharding
-from quarry.llm.shared import small_batches, table
+from quarry.llm import bpe, classifier, packing, quality_rules, records, secrets, sharding, warc_zip
+from quarry.llm.shared import small_batches, table, written
 
 #: Vocabulary of the tokenizing queries; a parameter of the operators.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -33,6 +33,16 @@ def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_back(spark, folder, manifest)
 
 
+def op7_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, parts = warc_zip.write_packages(table(spark, sf_dir, "pages"))
+    return warc_zip.read_packages(spark, folder, parts)
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", packing.word_length().alias("n"))
+    return packing.pack(written(docs), "n")
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     path = VOCABULARY
@@ -71,6 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard": op1_shard,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_token_records": op3_token_records,
+    "op7_warc_zip": op7_warc_zip,
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op4_secret_scan": op4_secret_scan,
     "op10_quality_rules": op10_quality_rules,
