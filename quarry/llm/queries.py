@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, classifier, packing, parity_join, quality_rules, records, secrets, sharding, warc_zip
+from quarry.llm import bpe, classifier, itq, packing, parity_join, quality_rules, records, secrets, sharding, warc_zip
 from quarry.llm.shared import small_batches, table, written
 
 #: Vocabulary of the tokenizing queries; a parameter of the operators.
@@ -33,6 +33,10 @@ def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_back(spark, folder, manifest)
 
 
+def op5_itq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard": op1_shard,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_token_records": op3_token_records,
+    "op5_itq_near_dedup": op5_itq_near_dedup,
     "op6_parity_join": op6_parity_join,
     "op7_warc_zip": op7_warc_zip,
     "op8_best_fit_packing": op8_best_fit_packing,
