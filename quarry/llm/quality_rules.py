@@ -145,12 +145,14 @@ def judged(features: DataFrame, cuts: DataFrame, stratum: str = "lang") -> DataF
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, carry: list[str] = ()) -> DataFrame:
-    """docs(doc_id, text, lang) judged with labels(doc_id, quality): doc_id, the
-    columns named in carry, the counts, base_failed and kept.
+    """docs(doc_id, text, lang) judged with labels(doc_id, quality): doc_id, lang,
+    the counts, base_failed, kept, and the columns named in carry as the struct
+    `carried`, whatever their names.
 
     The texts are read once; the counts, a narrow table, are written to the
     shared folder and used for the holdout and for the verdict."""
-    features = written(counts(docs.select("doc_id", "text", "lang", *[c for c in carry if c not in ("doc_id", "text", "lang")])).drop(*({"text"} - set(carry))))
+    carried = [F.struct(*[F.col(c) for c in carry]).alias("carried")] if carry else []
+    features = written(counts(docs.select("doc_id", F.col("text").alias("_text"), "lang", *carried), "_text").drop("_text"))
     marked = labels.where("quality is not null").groupBy("doc_id").agg((F.min("quality") > 0).alias("good"))
-    held = features.join(marked, "doc_id").withColumnRenamed("lang", "stratum")
+    held = features.drop("carried").join(marked, "doc_id").withColumnRenamed("lang", "stratum")
     return judged(features, written(cutoffs(held)))

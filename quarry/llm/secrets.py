@@ -93,29 +93,34 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, repo: str = "source", owner: str = "source", carry: list[str] = (), copied: int = COPIED_OWNERS) -> DataFrame:
-    """A row per row of docs(doc_id, text, ...): doc_id, carried columns, spans
-    as arrays (base, added), counts by kind, and how many of all candidates are
-    widely copied, owner-specific, and owner-specific and live-looking.
-
-    Texts are scanned once; candidates, a narrow table, go to the shared folder."""
-    keep = list(dict.fromkeys(["doc_id", *carry]))
-    named = docs.select(*keep, F.col("text").alias("_text"), F.col(repo).cast("string").alias("_repo"), F.col(owner).cast("string").alias("_owner"))
+    """A row per row of docs(doc_id, text, ...): doc_id, spans as arrays (base,
+    added), counts by kind, how many of all candidates are widely copied,
+    owner-specific, and owner-specific and live-looking, and the columns named in
+    carry as the struct `carried`.
+
+    Texts are scanned once; candidates go to the shared folder. Only rows that
+    have any are joined with what ownership says of them."""
+    carried = [F.struct(*[F.col(c) for c in carry]).alias("carried")] if carry else []
+    named = docs.select("doc_id", *carried, F.col("text").alias("_text"), F.col(repo).cast("string").alias("_repo"), F.col(owner).cast("string").alias("_owner"))
     rows = written(candidates(named, "_text").drop("_text").withColumn("_row", F.monotonically_increasing_id()))
+    some = F.size("_base") + F.size("_wider") > 0
     spans = rows.select("_row", "_repo", "_owner", F.explode(F.concat(F.transform("_base", lambda x: F.struct(F.lit(False).alias("wider"), x.alias("x"))), F.transform("_wider", lambda x: F.struct(F.lit(True).alias("wider"), x.alias("x"))))).alias("s"))
     spans = spans.select("_row", F.col("_repo").alias("repo"), F.col("_owner").alias("owner"), "s.wider", "s.x.*")
     owned = ownership(spans).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    judged = spans.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int")).join(owned, ["hash", "_salt"])
+    judged = spans.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int")).join(owned.hint("merge"), ["hash", "_salt"])
     wide = F.col("owners") >= copied
     added = judged.groupBy("_row").agg(
         F.count_if(wide).alias("n_copied"), F.count_if(~wide).alias("n_owned"), F.count_if(~wide & F.col("live")).alias("n_live"),
         F.collect_list(F.when(F.col("wider") & ~wide & F.col("live"), F.struct("start", "end", "kind"))).alias("added"),
     )
-    df = rows.join(added, "_row", "left")
     none = F.expr("cast(array() as array<struct<start: bigint, end: bigint, kind: string>>)")
+    zero = F.lit(0).cast("long")
+    empty = rows.where(~some).withColumns({"n_copied": zero, "n_owned": zero, "n_live": zero, "added": none})
+    df = rows.where(some).join(added.hint("merge"), "_row").unionByName(empty)
     base = F.transform("_base", lambda x: F.struct(x["start"], x["end"], x["kind"]))
     counted = {f"n_{k}": F.expr(f"size(filter(_base, x -> x.kind = '{k}'))").cast("long") for k, *_ in BASE}
-    df = df.withColumns({"base": base, "added": F.coalesce("added", none), **{c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("n_copied", "n_owned", "n_live")}, **counted})
-    return df.select(*keep, *counted, "n_copied", "n_owned", "n_live", "base", "added")
+    df = df.withColumns({"base": base, **counted})
+    return df.select("doc_id", *counted, "n_copied", "n_owned", "n_live", "base", "added", *(["carried"] if carry else []))
 
 
 def digests(found: DataFrame) -> DataFrame:

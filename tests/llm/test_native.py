@@ -61,7 +61,7 @@ def test_counts_equal_brute_force(spark, docs, sf):
 
 def test_base_rule_and_empty_table(spark, docs):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
-    got = {r.doc_id: r for r in qr.quality_rules(docs, labels, carry=["text"]).collect()}
+    got = {r.doc_id: r for r in qr.quality_rules(docs, labels, carry=["text", "kept"]).collect()}
     for i, t in enumerate(TEXTS):
         assert got[i].base_failed == counts(t)[5]
         assert got[i].kept == (not got[i].base_failed)  # too few labels for any cutoff
@@ -96,7 +96,7 @@ def test_good_documents_stay(spark, sf):
 def test_secret_spans_equal_brute_force(spark, docs, sf):
     for frame in (docs, spark.read.parquet(f"{sf}/documents.parquet")):
         texts = frame.select("doc_id", "text").collect()
-        got = sec.digests(sec.scan(frame, carry=["text"])).collect()
+        got = sec.digests(sec.scan(frame, carry=["text"])).withColumn("text", F.col("carried.text")).collect()
         assert sorted((r.doc_id, r.text or "") for r in got) == sorted((r.doc_id, r.text or "") for r in texts)
         for r in got:
             want = spans(r.text)
