@@ -1,12 +1,76 @@
-"""Stages that turn raw documents into packed training sequences."""
+"""From raw documents to packed training sequences, in five stages.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
+as Parquet and read again as the next stage's docs. All but the last return the
+columns of documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.llm import classifier, packing, parity_join, quality_rules, secrets
+from quarry.llm.shared import table, written
+
+#: Ids up to this number are broadcast to the scan that drops them; more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier takes for good ones."""
+    weights = classifier.train(docs, table(spark, sf_dir, "labels"))
+    return classifier.score(docs, weights, name="_score").where(F.col("_score") >= classifier.THRESHOLD).select(*docs.columns)
+
+
+def within_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    judged = quality_rules.quality_rules(docs, table(spark, sf_dir, "labels"), carry=docs.columns)
+    return judged.where("kept").select("carried.*")
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id. Rows
+    of one id are one document, of which one row stays; null ids stay."""
+    rows = written(parity_join.near_duplicates(docs))
+    gone = written(rows.where("doc_id <> component_id").select("doc_id").distinct())
+    again = written(rows.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+    small = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    left = docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    if again.isEmpty():
+        return left
+    twice = left.join(small(again), "doc_id", "left_semi").select(*docs.columns)
+    first = twice.groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns])).alias("row")).select("row.*")
+    return left.join(small(again), "doc_id", "left_anti").select(*docs.columns).unionByName(first)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with the secrets in their texts replaced; n_chars follows the text."""
+    found = secrets.scan(docs, carry=docs.columns)
+    text = secrets.redact(F.col("carried.text"), F.concat("base", "added"))
+    clean = found.select("carried.*", text.alias("_clean"))
+    changed = {"text": F.col("_clean")} | ({"n_chars": F.length("_clean").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return clean.withColumns(changed).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in bins of the permitted lengths, in words."""
+    return packing.pack(written(docs.select("doc_id", packing.word_length().alias("n"))), "n")
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("quality rules", within_rules),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("secret scans", without_secrets),
+    ("best-fit packing", packed),
+]
 
-STAGES = []
+#: Learned weights, similarity links and bins are beyond SQL; tests/llm hold each stage against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
