@@ -17,6 +17,8 @@ def parse(path: str) -> list[str]:
     out, i, n, need = [], 0, len(path), True
     while i < n:
         if path[i] == "[":
+            if need:
+                raise PathError(f"empty token in {path!r}")
             end = path.find("]", i + 1)
             if end <= i + 1:
                 raise PathError(f"bad bracket in {path!r}")
@@ -26,8 +28,6 @@ def parse(path: str) -> list[str]:
                 raise PathError(f"text after a bracket in {path!r}")
             if i < n and path[i] == ".":
                 i, need = i + 1, True
-                if i < n and path[i] == "[":
-                    raise PathError(f"empty token in {path!r}")
             continue
         stop = min((p for p in (path.find(".", i), path.find("[", i)) if p >= 0), default=n)
         if stop == i:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from quarry.functions.keys import container_key
 from quarry.functions.values import ARRAY, BOOL, NULL, NUMBER, OBJECT, STRING, number_literal, order_bytes, rank
 from quarry.plans.filters import Pred, column
+from quarry.plans.plain import compares_containers, elements_match
 
 KEY = "struct<k:int,n:double,r:bigint,s:string,c:binary>"
 
@@ -90,7 +91,9 @@ class Variant:
                 out = self.equal(v) if out is False else out | self.equal(v)
         return out
 
-    def any_element(self, test: Callable[[Any], Pred]) -> Pred:
+    def any_element(self, test: Callable[[Any], Pred], criteria: Any = None) -> Pred:
+        if compares_containers(criteria):
+            return elements_match(F.to_json(self.v), criteria)
         items = F.try_variant_get(F.when(kind_rank(self.v) == ARRAY, self.v), "$", "array<variant>")
         made = F.exists(items, lambda e: F.coalesce(column(test(Variant(e, True))), F.lit(False)))
         return F.coalesce(made, F.lit(False))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.values import ARRAY, BOOL, LONG_MAX, LONG_MIN, NULL, NUMBER, OBJECT, OTHER, STRING, rank, rank_of_type
+from quarry.plans.plain import compares_containers, elements_match
 
 Pred = bool | Column
 
@@ -63,7 +64,7 @@ class Absent:
     def among(self, values: list) -> Pred:
         return False
 
-    def any_element(self, test: Callable[[Any], Pred]) -> Pred:
+    def any_element(self, test: Callable[[Any], Pred], criteria: Any = None) -> Pred:
         return False
 
     def field(self, name: str) -> Any:
@@ -184,9 +185,11 @@ class Typed:
                 out = either(out, self.equal(v))
         return either(self.col.isin(plain), out) if plain else out
 
-    def any_element(self, test: Callable[[Any], Pred]) -> Pred:
+    def any_element(self, test: Callable[[Any], Pred], criteria: Any = None) -> Pred:
         if not isinstance(self.kind, T.ArrayType):
             return False
+        if compares_containers(criteria, ordered=True):
+            return elements_match(F.to_json(self.col), criteria)
         fixed: list[Pred] = []
         inner = self.kind.elementType
         made = F.exists(self.col, lambda e: (fixed.append(p := test(Typed(e, inner, True))), F.coalesce(column(p), F.lit(False)))[1])
@@ -256,10 +259,10 @@ def operator(ref: Any, op: str, value: Any) -> Pred:
         return gone if not value else (ref.col.isNotNull() if isinstance(ref, Typed) else negated(gone))
     if op == "$elemMatch":
         if is_operators(value):
-            return ref.any_element(lambda e: condition(e, value))
+            return ref.any_element(lambda e: condition(e, value), value)
         if isinstance(value, dict):
-            return ref.any_element(lambda e: document(e.field, value))
-        return ref.any_element(lambda e: e.equal(value))
+            return ref.any_element(lambda e: document(e.field, value), value)
+        return ref.any_element(lambda e: e.equal(value), value)
     return False
 
 
