@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators.query import Query
 from quarry.sources.backends import DYNAMIC, TypedBackend, with_doc
+from quarry.shipping import ship
 from quarry.sources.collection import Collection
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,6 +18,7 @@ SQL: dict[str, str] = {}
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{d.rstrip('/')}/{name}.parquet")
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from quarry.errors import DuplicateId, IdMismatch, IdMustBeString, InvalidUpdate, NoIndex, NoMatch, NotAnObject, PrimaryIndex, StoreError, VectorDimMismatch
 from quarry.operators import hybrid, text, vector
 from quarry.operators.query import Query
+from quarry.shipping import ship
 from quarry.sources.backends import DYNAMIC, DynamicBackend, TypedBackend, check_spec, with_doc
 
 CHECKPOINT_EVERY = 16
@@ -45,6 +46,7 @@ class Collection:
 
     def __init__(self, spark: SparkSession, name: str = "docs", frame: DataFrame | None = None, key: str = "_id", **policy: Any) -> None:
         """Without a frame: schemaless documents. With one: its rows, by the key column."""
+        ship(spark)
         self.spark, self.name = spark, name
         self._lock = threading.RLock()
         self._writes = 0
