@@ -27,7 +27,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-BATCH_BYTES = 24 << 20
+BATCH_BYTES = 32 << 20
+#: Chunks of texts whose ids are put together at a time.
+PART_CHUNKS = 1 << 18
 #: Fixed value: the pieces of byte-level BPE that merges don't cross.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WHITE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -203,37 +205,58 @@ def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, order: n
     return values[np.repeat(starts[order] - edges[:-1], n) + np.arange(edges[-1])], edges
 
 
+class Encoded:
+    """Texts as runs of distinct chunks, each of which is encoded once.
+
+    encode gives the ids of distinct chunks one after another and how many each
+    has. What is kept is a number per chunk of the texts; ids of whole texts are
+    made for PART_CHUNKS chunks at a time."""
+
+    def __init__(self, texts: pa.Array, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> None:
+        if isinstance(texts, pa.ChunkedArray):
+            texts = texts.combine_chunks()
+        texts = pc.fill_null(texts, "")
+        whole = pc.match_substring_regex(texts, UNSAFE).to_numpy(zero_copy_only=False)
+        #: Numbers of the texts in the order in which parts() gives them.
+        self.order = np.concatenate([np.flatnonzero(~whole), np.flatnonzero(whole)])
+        n_whole = int(whole.sum())
+        cut = pc.split_pattern(texts.filter(pa.array(~whole)) if n_whole else texts, " ")
+        counts = np.append(pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64), np.ones(n_whole, np.int64))
+        values = cut.flatten()
+        if n_whole:
+            values = pa.concat_arrays([values, texts.filter(pa.array(whole))])
+        parts = values.dictionary_encode()
+        del cut, values
+        #: Where each text's chunks begin.
+        self.edges = np.append(0, np.cumsum(counts))
+        variant = parts.indices.to_numpy(zero_copy_only=False) * 2
+        variant[self.edges[:-1]] += 1  # the first chunk of a text has no space before it
+        used = np.flatnonzero(np.bincount(variant)) if len(variant) else np.zeros(0, np.int64)
+        strings = parts.dictionary.take(pa.array(used // 2)).to_pylist()
+        chunks = [s if f else " " + s for s, f in zip(strings, (used % 2).tolist(), strict=True)]
+        number = np.zeros((int(used[-1]) + 1) if len(used) else 0, np.int32)
+        number[used] = np.arange(len(used), dtype=np.int32)
+        self.chunk = number[variant]
+        del parts, variant, number, strings
+        self.ids, self.lengths = encode(chunks)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def parts(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(numbers of some texts, their ids one after another, the edges between them)."""
+        i, n = 0, len(self.order)
+        while i < n:
+            j = max(i + 1, int(np.searchsorted(self.edges, self.edges[i] + PART_CHUNKS, side="right")) - 1)
+            ids, at = gather(self.ids, self.starts, self.lengths, self.chunk[self.edges[i] : self.edges[j]])
+            yield self.order[i:j], ids, at[self.edges[i : j + 1] - self.edges[i]]
+            i = j
+
+
 def encode_all(texts: pa.Array, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts one after another and the edges between them, from an
-    encoder of distinct chunks."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    if isinstance(texts, pa.ChunkedArray):
-        texts = texts.combine_chunks()
-    n = len(texts)
-    whole = pc.match_substring_regex(texts, UNSAFE)
-    safe_at, whole_at = np.flatnonzero(~whole.to_numpy(zero_copy_only=False)), np.flatnonzero(whole.to_numpy(zero_copy_only=False))
-    cut = pc.split_pattern(texts.filter(pc.invert(whole)), " ")
-    if isinstance(cut, pa.ChunkedArray):
-        cut = cut.combine_chunks()
-    counts = np.append(pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64), np.ones(len(whole_at), np.int64))
-    parts = pa.concat_arrays([cut.flatten().cast(pa.large_string()), texts.filter(whole)]).dictionary_encode()
-    first = np.zeros(len(parts), np.int64)
-    edges = np.append(0, np.cumsum(counts))
-    first[edges[:-1]] = 1
-    variant = parts.indices.to_numpy(zero_copy_only=False).astype(np.int64) * 2 + first
-    used = np.flatnonzero(np.bincount(variant)) if len(variant) else np.zeros(0, np.int64)
-    strings = parts.dictionary.take(pa.array(used // 2)).to_pylist()
-    chunks = [s if f else " " + s for s, f in zip(strings, (used % 2).tolist(), strict=True)]
-    ids, lengths = encode(chunks)
-    number = np.zeros((int(used[-1]) + 1) if len(used) else 0, np.int64)
-    number[used] = np.arange(len(used))
-    flat, at = gather(ids, np.cumsum(lengths) - lengths, lengths, number[variant])
-    spans = at[edges]
-    back = np.empty(n, np.int64)
-    back[np.concatenate([safe_at, whole_at])] = np.arange(n)
-    if not len(whole_at):
-        return flat, spans
-    return gather(flat, spans[:-1], np.diff(spans), back)
+    """Ids of all texts one after another and the edges between them, in the order of the texts."""
+    found: dict[int, np.ndarray] = {}
+    for which, ids, at in Encoded(texts, encode).parts():
+        found |= {int(k): ids[s:e] for k, s, e in zip(which, at, at[1:], strict=False)}
+    return np.concatenate([np.zeros(0, np.int64), *(found[k] for k in range(len(found)))]), np.append(0, np.cumsum([len(found[k]) for k in range(len(found))])).astype(np.int64)
 
 
 def grouped(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BATCH_BYTES) -> Iterator[pa.Table]:
@@ -241,7 +264,7 @@ def grouped(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = B
     held, size = [], 0
     for b in batches:
         col = b.column(text)
-        n = pc.fill_null(pc.binary_length(col.cast(pa.large_string())), 0).to_numpy(zero_copy_only=False)
+        n = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         ends, start = np.cumsum(n), 0
         while start < len(n):
             done = int(ends[start - 1]) if start else 0

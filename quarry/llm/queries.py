@@ -56,21 +56,22 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = VOCABULARY
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        v = bpe.vocabulary(path)
         for t in bpe.grouped(batches):
-            v = bpe.vocabulary(path)
-            ids, at = bpe.encode_all(t.column("text"), bpe.by_index(v))
-            raw = ids.astype("<u4").tobytes()
-            cuts = at.tolist()
-            sha = lambda x: hashlib.sha256(x).hexdigest()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    t.column("doc_id").combine_chunks(),
-                    pa.array(np.diff(at), pa.int64()),
-                    pa.array([sha(raw[4 * a : 4 * b]) for a, b in zip(cuts, cuts[1:], strict=False)]),
-                    pa.array([sha(bpe.decode(v, ids[a:b]).encode()) for a, b in zip(cuts, cuts[1:], strict=False)]),
-                ],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            doc_ids = t.column("doc_id").to_pylist()
+            for which, ids, at in bpe.Encoded(t.column("text"), bpe.by_index(v)).parts():
+                cuts = list(zip(at.tolist(), at[1:].tolist(), strict=False))
+                raw = ids.astype("<u4").tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([doc_ids[k] for k in which.tolist()], pa.int64()),
+                        pa.array(np.diff(at), pa.int64()),
+                        pa.array([sha(raw[4 * a : 4 * b]) for a, b in cuts], pa.string()),
+                        pa.array([sha(bpe.decode(v, ids[a:b]).encode()) for a, b in cuts], pa.string()),
+                    ],
+                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
 
     return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -22,6 +22,8 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.bpe import encode_all, grouped
+from quarry.llm.bpe import Encoded, byte_letters, gather, grouped, vocabulary
 from quarry.llm.files import Ranges, Whole
 from quarry.llm.shared import shared_dir, small_batches, written
 
@@ -39,6 +41,8 @@ _BODY = struct.Struct("<?qQB")
 ENTRY = np.dtype([("null", "<u1"), ("doc_id", "<i8"), ("offset", "<u8"), ("length", "<u8"), ("tokens", "<u8")])
 WIDE, NARROW = 4, 2
 READ_BYTES = 8 << 20
+#: Distinct chunks that a Python worker keeps with their ids.
+MEMORY = 300_000
 
 
 def masked(data: bytes) -> int:
@@ -73,51 +77,58 @@ def unpacked(payload: bytes) -> tuple[int | None, np.ndarray]:
     return None if null else doc_id, np.frombuffer(raw, "<u4" if code == WIDE else "<u2").astype("<u4")
 
 
-def library_encoder(path: str):
-    """Encoder of distinct chunks with the tokenizers library. Many chunks are
-    one text for it, kept apart by a special token; those that hold one go alone."""
-    import json
-
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(path)
-    tok.no_truncation()
-    tok.no_padding()
-    with open(path, encoding="utf-8") as f:
-        special = json.load(f)["added_tokens"]
-    mark, code = (special[0]["content"], special[0]["id"]) if special else ("", -1)
-    names = [t["content"] for t in special]
-
-    def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        alone = {k: np.array(tok.encode(c, add_special_tokens=False).ids, np.int64) for k, c in enumerate(chunks) if not mark or any(s in c for s in names)}
-        out, lengths, part, size = [], [], [], 0
-
-        def flush() -> None:
-            ids = np.array(tok.encode(mark.join(part), add_special_tokens=False).ids, np.int64)
-            cut = np.append(np.flatnonzero(ids == code), len(ids))
-            lengths.append(np.diff(np.append(-1, cut)) - 1)
-            out.append(ids[ids != code])
-            part.clear()
-
-        for k, c in enumerate(chunks):
-            if k in alone:
-                if part:
-                    flush()
-                    size = 0
-                out.append(alone[k])
-                lengths.append(np.array([len(alone[k])], np.int64))
+class LibraryEncoder:
+    """Encodes distinct chunks with the tokenizers library: its BPE model on the
+    pieces of byte-level BPE, each distinct one once, and the whole library on
+    chunks that hold a special token. The first MEMORY chunks stay known."""
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        self.tok.no_truncation()
+        self.tok.no_padding()
+        v = vocabulary(path)
+        self.pieces, self.special = v.pieces.findall, v.specials
+        self.letters = {b: c for c, b in byte_letters().items()}
+        self.kind = np.dtype("<u2") if v.size <= 65536 else np.dtype("<u4")
+        self.known: dict[str, bytes] = {}
+
+    def __call__(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        known, new, order, counts = self.known.get, {}, [], []
+        found = [known(c) for c in chunks]
+        number, pieces = new.setdefault, self.pieces
+        fresh = [k for k, x in enumerate(found) if x is None]
+        for k in fresh:
+            c = chunks[k]
+            if self.special is not None and "<" in c and self.special.search(c):
+                found[k] = np.array(self.tok.encode(c, add_special_tokens=False).ids, self.kind).tobytes()
+                counts.append(0)
                 continue
-            part.append(c)
-            size += len(c)
-            if size > 1 << 18:
-                flush()
-                size = 0
-        if part:
-            flush()
-        none = np.zeros(0, np.int64)
-        return np.concatenate([none, *out]), np.concatenate([none, *lengths])
-
-    return encode
+            own = [number(p, len(new)) for p in pieces(c)]
+            order += own
+            counts.append(len(own))
+        tokenize, letters = self.tok.model.tokenize, self.letters
+        ids = [[t.id for t in tokenize(p.encode().decode("latin-1").translate(letters))] for p in new]
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat, at = gather(np.fromiter(chain.from_iterable(ids), self.kind, int(n.sum())), np.cumsum(n) - n, n, np.array(order, np.int64))
+        edges = (at[np.append(0, np.cumsum(counts, dtype=np.int64))] * self.kind.itemsize).tolist()
+        raw = flat.tobytes()
+        room = MEMORY - len(self.known)
+        for k, s, e in zip(fresh, edges, edges[1:], strict=False):
+            if found[k] is None:
+                found[k] = raw[s:e]
+                if room > 0 and e - s < 64:
+                    self.known[chunks[k]] = raw[s:e]
+                    room -= 1
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
+        return np.frombuffer(b"".join(found), self.kind), lengths
+
+
+@lru_cache(maxsize=2)
+def library_encoder(path: str) -> LibraryEncoder:
+    """One for each Python worker."""
+    return LibraryEncoder(path)
 
 
 def token_payloads(docs: DataFrame, path: str, end_id: int, vocabulary_size: int, edges: list[int]) -> DataFrame:
@@ -126,14 +137,14 @@ def token_payloads(docs: DataFrame, path: str, end_id: int, vocabulary_size: int
     bounds = np.array(edges, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, press = None, zstandard.ZstdCompressor(level=3)
+        press, wide = zstandard.ZstdCompressor(level=3), vocabulary_size > 65536
         for t in grouped(batches):
-            encode = encode or library_encoder(path)
-            ids, at = encode_all(t.column("text"), encode)
-            docs_ids = t.column("doc_id").to_pylist()
-            payloads = [packed(d, np.append(ids[at[k] : at[k + 1]], end_id), vocabulary_size > 65536, press) for k, d in enumerate(docs_ids)]
-            part = np.array([0 if d is None else int(np.searchsorted(bounds, d, side="right")) for d in docs_ids], np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(part), t.column("doc_id").combine_chunks().cast(pa.int64()), pa.array(np.diff(at) + 1, pa.int64()), pa.array(payloads, pa.binary())], ["part", "doc_id", "n", "payload"])
+            doc_ids = t.column("doc_id").to_pylist()
+            for which, ids, at in Encoded(t.column("text"), library_encoder(path)).parts():
+                own = [doc_ids[k] for k in which.tolist()]
+                payloads = [packed(d, np.append(ids[s:e], ids.dtype.type(end_id)), wide, press) for d, s, e in zip(own, at.tolist(), at[1:].tolist(), strict=False)]
+                part = np.array([0 if d is None else int(np.searchsorted(bounds, d, side="right")) for d in own], np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(own, pa.int64()), pa.array(np.diff(at) + 1, pa.int64()), pa.array(payloads, pa.binary())], ["part", "doc_id", "n", "payload"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "part int, doc_id long, n long, payload binary")
 
