@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, classifier, itq, packing, parity_join, quality_rules, records, secrets, sharding, warc_zip
+from quarry.llm import bpe, classifier, itq, packing, parity_join, quality_rules, records, secrets, sharding, sql, warc_zip
 from quarry.llm.shared import small_batches, table, written
 
 #: Vocabulary of the tokenizing queries; a parameter of the operators.
@@ -98,4 +98,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_scan": op4_secret_scan,
     "op10_quality_rules": op10_quality_rules,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_secret_scan": sql.secrets_sql(),
+    "op6_parity_join": sql.JACCARD,
+    "op7_warc_zip": sql.WARC,
+    "op10_quality_rules": sql.rules_sql(),
+}
