@@ -19,6 +19,8 @@ Columns of the input beside the id, text and stratum are not looked at."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -116,7 +118,7 @@ def cutoffs(held: DataFrame, stratum: str = "stratum", good: str = "good", risk:
     # A histogram of each ratio keeps the row narrow: the cell of the grid that it falls in.
     cell = {r: sum(((ratio(r) > c).cast("int") for c in GRID), F.lit(0)) for r in RULES}
     cells = held.select(F.col(stratum).alias("stratum"), F.col(good).alias("good"), F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), c.alias("cell")) for r, c in cell.items()])).alias("x")).select("stratum", "good", "x.*")
-    sums = cells.groupBy("stratum", "rule", "cell").agg(F.sum(F.col("good").cast("long")).alias("g"), F.sum((~F.col("good")).cast("long")).alias("b"))
+    sums = written(cells.groupBy("stratum", "rule", "cell").agg(F.sum(F.col("good").cast("long")).alias("g"), F.sum((~F.col("good")).cast("long")).alias("b")))
     grid = F.array(*[F.struct(F.lit(i + 1).alias("i"), F.lit(c).alias("cutoff")) for i, c in enumerate(GRID)])
     lists = sums.groupBy("stratum", "rule").agg(F.sum("g").alias("n"), F.sum("b").alias("bad"), F.collect_list(F.struct("cell", "g", "b")).alias("h"))  # at most one entry per cell of the grid
     tests = lists.select("stratum", "rule", "n", "bad", "h", F.explode(grid).alias("c")).select(
@@ -124,9 +126,8 @@ def cutoffs(held: DataFrame, stratum: str = "stratum", good: str = "good", risk:
         F.expr("aggregate(filter(h, x -> x.cell >= c.i), 0L, (a, x) -> a + x.g)").alias("k"),
         F.expr("aggregate(filter(h, x -> x.cell >= c.i), 0L, (a, x) -> a + x.b)").alias("caught"),
     )
-    many = held.select(F.col(stratum)).distinct().agg((F.count(F.lit(1)) * len(RULES) * len(GRID)).alias("tests"))
-    tests = tests.where("n > 0").crossJoin(F.broadcast(many))  # one row: the number of tests
-    passed = tests.where(_log_tail("n", "k", share) <= F.log(F.lit(delta) / F.col("tests")))
+    n_tests = sums.select("stratum").distinct().count() * len(RULES) * len(GRID)
+    passed = tests.where("n > 0").where(_log_tail("n", "k", share) <= F.lit(math.log(delta / max(1, n_tests))))
     gain = F.coalesce(F.try_divide(F.col("caught"), F.col("bad")), F.lit(0.0)) - LOSS_WEIGHT * F.col("k") / F.col("n")
     best = passed.groupBy("stratum", "rule").agg(F.max_by("cutoff", F.struct(gain.alias("gain"), "cutoff")).alias("cutoff"))
     return best.groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cutoff")).toDF("stratum", *[f"c_{r}" for r in RULES])
