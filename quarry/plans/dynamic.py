@@ -21,36 +21,44 @@ from quarry.plans.plain import compares_containers, elements_match
 KEY = "struct<k:int,n:double,r:bigint,s:string,c:binary>"
 
 
-def kind_rank(v: Column) -> Column:
-    """Rank of a variant's value; NULL where it is missing."""
-    s = F.schema_of_variant(v)
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value evaluated once: filters have no other common parts."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def rank_of_schema(s: Column) -> Column:
     return (
-        F.when(v.isNull(), F.lit(None).cast("int"))
-        .when(s == "VOID", F.lit(NULL)).when(s == "BOOLEAN", F.lit(BOOL)).when(s == "STRING", F.lit(STRING))
+        F.when(s == "BIGINT", F.lit(NUMBER)).when(s == "STRING", F.lit(STRING)).when(s == "VOID", F.lit(NULL)).when(s == "BOOLEAN", F.lit(BOOL))
         .when(s.startswith("ARRAY"), F.lit(ARRAY)).when(s.startswith("OBJECT"), F.lit(OBJECT)).otherwise(F.lit(NUMBER))
     )
 
 
-def number_parts(v: Column) -> tuple[Column, Column]:
+def kind_rank(v: Column) -> Column:
+    """Rank of a variant's value; NULL where it is missing."""
+    return let(F.schema_of_variant(v), lambda s: F.when(s.isNotNull(), rank_of_schema(s)))
+
+
+def _scalar_key(v: Column, s: Column) -> Column:
+    """Order key of a value that is there, from its schema; without its container key."""
+    k = rank_of_schema(s)
     i = F.try_variant_get(v, "$", "bigint")
-    whole = F.schema_of_variant(v) == "BIGINT"
-    n = F.when(whole, i.cast("double")).otherwise(F.try_variant_get(v, "$", "double") + F.lit(0.0))
-    r = F.when(whole, F.when(i.cast("double") >= F.lit(2.0**63), i - F.lit((1 << 63) - 1) - 1).otherwise(i - i.cast("double").cast("long"))).otherwise(F.lit(0).cast("long"))
-    return n, r
+    n = (
+        F.when(s == "BIGINT", i.cast("double")).when(s == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double"))
+        .when(k == NUMBER, F.try_variant_get(v, "$", "double") + F.lit(0.0)).otherwise(F.lit(0.0))
+    )
+    r = F.when(s == "BIGINT", let(i, lambda i: F.when(i.cast("double") >= F.lit(2.0**63), i - F.lit((1 << 63) - 1) - 1).otherwise(i - i.cast("double").cast("long")))).otherwise(F.lit(0).cast("long"))
+    text = F.when(s == "STRING", F.try_variant_get(v, "$", "string")).otherwise(F.lit(""))
+    return F.struct(k.alias("k"), F.coalesce(n, F.lit(0.0)).alias("n"), F.coalesce(r, F.lit(0).cast("long")).alias("r"), F.coalesce(text, F.lit("")).alias("s"), F.lit(b"").cast("binary").alias("c"))
 
 
 def order_key(v: Column, containers: bool) -> Column:
     """Order key of a variant; a missing one orders as null. containers: with keys of arrays and objects."""
-    k = F.coalesce(kind_rank(v), F.lit(NULL))
-    n, r = number_parts(v)
-    c = container_key(F.when(k >= ARRAY, F.to_json(v))) if containers else F.lit(None).cast("binary")
-    b = F.when(k == BOOL, F.try_variant_get(v, "$", "boolean").cast("double"))
-    return F.struct(
-        k.alias("k"),
-        F.coalesce(F.when(k == NUMBER, n), b, F.lit(0.0)).alias("n"), F.coalesce(F.when(k == NUMBER, r), F.lit(0).cast("long")).alias("r"),
-        F.coalesce(F.when(k == STRING, F.try_variant_get(v, "$", "string")), F.lit("")).alias("s"),
-        F.coalesce(c, F.lit(b"").cast("binary")).alias("c"),
-    )
+    null = F.struct(F.lit(NULL).alias("k"), F.lit(0.0).alias("n"), F.lit(0).cast("long").alias("r"), F.lit("").alias("s"), F.lit(b"").cast("binary").alias("c"))
+    key = let(v, lambda x: let(F.schema_of_variant(x), lambda s: F.when(s.isNotNull(), _scalar_key(x, s)).otherwise(null)))
+    if not containers:
+        return key
+    c = container_key(F.when(F.coalesce(kind_rank(v), F.lit(NULL)) >= ARRAY, F.to_json(v)))
+    return key.withField("c", F.coalesce(c, F.lit(b"").cast("binary")))
 
 
 def literal_key(value: Any) -> Column:
@@ -77,7 +85,9 @@ class Variant:
         k = rank(value)
         if k == NULL:
             return F.coalesce(F.is_variant_null(self.v), F.lit(False))
-        return (order_key(self.v, k >= ARRAY) == literal_key(value)) & self.v.isNotNull()
+        if k < ARRAY:  # a missing value orders as null, which no value of this kind does
+            return order_key(self.v, False) == literal_key(value)
+        return (order_key(self.v, True) == literal_key(value)) & self.v.isNotNull()
 
     def compare(self, op: str, value: Any) -> Pred:
         from quarry.plans.filters import _OPS
@@ -106,8 +116,7 @@ def member(doc: Column, name: str) -> Column:
     """The value under a key of an object, whatever characters the key has; NULL where it is missing."""
     path = "$[" + json.dumps(name, ensure_ascii=False) + "]"
     if '"' in name or "\\" in name:
-        quoted = name.replace("'", "\\'") if "'" not in name else None
-        if quoted is None:
+        if "'" in name:
             raise ValueError("a key with both kinds of quotes can't be addressed")
         path = f"$['{name}']"
-    return F.try_variant_get(F.when(kind_rank(doc) == OBJECT, doc), path, "variant")
+    return F.try_variant_get(doc, path, "variant")

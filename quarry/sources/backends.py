@@ -7,13 +7,13 @@ order of keys) and doc (the same as VARIANT, for evaluation only)."""
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import arrow_udf
 
 from quarry.errors import InvalidUpdate, NotAnObject
 from quarry.functions import paths
@@ -218,20 +218,21 @@ class DynamicBackend:
             rows.append((d["_id"], seq + i, rendered(d)))
         return with_doc(spark.createDataFrame(rows, DYNAMIC))
 
-    def updated(self, df: DataFrame, match: Column, spec: dict) -> DataFrame:
-        @arrow_udf("string")
-        def changed(texts: pa.Array) -> pa.Array:
-            return pa.array([None if t is None else rendered(apply_spec(json.loads(t), spec)) for t in texts.to_pylist()], pa.string())
+    def _rewritten(self, df: DataFrame, match: Column, change: Callable[[str, str], str]) -> DataFrame:
+        """Documents with change(id, text) where they match; text goes through Python in Arrow batches."""
 
-        hit = df.withColumn("hit", F.coalesce(match, F.lit(False)))
-        return with_doc(hit.withColumn("json", F.coalesce(changed(F.when(F.col("hit"), F.col("json"))), F.col("json"))))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ids, texts, hits = (b.column(c).to_pylist() for c in ("_id", "json", "hit"))
+                new = [change(i, t) if h else t for i, t, h in zip(ids, texts, hits, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("seq"), pa.array(new, pa.string())], ["_id", "seq", "json"])
 
-    def replaced(self, df: DataFrame, match: Column, doc: dict) -> DataFrame:
-        plain = {k: v for k, v in doc.items() if k != "_id"}
+        hit = df.select("_id", "seq", "json", F.coalesce(match, F.lit(False)).alias("hit"))
+        return with_doc(hit.mapInArrow(run, DYNAMIC))
 
-        @arrow_udf("string")
-        def made(ids: pa.Array) -> pa.Array:
-            return pa.array([None if i is None else rendered({"_id": i} | plain) for i in ids.to_pylist()], pa.string())
+    def updated(self, df: DataFrame, match: Column, spec: dict) -> DataFrame:
+        return self._rewritten(df, match, lambda _, t: rendered(apply_spec(json.loads(t), spec)))
 
-        hit = df.withColumn("hit", F.coalesce(match, F.lit(False)))
-        return with_doc(hit.withColumn("json", F.coalesce(made(F.when(F.col("hit"), F.col("_id"))), F.col("json"))))
+    def replaced(self, df: DataFrame, match: Column, doc: dict) -> DataFrame:
+        plain = {k: v for k, v in doc.items() if k != "_id"}
+        return self._rewritten(df, match, lambda i, _: rendered({"_id": i} | plain))
