@@ -12,13 +12,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.shipping import ship
+
 #: White space that separates words, as a class for Java and Python patterns.
 SPACE = r"\x20\x09-\x0D"
+#: Edges from which components() takes care of numbers with very many of them.
+MANY_EDGES = 1_000_000
 #: Bytes of text that numpy code works on at once; a longer text is one block.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -46,7 +51,9 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 2048) -> None:
-    """Rows in an Arrow batch, so that a batch of long texts stays small."""
+    """Rows in an Arrow batch, so that a batch of long texts stays small; and the
+    package for the workers."""
+    ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
@@ -180,16 +187,20 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     over the edges alone, and writes each round to the shared folder. Empty
     edges give no rows."""
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    if e.isEmpty():
+    n = e.count()
+    if not n:
         return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    # Beyond this size minima are written, so that the joins have a shuffle on either side, and a number with very many edges is split.
+    kept = written if n > MANY_EDGES else (lambda df: df)
     seen = None
     for _ in range(most_rounds):
         both = e.union(e.select("b", "a")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        least = kept(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+        large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*").where("a <> b").distinct()
+        large = kept(large)
+        low = kept(large.groupBy("a").agg(F.min("b").alias("m")))
+        small = large.join(low.hint("merge"), "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*").where("a <> b").distinct()
         e = written(small)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
