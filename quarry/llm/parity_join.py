@@ -9,11 +9,12 @@ dealt by hash into parts, and a part's parity fingerprint is the exclusive or of
 its members' hashes: members of the symmetric difference change at most one part
 each, so of two similar sets all but d parts agree (pigeonhole). Parts are put in
 one order for all documents; the first that agrees has at most d before it, on
-either side, so each document emits the fingerprints of its first d + 1 filled
-parts, d being the most that a partner in the band allows. Documents near the
-lower edge of a band do the same in the band below. Parts made of very frequent
-shingles alone come last in the order, so common passages make keys only where a
-document has little else. A document with too few filled parts emits empty ones
+either side, and the third at most d + 2. So each document emits the fingerprints
+of its first d + 3 filled parts, d being the most that a partner in the band
+allows, and pairs that share three of them are compared. Documents near the
+lower edge of a band do the same in the band below. In the order, fuller parts
+come first, and parts made of very frequent shingles alone last, so common
+passages make keys only where a document has little else. A document with too few filled parts emits empty ones
 too, under keys of their own.
 
 Verification. Bit sketches (a shingle flips one bit) give a lower bound of the
@@ -22,8 +23,10 @@ are verified on the sets themselves.
 
 Hot keys. Equal sets are one class from the start. In each key's list, documents
 are first compared with the list's first document alone; what these links
-connect needs no further comparison. Only pairs of one list that are still apart
-follow: from short lists by a join, from long ones in blocks of a bounded size.
+connect needs no further comparison. Turns of comparisons between neighbours in
+the lists that are still apart, each in another order, bring large groups
+together. Only pairs of one list that are still apart then follow: from short
+lists by a join, from long ones in blocks of a bounded size.
 No list is cut, and no list is held in memory as a whole.
 
 Defined results: null text and texts without words have no set (size 0) and are
@@ -44,12 +47,18 @@ from quarry.llm.shared import blocks, components, mix, shingles, small_batches,
 
 PERCENT = 75
 SHINGLE = 5
+#: Keys that two documents must share to be compared; each document emits so many beyond the most that can differ.
+SHARED = 3
 #: Most frequent shingles that are put last; a fixed bound on what is broadcast.
 FREQUENT = 1 << 16
 #: Shingles counted at a time in a task, and the least count that is reported.
-COUNTED, LEAST_COUNT = 4 << 20, 6
+COUNTED, LEAST_COUNT = 2 << 20, 4
 #: Lists up to this length are joined pair by pair, longer ones by blocks of BLOCK documents.
-SHORT, BLOCK = 48, 256
+SHORT, BLOCK = 48, 2048
+#: Turns in which neighbours in lists of more than FEW documents are compared before all pairs that are left.
+TURNS, FEW = 4, 48
+#: Tasks over which the rows of a key are spread that very many documents may have.
+SALTS = 64
 #: Ids up to this number are broadcast to the scan that needs their texts; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -59,7 +68,7 @@ def band(n: int) -> int:
 
 
 def parts_of(k: int) -> int:
-    return int(0.45 * 4 ** (k + 1)) + 6
+    return int(0.45 * 4 ** (k + 1)) + 30
 
 
 def roles(n: int, percent: int = PERCENT) -> list[tuple[int, int]]:
@@ -71,14 +80,19 @@ def roles(n: int, percent: int = PERCENT) -> list[tuple[int, int]]:
     return out
 
 
-def keys(s: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Keys of a set of sorted distinct hashes: similar sets share at least one."""
-    out = []
+def keys(s: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a set of sorted distinct hashes, of which similar sets share at
+    least SHARED, and which of them very many documents may have."""
+    out, hot = [], []
     common = np.zeros(len(s), bool)
     if len(frequent) and len(s):
         common = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
     for k, d in roles(len(s), percent):
+        if not d:
+            continue  # only an equal set is similar, and equal sets are a class already
         p = parts_of(k)
+        # Small sets can't share many parts: there one is enough, and its key is emitted as often as keys must be shared.
+        need, tags = (1, SHARED) if k < 2 else (SHARED, 1)
         part = ((mix(s + np.uint64(k + 1)) >> np.uint64(32)) * np.uint64(p)) >> np.uint64(32)
         order = np.argsort(part, kind="stable")
         part = part[order]
@@ -87,19 +101,28 @@ def keys(s: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> np.ndar
         number = part[starts]
         space = np.uint64(k << 32)
         last = np.logical_and.reduceat(common[order], starts)
-        first = np.argsort(last, kind="stable")[: d + 1]
-        out.append(mix(parity[first] ^ mix(number[first] | space)))
-        if len(starts) <= d:  # too few filled parts to be sure that one agrees
-            every = np.zeros(p, np.uint64)
-            every[number.astype(np.int64)] = parity
-            n = min(p, d + 1)
-            out.append(mix(every[:n] ^ mix(np.arange(n, dtype=np.uint64) | space | np.uint64(1 << 60))))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        # Fuller parts agree by chance less often, so they come first.
+        fill = np.minimum(np.diff(np.append(starts, len(s))), 255)
+        first = np.argsort(last * 256 - fill, kind="stable")[: d + need]
+        every = np.zeros(p, np.uint64)
+        every[number.astype(np.int64)] = parity
+        n = min(p, d + need)
+        for tag in range(tags):
+            mark = space | np.uint64(tag << 50)
+            out.append(mix(parity[first] ^ mix(number[first] | mark)))
+            hot.append(last[first])
+            if len(starts) >= d + need:
+                continue
+            # Too few filled parts to be sure that so many agree: the first parts, empty or not, under keys of their own.
+            out.append(mix(every[:n] ^ mix(np.arange(n, dtype=np.uint64) | mark | np.uint64(1 << 60))))
+            hot.append(np.ones(n, bool))
+    return np.concatenate([np.zeros(0, np.uint64), *out]), np.concatenate([np.zeros(0, bool), *hot])
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Bits that the members of a set flip; as many as fit its band."""
-    bits = max(256, 4 ** (band(len(s)) + 1))
+    """Bits that the members of a set flip: 4 to 16 a member, so few meet on a bit
+    and the distance of two sketches is close to the symmetric difference."""
+    bits = max(256, 4 ** (band(len(s)) + 2))
     at = (mix(s ^ np.uint64(0x5BF03635)) & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -172,14 +195,15 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def emitted(docs: DataFrame, frequent: np.ndarray, percent: int, k: int) -> DataFrame:
-    """(key, doc_id) of every document; equal sets of a task emit once per MEMORY of them."""
+    """(key, doc_id, salt) of every document; of equal sets a task emits one, as
+    long as it remembers them. Keys that very many may have are salted from 1 on."""
     common = docs.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         for b in batches:
             ids = b.column("doc_id").to_pylist()
-            out, who, size = [], [], 0
+            out, who, salt, size = [], [], [], 0
             for d, s in zip(ids, sets_of(b.column("text"), k), strict=True):
                 if not len(s) or d is None:
                     continue
@@ -189,21 +213,27 @@ def emitted(docs: DataFrame, frequent: np.ndarray, percent: int, k: int) -> Data
                 if len(seen) >= 1 << 17:
                     seen.clear()
                 seen.add(digest)
-                own = keys(s, common.value, percent)
+                own, hot = keys(s, common.value, percent)
                 out.append(own)
                 who.append(np.full(len(own), d, np.int64))
+                salt.append(hot * (1 + (d * 0x9E3779B1 >> 8) % SALTS))
                 size += len(own)
                 if size > 1 << 19:
-                    yield _keyed(out, who)
-                    out, who, size = [], [], 0
+                    yield _keyed(out, who, salt)
+                    out, who, salt, size = [], [], [], 0
             if out:
-                yield _keyed(out, who)
+                yield _keyed(out, who, salt)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "key long, doc_id long")
+    return docs.select("doc_id", "text").mapInArrow(run, "key long, doc_id long, salt int")
 
 
-def _keyed(out: list, who: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(who))], ["key", "doc_id"])
+def _keyed(out: list, who: list, salt: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(who)), pa.array(np.concatenate(salt).astype(np.int32))], ["key", "doc_id", "salt"])
+
+
+def _often(pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that occur SHARED times or more; counted map-side first."""
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= SHARED).select("a", "b")
 
 
 class Join:
@@ -228,9 +258,13 @@ class Join:
 
     def lists(self) -> DataFrame:
         """(key, doc_id, first) of the keys that two documents or more have."""
-        w = Window.partitionBy("key").orderBy("doc_id")
-        listed = emitted(self.docs, self.frequent, self.percent, self.k).select("key", "doc_id", F.first("doc_id").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("first"), F.lead("doc_id").over(w).alias("next"))
-        return written(listed.where("doc_id <> first or next is not null").drop("next"))
+        w = Window.partitionBy("key", "salt").orderBy("doc_id")
+        listed = emitted(self.docs, self.frequent, self.percent, self.k).select("key", "salt", "doc_id", F.first("doc_id").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("first"), F.lead("doc_id").over(w).alias("next"))
+        kept = written(listed.where("salt > 0 or doc_id <> first or next is not null").drop("next"))
+        # Rows of salted keys are few; their lists' first documents come from a sum by key, and adaptive execution splits the join.
+        salted = kept.where("salt > 0").select("key", "doc_id")
+        tops = written(salted.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+        return written(kept.where("salt = 0").select("key", "doc_id", "first").unionByName(salted.join(tops.hint("merge"), "key")))
 
     def unrefuted(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sketches allow a link."""
@@ -276,19 +310,27 @@ class Join:
         mixed = rooted.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", "m")
         return written(rooted.join(written(mixed).hint("merge"), "key"))
 
+    def neighbours(self, apart: DataFrame, turn: int) -> DataFrame:
+        """Pairs (a, b) that are next to each other in an order of their list that
+        depends on the turn, where they are still apart: as many as rows. A large
+        group of similar documents comes together by a few of these."""
+        some = apart.where(F.col("m") > FEW).withColumn("place", F.xxhash64("doc_id", F.lit(turn)))
+        block = F.pmod(F.col("place"), F.ceil(F.col("m") / F.lit(BLOCK)))
+        w = Window.partitionBy("key", "block").orderBy("place", "doc_id")
+        beside = some.withColumn("block", block).select("doc_id", "root", F.lead("doc_id").over(w).alias("other"), F.lead("root").over(w).alias("root_2"))
+        return beside.where("other is not null and root <> root_2").select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
+
     def across(self, apart: DataFrame) -> DataFrame:
-        """Pairs (a, b) of documents of one list with different roots."""
+        """Pairs (a, b) of documents with different roots that share SHARED lists."""
         few, many = apart.where(F.col("m") <= SHORT), apart.where(F.col("m") > SHORT)
         x, y = few.select("key", F.col("doc_id").alias("a"), F.col("root").alias("ra")), few.select("key", F.col("doc_id").alias("b"), F.col("root").alias("rb"))
-        pairs = x.join(y, "key").where("a < b and ra <> rb").select("a", "b").distinct()
-        if many.isEmpty():
-            return pairs
-        return pairs.union(self.blocked(many)).distinct()
+        pairs = x.join(y, "key").where("a < b and ra <> rb").select("a", "b")
+        return _often(pairs if many.isEmpty() else pairs.union(self.blocked(many)))
 
     def blocked(self, many: DataFrame) -> DataFrame:
-        """Pairs of long lists that sketches allow: every two blocks of a list
-        are compared in one task of at most 2 * BLOCK rows."""
-        numbered = many.withColumn("block", ((F.row_number().over(Window.partitionBy("key").orderBy("doc_id")) - 1) / F.lit(BLOCK)).cast("int")).withColumn("blocks", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int"))
+        """Pairs of long lists that sketches allow, once a list: every two blocks of a list
+        are compared in one task of about 2 * BLOCK rows; a hash deals the blocks."""
+        numbered = many.withColumn("blocks", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
         sk = self.rows.where("n > 0").select("doc_id", "n", "sketch").dropDuplicates(["doc_id", "n", "sketch"])
         sent = numbered.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "root")
         wide = sent.join(sk.hint("merge"), "doc_id")
@@ -312,22 +354,35 @@ class Join:
                     else:
                         folded, own = sketches, np.bitwise_xor.reduce(x.reshape(-1, length), axis=0)
                     far = np.bitwise_count(folded ^ own).sum(axis=1)
-                    fits = (far <= (n[rows] + n[k]) * (100 - percent) // (100 + percent)) & (100 * np.minimum(n[rows], n[k]) >= percent * np.maximum(n[rows], n[k])) & (roots[rows] != roots[k]) & (ids[rows] != ids[k])
+                    fits = (rows != k if i != j else rows > k) & (far <= (n[rows] + n[k]) * (100 - percent) // (100 + percent)) & (100 * np.minimum(n[rows], n[k]) >= percent * np.maximum(n[rows], n[k])) & (roots[rows] != roots[k]) & (ids[rows] != ids[k])
                     a_all.append(np.minimum(ids[rows][fits], ids[k]))
                     b_all.append(np.maximum(ids[rows][fits], ids[k]))
             none = np.zeros(0, np.int64)
             return pa.table({"a": pa.array(np.concatenate([none, *a_all])), "b": pa.array(np.concatenate([none, *b_all]))})
 
-        return wide.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+        return wide.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
     def links(self) -> tuple[DataFrame, DataFrame]:
         """Links between documents, enough to connect all that are similar, and the components (node, root)."""
         lists = self.lists()
-        stars = written(lists.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct())
+        stars = written(_often(lists.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))))
         edges = self.classes().union(self.verified(stars))
         edges = written(edges)
         found = components(edges)
         apart = self.apart(lists, found)
+        for turn in range(TURNS):
+            if apart.where(F.col("m") > FEW).isEmpty():
+                break
+            near = written(self.neighbours(apart, turn))
+            more = self.verified(near)
+            gained = more.count()
+            if not gained:
+                break
+            edges = edges.union(more)
+            found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+            apart = self.apart(lists, found)
+            if gained * 20 < near.count():
+                break  # what is left is hardly similar
         if apart.isEmpty():
             return edges, found
         pairs = self.across(apart).join(stars, ["a", "b"], "left_anti")
