@@ -5,12 +5,13 @@ bound) principal axes are taken and a rotation is learned that brings the rotate
 vectors close to the corners of a cube, so that their signs are balanced codes
 of a bit per dimension.
 
-Retrieve. The bits of a code are split over m tables, as many as leave a table
-about log2(rows) bits. Vectors within r flipped bits of a table share a key: the
-table's bits with some r of them masked. m and r follow from the number of rows
-and the cosine alone, so that the expected recall at that cosine is RECALL.
-Every row is indexed. A pair may share many keys, but counts in one of them: the
-first table and the lowest mask where it does.
+Retrieve. A table takes some of the bits of a code as its key, and vectors that
+agree in all of them share it. How many bits a pair at the cosine differs in
+depends on the vectors (a common mean widens the angles once it is subtracted),
+so it is measured: pairs at exactly the cosine are planted around vectors of the
+sample that the rotation was not learned on, and tables are added until RECALL of other planted pairs share a key. Every
+row is indexed. A pair may share many keys, but counts in one of them: that of the
+first table where it does.
 
 Rerank. Pairs with codes at most FAR bits apart are compared by the cosine of
 their original vectors in double precision. Short lists of a key are joined pair
@@ -29,7 +30,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +41,9 @@ from quarry.llm.shared import components, mix, small_batches, written
 COSINE = 0.95
 SAMPLE = 20_000
 ROUNDS = 50
-RECALL = 0.93
+RECALL = 0.95
+#: Planted pairs of each way, and tables tried for each one chosen.
+PLANTS, TRIES = 8_000, 16
 SHORT, BLOCK = 64, 512
 
 
@@ -76,40 +78,74 @@ class Codes:
         return (signs << np.arange(self.bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
+def planted(sample: np.ndarray, cosine: float, codes: Codes, seed: int, pairs: int = PLANTS) -> list[np.ndarray]:
+    """Differing bits of the codes of pairs at the cosine: vectors of the sample and
+    what lies from them in any direction, and in the direction of another one."""
+    rng = np.random.default_rng(seed)
+    u = sample[rng.integers(0, len(sample), pairs)]
+    u = u / np.linalg.norm(u, axis=1)[:, None]
+    out = []
+    for to in (rng.normal(size=u.shape), sample[rng.integers(0, len(sample), pairs)]):
+        to = to / np.linalg.norm(to, axis=1)[:, None]
+        to = to - np.einsum("ij,ij->i", u, to)[:, None] * u
+        long = np.linalg.norm(to, axis=1)
+        ok = long > 1e-6  # no direction from a vector to itself
+        if ok.any():
+            out.append(codes.of(u[ok]) ^ codes.of(cosine * u[ok] + math.sqrt(1 - cosine * cosine) * to[ok] / long[ok][:, None]))
+    return out or [np.zeros(1, np.uint64)]
+
+
 class Tables:
-    """How a code is split into tables and masked into keys."""
-
-    def __init__(self, bits: int, rows: int, cosine: float = COSINE, recall: float = RECALL) -> None:
-        m = max(1, bits // max(6, math.ceil(math.log2(max(2, rows)))))
-        flips = bits * math.acos(cosine) / math.pi / m
-        self.radius = 0
-        while 1 - (1 - sum(math.exp(-flips) * flips**k / math.factorial(k) for k in range(self.radius + 1))) ** m < recall:
-            self.radius += 1
-        cuts = [round(i * bits / m) for i in range(m + 1)]
-        self.parts = [sum(1 << b for b in range(s, e)) for s, e in zip(cuts, cuts[1:], strict=False)]
-        self.masks = [[sum(1 << b for b in c) for c in combinations(range(s, e), min(self.radius, e - s))] for s, e in zip(cuts, cuts[1:], strict=False)]
-        self.far = min(bits, math.ceil(bits * math.acos(cosine) / math.pi + 5 * math.sqrt(bits * math.acos(cosine) / math.pi)))
+    """Which bits of a code each table takes as its key.
+
+    fit, held: differing bits of planted pairs, one array for each way of planting.
+    Tables are chosen on the first and recall is measured on the second, in the
+    worst of the ways. Without them bits flip independently, as for a mean of zero."""
+
+    def __init__(self, bits: int, rows: int, cosine: float = COSINE, recall: float = RECALL, fit: list[np.ndarray] | None = None, held: list[np.ndarray] | None = None) -> None:
+        rng = np.random.default_rng(11)
+        if fit is None or held is None:
+            flipped = rng.random((2, PLANTS, bits)) < math.acos(cosine) / math.pi
+            fit, held = ([x] for x in (flipped.astype(np.uint64) << np.arange(bits, dtype=np.uint64)).sum(axis=2, dtype=np.uint64))
+        self.bits = bits
+        self.parts, self.recall = self._chosen(min(bits, math.ceil(math.log2(max(2, rows)))), recall, fit, held, rng)
+        self.far = int(max(np.bitwise_count(x).max() for x in (*fit, *held)))
+
+    def _chosen(self, width: int, recall: float, fit: list[np.ndarray], held: list[np.ndarray], rng: np.random.Generator) -> tuple[list[int], float]:
+        """Tables of so many bits, each the one of TRIES that finds most of the
+        pairs not found so far, and the recall that is measured with them."""
+        parts, missed, left = [], np.concatenate(fit), list(held)
+        while True:
+            tried = np.argsort(rng.random((TRIES, self.bits)), axis=1)[:, :width].astype(np.uint64)
+            tried = (np.uint64(1) << tried).sum(axis=1, dtype=np.uint64)
+            part = tried[((missed[None, :] & tried[:, None]) == 0).sum(axis=1).argmax()]
+            parts.append(int(part))
+            missed = missed[(missed & part) != 0]
+            left = [x[(x & part) != 0] for x in left]
+            found = min(1 - len(x) / len(h) for x, h in zip(left, held, strict=True))
+            if found >= recall:
+                return parts, found
 
     def keys(self, codes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(table, mask, key of each code) for every table and mask."""
-        for t, (part, masks) in enumerate(zip(self.parts, self.masks, strict=True)):
-            for mask in masks:
-                space = mix(np.array([mask ^ (t << 58) ^ 0x51ED270B], np.uint64))[0]
-                yield t, mask, mix((codes & np.uint64(part & ~mask)) ^ space)
-
-    def first(self, x: np.ndarray, table: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        """Whether the table and mask are the first ones that pairs with differing bits x share."""
+        """(table, mask of the bits it leaves out, key of each code) for every table."""
+        for t, part in enumerate(self.parts):
+            space = mix(np.array([part ^ (t << 40) ^ 0x51ED270B], np.uint64))[0]
+            yield t, ((1 << self.bits) - 1) & ~part, mix((codes & np.uint64(part)) ^ space)
+
+    def first(self, x: np.ndarray, table: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray:
+        """Whether the table is the first one whose key pairs with differing bits x
+        share; the mask follows from the table."""
         good = np.ones(len(x), bool)
         for t, part in enumerate(self.parts):
-            near = np.bitwise_count(x & np.uint64(part)) <= self.radius
-            good &= ~near | (table <= t)
-        low = np.array([part & -part for part in self.parts], np.uint64)[table]
-        free = mask & ~x
-        top = free.copy()
-        for s in (1, 2, 4, 8, 16, 32):
-            top |= top >> np.uint64(s)
-        below = (top >> np.uint64(1)) & ~(low - np.uint64(1))  # bits of the table under the highest masked bit that the pair doesn't need
-        return good & ((mask & below) == below)
+            good &= ((x & np.uint64(part)) != 0) | (table <= t)
+        return good
+
+
+def fitted(sample: np.ndarray, rows: int, cosine: float) -> tuple[Codes, Tables]:
+    """Codes learned on one half of the sample and tables for them by pairs around
+    the other half, as codes of vectors that the rotation has seen flip less."""
+    codes, rest = Codes(sample[::2]), sample[1::2] if len(sample) > 1 else sample
+    return codes, Tables(codes.bits, rows, cosine, fit=planted(rest, cosine, codes, 1), held=planted(rest, cosine, codes, 2))
 
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -151,32 +187,33 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
     classes = written(rows.where(usable).groupBy("e").agg(F.min("row").alias("id"), F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("many")))
     n = classes.count()
     picked = classes.orderBy(F.xxhash64("least", "id"), "id").limit(sample).select("e").toArrow()  # at most `sample` vectors
-    codes = spark.sparkContext.broadcast(Codes(matrix(picked.column("e"), dim)))
-    tables = Tables(codes.value.bits, n, cosine)
+    near = matrix(picked.column("e"), dim)
+    codes, tables = fitted(near, n, cosine)
+    codes = spark.sparkContext.broadcast(codes)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in range(0, b.num_rows, 1024):
                 part = b.slice(s, 1024)
                 c = codes.value.of(matrix(part.column("e"), dim))
-                for t, mask, key in tables.keys(c):
+                for t, _, key in tables.keys(c):
                     k = len(key)
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column("id"), pa.array(c.view(np.int64)), pa.array(np.full(k, t, np.int32)), pa.array(np.full(k, mask, np.uint64).view(np.int64))], ["key", "id", "code", "tab", "mask"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column("id"), pa.array(c.view(np.int64)), pa.array(np.full(k, t, np.int32))], ["key", "id", "code", "tab"])
 
-    keys = classes.select("id", "e").mapInArrow(keyed, "key long, id long, code long, tab int, mask long")
+    keys = classes.select("id", "e").mapInArrow(keyed, "key long, id long, code long, tab int")
     w = Window.partitionBy("key").orderBy("id")
     listed = keys.withColumns({"at": F.row_number().over(w), "next": F.lead("id").over(w)}).where("at > 1 or next is not null").drop("next")
     listed = written(listed)
     longest = listed.groupBy("key").agg(F.max("at").alias("m")).where(F.col("m") > SHORT)
     long_keys = written(longest)
     short = listed.join(long_keys.hint("merge"), "key", "left_anti")
-    a, b = short.select("key", F.col("id").alias("a"), F.col("code").alias("ca")), short.select("key", F.col("id").alias("b"), F.col("code").alias("cb"), "tab", "mask")
-    pairs = a.join(b.hint("merge"), "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("ca").bitwiseXOR(F.col("cb"))) <= tables.far)).select("a", "b", F.col("ca").bitwiseXOR(F.col("cb")).alias("x"), "tab", "mask")
+    a, b = short.select("key", F.col("id").alias("a"), F.col("code").alias("ca")), short.select("key", F.col("id").alias("b"), F.col("code").alias("cb"), "tab")
+    pairs = a.join(b.hint("merge"), "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("ca").bitwiseXOR(F.col("cb"))) <= tables.far)).select("a", "b", F.col("ca").bitwiseXOR(F.col("cb")).alias("x"), "tab")
 
     def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for q in batches:
-            x, t, mask = (q.column(c).to_numpy() for c in ("x", "tab", "mask"))
-            yield pa.RecordBatch.from_arrays([q.column("a"), q.column("b")], ["a", "b"]).filter(pa.array(tables.first(x.view(np.uint64), t, mask.view(np.uint64))))
+            x, t = (q.column(c).to_numpy() for c in ("x", "tab"))
+            yield pa.RecordBatch.from_arrays([q.column("a"), q.column("b")], ["a", "b"]).filter(pa.array(tables.first(x.view(np.uint64), t)))
 
     once = pairs.mapInArrow(firsts, "a long, b long")
     side = lambda x: classes.select(F.col("id").alias(x), F.col("e").alias(f"e_{x}"), F.col("many").alias(f"m_{x}"))
@@ -209,13 +246,13 @@ def _blocks(listed: DataFrame, classes: DataFrame, tables: Tables, dim: int, cos
     """Links of long lists, a task for every two blocks of a list: (a, null, n), n
     vectors linked with a here, and (a, b, 0), edges that connect what is linked."""
     placed = listed.withColumns({"block": ((F.col("at") - 1) / F.lit(BLOCK)).cast("int"), "blocks": F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")})
-    sent = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "code", "tab", "mask")
+    sent = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "code", "tab")
     wide = sent.join(classes.select("id", "e", "many").hint("merge"), "id")
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         i, j = key[1].as_py(), key[2].as_py()
         block, ids, many = (t.column(c).to_numpy() for c in ("block", "id", "many"))
-        code, mask = (t.column(c).to_numpy().view(np.uint64) for c in ("code", "mask"))
+        code = t.column("code").to_numpy().view(np.uint64)
         tab = t.column("tab").to_numpy()
         v = matrix(t.column("e"), dim)
         v = v / np.linalg.norm(v, axis=1)[:, None]
@@ -225,7 +262,7 @@ def _blocks(listed: DataFrame, classes: DataFrame, tables: Tables, dim: int, cos
         ok = (ids[p[r]] < ids[q[c]]) if i == j else np.ones(len(r), bool)
         r, c = p[r[ok]], q[c[ok]]
         x = code[r] ^ code[c]
-        ok = (np.bitwise_count(x) <= tables.far) & tables.first(x, tab[r], mask[r])
+        ok = (np.bitwise_count(x) <= tables.far) & tables.first(x, tab[r])
         r, c = r[ok], c[ok]
         ok = cosines(v[r], v[c]) >= cosine
         r, c = r[ok], c[ok]

@@ -106,3 +106,44 @@ def test_recall_on_the_whole_table(spark, sf):
     got = {r.vec_id: r for r in QUERIES["op5_itq_near_dedup"](spark, d).collect()}
     assert sum(got[i].n_links for i in ids) >= 0.9 * n.sum()
     assert np.mean([got[i].component_id == c for i, c in zip(ids, names, strict=True)]) >= 0.98
+
+
+def common(share, n, seed, most=0.97, dim=64):
+    """Vectors whose average cosine is the share, and pairs at 0.95 to `most` planted around every tenth one."""
+    rng = np.random.default_rng(seed)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = unit(unit(rng.normal(size=(n, dim))) + np.sqrt(share / (1 - share)) * unit(np.ones(dim)))
+    u, c = x[: n // 10], rng.uniform(0.95, most, (n // 10, 1))
+    to = rng.normal(size=u.shape)
+    to = unit(to - (to * u).sum(axis=1, keepdims=True) * u)
+    return np.concatenate([x, c * u + np.sqrt(1 - c * c) * to])
+
+
+def recall(x, rows, sample=itq.SAMPLE):
+    """Share of all links of x that tables for so many rows find, learned on other vectors."""
+    codes, tables = itq.fitted(x[-sample:], rows, 0.95)
+    x = x[:-sample]
+    a, b = np.nonzero(np.triu(x @ x.T >= 0.95, 1))
+    code = codes.of(x)
+    found = np.zeros(len(a), bool)
+    for _, _, key in tables.keys(code):
+        found |= key[a] == key[b]
+    return (found & (np.bitwise_count(code[a] ^ code[b]) <= tables.far)).mean(), len(a)
+
+
+@pytest.mark.parametrize("share", [0.5, 0.7])
+def test_recall_with_a_common_mean(share):
+    x = common(share, 6000, 5, most=0.951)
+    found, links = recall(np.concatenate([x, common(share, 20_000, 6)[:20_000]]), 51_282)
+    assert links >= 500 and found >= 0.93
+
+
+def test_links_of_a_large_table_with_a_common_mean(spark, monkeypatch):
+    tables = itq.Tables
+    monkeypatch.setattr(itq, "Tables", lambda bits, rows, *a, **k: tables(bits, 51_282, *a, **k))
+    x = common(0.5, 2000, 6).astype(np.float32)
+    n, _ = brute(list(range(len(x))), x.astype(np.float64))
+    assert n.sum() >= 400
+    got = itq.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()
+    assert all(r.n_links <= n[r.vec_id] for r in got)
+    assert sum(r.n_links for r in got) >= 0.9 * n.sum()
