@@ -9,8 +9,9 @@ Retrieve. A table takes some of the bits of a code as its key, and vectors that
 agree in all of them share it. How many bits a pair at the cosine differs in
 depends on the vectors (a common mean widens the angles once it is subtracted),
 so it is measured: pairs at exactly the cosine are planted around vectors of the
-sample that the rotation was not learned on, and tables are added until RECALL of other planted pairs share a key. Every
-row is indexed. A pair may share many keys, but counts in one of them: that of the
+sample that the rotation was not learned on, and tables are added until RECALL of other planted pairs share a key. Of the
+lengths of a key the one is taken that costs least in keys and in vectors compared
+(none at all for few rows, which are one list). Every row is indexed. A pair may share many keys, but counts in one of them: that of the
 first table where it does.
 
 Rerank. Pairs with codes at most FAR bits apart are compared by the cosine of
@@ -44,6 +45,8 @@ ROUNDS = 50
 RECALL = 0.95
 #: Planted pairs of each way, and tables tried for each one chosen.
 PLANTS, TRIES = 8_000, 16
+#: Cost of a vector compared in a list, where a key costs 1.
+COMPARED = 1 / 16
 SHORT, BLOCK = 64, 512
 
 
@@ -102,29 +105,43 @@ class Tables:
     Tables are chosen on the first and recall is measured on the second, in the
     worst of the ways. Without them bits flip independently, as for a mean of zero."""
 
-    def __init__(self, bits: int, rows: int, cosine: float = COSINE, recall: float = RECALL, fit: list[np.ndarray] | None = None, held: list[np.ndarray] | None = None) -> None:
+    def __init__(self, bits: int, rows: int, cosine: float = COSINE, recall: float = RECALL, fit: list[np.ndarray] | None = None, held: list[np.ndarray] | None = None, seen: np.ndarray | None = None) -> None:
         rng = np.random.default_rng(11)
         if fit is None or held is None:
             flipped = rng.random((2, PLANTS, bits)) < math.acos(cosine) / math.pi
             fit, held = ([x] for x in (flipped.astype(np.uint64) << np.arange(bits, dtype=np.uint64)).sum(axis=2, dtype=np.uint64))
-        self.bits = bits
-        self.parts, self.recall = self._chosen(min(bits, math.ceil(math.log2(max(2, rows)))), recall, fit, held, rng)
+        if seen is None:
+            seen = (rng.random((SAMPLE, bits)) < 0.5).astype(np.uint64) << np.arange(bits, dtype=np.uint64)
+            seen = seen.sum(axis=1, dtype=np.uint64)
+        self.bits, self.cost = bits, math.inf
+        for width in range(0, bits + 1, 2):
+            if found := self._chosen(width, recall, fit, held, rng, seen, rows):
+                self.parts, self.recall, self.cost = found
+            elif self.cost <= len(self.parts) * 2:
+                break  # keys are the greater part of the cost, and longer keys need more of them
         self.far = int(max(np.bitwise_count(x).max() for x in (*fit, *held)))
 
-    def _chosen(self, width: int, recall: float, fit: list[np.ndarray], held: list[np.ndarray], rng: np.random.Generator) -> tuple[list[int], float]:
+    def _chosen(self, width: int, recall: float, fit: list[np.ndarray], held: list[np.ndarray], rng: np.random.Generator, seen: np.ndarray, rows: int) -> tuple[list[int], float, float] | None:
         """Tables of so many bits, each the one of TRIES that finds most of the
-        pairs not found so far, and the recall that is measured with them."""
+        pairs not found so far, the recall measured with them and what they cost
+        a vector: its keys, and the other vectors that `seen` codes let expect in
+        their lists. None if that is not below the least cost so far."""
+        cost = 0.0
         parts, missed, left = [], np.concatenate(fit), list(held)
         while True:
             tried = np.argsort(rng.random((TRIES, self.bits)), axis=1)[:, :width].astype(np.uint64)
             tried = (np.uint64(1) << tried).sum(axis=1, dtype=np.uint64)
             part = tried[((missed[None, :] & tried[:, None]) == 0).sum(axis=1).argmax()]
             parts.append(int(part))
+            met = np.unique(seen & part, return_counts=True)[1].astype(float)
+            cost += 1 + COMPARED * rows * (met * (met - 1)).sum() / max(1, len(seen) * (len(seen) - 1))
+            if cost >= self.cost:
+                return None
             missed = missed[(missed & part) != 0]
             left = [x[(x & part) != 0] for x in left]
             found = min(1 - len(x) / len(h) for x, h in zip(left, held, strict=True))
             if found >= recall:
-                return parts, found
+                return parts, found, cost
 
     def keys(self, codes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
         """(table, mask of the bits it leaves out, key of each code) for every table."""
@@ -145,7 +162,7 @@ def fitted(sample: np.ndarray, rows: int, cosine: float) -> tuple[Codes, Tables]
     """Codes learned on one half of the sample and tables for them by pairs around
     the other half, as codes of vectors that the rotation has seen flip less."""
     codes, rest = Codes(sample[::2]), sample[1::2] if len(sample) > 1 else sample
-    return codes, Tables(codes.bits, rows, cosine, fit=planted(rest, cosine, codes, 1), held=planted(rest, cosine, codes, 2))
+    return codes, Tables(codes.bits, rows, cosine, fit=planted(rest, cosine, codes, 1), held=planted(rest, cosine, codes, 2), seen=codes.of(sample))
 
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:

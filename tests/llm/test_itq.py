@@ -147,3 +147,9 @@ def test_links_of_a_large_table_with_a_common_mean(spark, monkeypatch):
     got = itq.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()
     assert all(r.n_links <= n[r.vec_id] for r in got)
     assert sum(r.n_links for r in got) >= 0.9 * n.sum()
+
+
+@pytest.mark.parametrize("rows", [51_282, 65_537, 150_000, 3_000_000])
+def test_keys_stay_few_as_rows_grow(rows):
+    t = itq.Tables(64, rows)
+    assert len(list(t.keys(np.zeros(1, np.uint64)))) <= 64 and t.recall >= 0.93
