@@ -138,6 +138,14 @@ def test_recall_with_a_common_mean(share):
     assert links >= 500 and found >= 0.93
 
 
+@pytest.mark.parametrize("share", [0.0, 0.3, 0.5, 0.7])
+@pytest.mark.parametrize("rows", [51_282, 150_000])
+def test_recall_of_large_tables(share, rows):
+    x = common(share, 6000, 7)
+    found, links = recall(np.concatenate([x, common(share, 20_000, 8)[:20_000]]), rows)
+    assert links >= 500 and found >= 0.93
+
+
 def test_links_of_a_large_table_with_a_common_mean(spark, monkeypatch):
     tables = itq.Tables
     monkeypatch.setattr(itq, "Tables", lambda bits, rows, *a, **k: tables(bits, 51_282, *a, **k))
