@@ -21,8 +21,8 @@ return counts and a spanning forest of the links, never the pairs. Equal vectors
 are one class from the start. No list is cut.
 
 Defined results: vectors that are null, zero or hold null or non-finite numbers
-link with nothing, as do vectors of another length than the most frequent one
-(the longer length on ties); repeated rows are vectors of their own, which link
+link with nothing; vectors of different lengths don't link, and each length has
+codes and tables of its own; repeated rows are vectors of their own, which link
 with each other; a null id is in no component's choice of a smallest id, and a
 component of null ids alone has a null id; an empty table gives no rows. Labels
 and other columns are not looked at."""
@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -194,14 +195,18 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
     finite = ~F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("e", lambda x: x != 0)
     rows = vectors.select("vec_id", F.col(embedding).cast("array<double>").alias("e")).withColumn("fine", F.coalesce(finite, F.lit(False)))
     rows = written(rows.withColumn("e", F.when(F.col("fine"), e)).withColumn("row", F.monotonically_increasing_id()))
-    alone = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    sizes = rows.where("fine").groupBy(F.size("e").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
-    if sizes is None:
-        return alone.withColumn("kept", F.lit(True))
-    dim = sizes.d
-    usable = F.col("fine") & (F.size("e") == dim)
+    rest = rows.where(~F.col("fine")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    lengths = [r.d for r in rows.where("fine").select(F.size("e").alias("d")).distinct().orderBy("d").toLocalIterator()]  # a number for each model that made vectors
+    parts = [_of_length(rows.where(F.col("fine") & (F.size("e") == d)), d, cosine, sample) for d in lengths]
+    out = reduce(DataFrame.union, parts, rest)
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+def _of_length(rows: DataFrame, dim: int, cosine: float, sample: int) -> DataFrame:
+    """rows(vec_id, e, row), vectors of one length, to vec_id, n_links and component_id."""
+    spark = rows.sparkSession
     # Equal vectors are a class: its number is the smallest row number, its name the smallest id.
-    classes = written(rows.where(usable).groupBy("e").agg(F.min("row").alias("id"), F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("many")))
+    classes = written(rows.groupBy("e").agg(F.min("row").alias("id"), F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("many")))
     n = classes.count()
     picked = classes.orderBy(F.xxhash64("least", "id"), "id").limit(sample).select("e").toArrow()  # at most `sample` vectors
     near = matrix(picked.column("e"), dim)
@@ -254,9 +259,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
     known = written(known)
     names = written(known.groupBy("root").agg(F.min("least").alias("name")))
     named = written(known.join(names.hint("merge"), "root").select("id", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).cast("long").alias("n_links"), "name"))
-    linked = rows.where(usable).join(classes.select("e", "id").hint("merge"), "e").join(named.hint("merge"), "id").select("vec_id", "n_links", F.col("name").alias("component_id"))
-    out = linked.union(rows.where(~usable).select("vec_id", F.lit(0).cast("long"), "vec_id"))
-    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    return rows.join(classes.select("e", "id").hint("merge"), "e").join(named.hint("merge"), "id").select("vec_id", "n_links", F.col("name").alias("component_id"))
 
 
 def _blocks(listed: DataFrame, classes: DataFrame, tables: Tables, dim: int, cosine: float) -> DataFrame:

@@ -161,3 +161,18 @@ def test_links_of_a_large_table_with_a_common_mean(spark, monkeypatch):
 def test_keys_stay_few_as_rows_grow(rows):
     t = itq.Tables(64, rows)
     assert len(list(t.keys(np.zeros(1, np.uint64)))) <= 64 and t.recall >= 0.93
+
+
+def test_every_length_is_indexed(spark):
+    rng = np.random.default_rng(4)
+    base = {d: rng.normal(size=(60, d)) for d in (64, 32, 3)}
+    rows = [(100 * d + i, v.tolist()) for d, x in base.items() for i, v in enumerate(x)] + [(100 * d + 60 + i, (v * 2 + 0.01).tolist()) for d, x in base.items() for i, v in enumerate(x[:30])]
+    rows += [(7, [1.0] * 5), (8, [1.0] * 5), (9, [0.0] * 3), (10, [])]
+    got = {r.vec_id: r for r in itq.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert len(got) == len(rows)
+    for d in base:
+        own = [(i, v) for i, v in rows if i >= 100 and i // 100 == d]
+        n, _ = brute([i for i, _ in own], np.array([v for _, v in own], np.float32).astype(np.float64))
+        assert sum(n) >= 60 and sum(got[i].n_links for i, _ in own) >= 0.9 * sum(n)
+        assert all(got[i].n_links <= k for (i, _), k in zip(own, n, strict=True))
+    assert [(got[i].n_links, got[i].component_id) for i in (7, 8, 9, 10)] == [(1, 7), (1, 7), (0, 9), (0, 10)]
