@@ -29,18 +29,24 @@ def within_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id. Rows
-    of one id are one document, of which one row stays; null ids stay."""
-    rows = written(parity_join.near_duplicates(docs))
-    gone = written(rows.where("doc_id <> component_id").select("doc_id").distinct())
-    again = written(rows.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+    """Of each group of near duplicates the document with the smallest id. Rows of
+    one id are documents of their own, of which equal ones are one; null ids stay."""
     small = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    left = docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
-    if again.isEmpty():
-        return left
-    twice = left.join(small(again), "doc_id", "left_semi").select(*docs.columns)
-    first = twice.groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns])).alias("row")).select("row.*")
-    return left.join(small(again), "doc_id", "left_anti").select(*docs.columns).unionByName(first)
+    if docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        rows = parity_join.near_duplicates(docs)
+        gone = written(rows.where("doc_id <> component_id").select("doc_id"))
+        return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    # Ids that repeat: the rows are numbered, and the numbers take the place of the ids in the join.
+    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()))
+    groups = parity_join.near_duplicates(numbered.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    named = numbered.where("doc_id is not null").select("_row", "doc_id", F.xxhash64("text").alias("_hash"))
+    least = F.min(F.struct("doc_id", "_hash", "_row"))
+    first = written(named.join(groups, "_row").groupBy("component_id").agg(least.alias("x")).select("x.*"))
+    # Texts without a shingle are in no group, though they may be equal.
+    again = first.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    equal = numbered.join(first.select("_row"), "_row", "left_semi").join(again, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min("_row").alias("_row"))
+    stay = first.join(again, "doc_id", "left_anti").select("_row").union(equal.select("_row")).union(numbered.where("doc_id is null").select("_row"))
+    return numbered.join(written(stay), "_row", "left_semi").select(*docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,3 +51,11 @@ def test_repeated_ids_keep_one_row(spark):
     assert cp.without_secrets(spark, docs, "").count() == 5 and cp.packed(spark, docs, "").count() == 5
     empty = docs.limit(0)
     assert cp.one_of_each_group(spark, empty, "").count() == cp.without_secrets(spark, empty, "").count() == cp.packed(spark, empty, "").count() == 0
+
+
+def test_rows_of_one_id_with_different_texts_stay(spark):
+    one, two, three = "a b c d e f g", "the quick brown fox jumps over it", "some words that nobody else has written"
+    rows = [(1, one), (1, two), (2, one + " h"), (3, one), (3, three), (4, two), (5, "x"), (5, "x"), (5, "y"), (5, None), (5, None), (6, three), (None, two)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in cp.one_of_each_group(spark, docs, "").collect()), key=str)
+    assert got == sorted([(1, one), (1, two), (3, three), (5, "x"), (5, "y"), (5, None), (None, two)], key=str)
