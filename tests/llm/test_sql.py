@@ -19,3 +19,23 @@ def test_equals_sql(spark, sf, name):
     cols = sorted(df.columns)
     assert sorted(names) == cols
     assert sorted((tuple(r[c] for c in cols) for r in df.collect()), key=str) == sorted((tuple(r[c] for c in cols) for r in want), key=str)
+
+
+def test_rules_equal_sql_where_cutoffs_exist(spark, tmp_path):
+    d, words = str(tmp_path), [f"w{i}" for i in range(60)]
+    good = [(i, " ".join(words[i % 7 :] + words[: i % 7]), "en") for i in range(1000)]
+    bad = [(2000 + i, " ".join([*words, *["##########"] * 5, f"x{i}"]), "en") for i in range(100)]
+    few = [(3000 + i, t, "fr") for i, (_, t, _) in enumerate(bad[:20])]
+    spark.createDataFrame(good + bad + few, "doc_id long, text string, lang string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, int(i < 1000), 0) for i, *_ in good + bad], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{d}/{t}.parquet/*.parquet')")
+    rel = con.execute(SQL["op10_quality_rules"])
+    names = [x[0] for x in rel.description]
+    want = sorted(rel.fetchall())
+    got = QUERIES["op10_quality_rules"](spark, d).select(*names).collect()
+    assert sorted(map(tuple, got)) == want
+    kept = {r.doc_id: (r.base_failed, r.kept) for r in got}
+    assert all(kept[i] == (False, False) for i, *_ in bad)  # by a cutoff, not by the base rule
+    assert all(kept[i] == (False, True) for i, *_ in good + few)
