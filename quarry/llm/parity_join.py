@@ -1,6 +1,7 @@
 """Jaccard join of word shingles by parity sketches.
 
-A document's set is its distinct 5-word shingles, hashed to 64 bits. Two sets of
+A document's set is its distinct 5-word shingles, hashed to 64 bits under a key
+drawn for the run, so that no text can be written to make words meet. Two sets of
 sizes a <= b with a Jaccard similarity of at least t have b <= a / t, and their
 symmetric difference has at most (a + b)(1 - t) / (1 + t) members.
 
@@ -27,6 +28,8 @@ connect needs no further comparison. Turns of comparisons between neighbours in
 the lists that are still apart, each in another order, bring large groups
 together. Only pairs of one list that are still apart then follow: from short
 lists by a join, from long ones in blocks of a bounded size.
+Keys that very many documents have, known from a sample of documents or from their
+frequent shingles, are salted, so their lists lie in no one task.
 No list is cut, and no list is held in memory as a whole.
 
 Defined results: null text and texts without words have no set (size 0) and are
@@ -43,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import blocks, components, mix, shingles, small_batches, text_bytes, words, written
+from quarry.llm.shared import components, fresh_key, mix, shingle_sets, small_batches, written
 
 PERCENT = 75
 SHINGLE = 5
@@ -59,8 +62,11 @@ SHORT, BLOCK = 48, 2048
 TURNS, FEW = 4, 48
 #: Tasks over which the rows of a key are spread that very many documents may have.
 SALTS = 64
-#: Ids up to this number are broadcast to the scan that needs their texts; more are joined by shuffle.
-BROADCAST_IDS = 1_000_000
+#: One of so many documents is asked, by a hash of its id, for keys that very many documents have: those that
+#: HOT_SEEN of the asked have, at most HOT of them. They are spread over tasks; nothing else depends on them.
+ASKED, HOT_SEEN, HOT = 64, 8, 1 << 16
+#: Bits of the map of ids whose texts are verified: 8 MB, whatever their number.
+ID_BITS = 1 << 26
 
 
 def band(n: int) -> int:
@@ -151,14 +157,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def sets_of(texts: pa.Array, k: int = SHINGLE) -> Iterator[np.ndarray]:
-    raw, offsets = text_bytes(texts)
-    for i, j in blocks(offsets):
-        h, _, _, doc = words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lower=True)
-        yield from shingles(h, doc, j - i, k)
-
-
-def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _summaries(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[pa.RecordBatch]:
     """A row per document: size, 128-bit digest and sketch; and rows with the
     frequent shingles of every so many (kind 1: digest_1 the shingle, n its documents)."""
     names = ["kind", "doc_id", "n", "digest_1", "digest_2", "sketch"]
@@ -172,7 +171,7 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         n, d1, d2, sk = [], [], [], []
-        for s in sets_of(b.column("text")):
+        for s in shingle_sets(b.column("text"), SHINGLE, key):
             n.append(len(s))
             one = np.bitwise_xor.reduce(s) if len(s) else np.uint64(0)
             with np.errstate(over="ignore"):
@@ -194,17 +193,18 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield counted()
 
 
-def emitted(docs: DataFrame, frequent: np.ndarray, percent: int, k: int) -> DataFrame:
+def emitted(docs: DataFrame, frequent: np.ndarray, hot: np.ndarray, percent: int, key: int) -> DataFrame:
     """(key, doc_id, salt) of every document; of equal sets a task emits one, as
     long as it remembers them. Keys that very many may have are salted from 1 on."""
-    common = docs.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT numbers
+    common = docs.sparkSession.sparkContext.broadcast((frequent, hot))  # at most FREQUENT and HOT numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
+        frequent, hot = common.value
         for b in batches:
             ids = b.column("doc_id").to_pylist()
             out, who, salt, size = [], [], [], 0
-            for d, s in zip(ids, sets_of(b.column("text"), k), strict=True):
+            for d, s in zip(ids, shingle_sets(b.column("text"), SHINGLE, key), strict=True):
                 if not len(s) or d is None:
                     continue
                 digest = (len(s), np.bitwise_xor.reduce(s), s[0], s[-1])
@@ -213,10 +213,12 @@ def emitted(docs: DataFrame, frequent: np.ndarray, percent: int, k: int) -> Data
                 if len(seen) >= 1 << 17:
                     seen.clear()
                 seen.add(digest)
-                own, hot = keys(s, common.value, percent)
+                own, many = keys(s, frequent, percent)
+                if len(hot) and len(own):
+                    many = many | (hot[np.minimum(np.searchsorted(hot, own), len(hot) - 1)] == own)
                 out.append(own)
                 who.append(np.full(len(own), d, np.int64))
-                salt.append(hot * (1 + (d * 0x9E3779B1 >> 8) % SALTS))
+                salt.append(many * (1 + (d * 0x9E3779B1 >> 8) % SALTS))
                 size += len(own)
                 if size > 1 << 19:
                     yield _keyed(out, who, salt)
@@ -231,6 +233,11 @@ def _keyed(out: list, who: list, salt: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(who)), pa.array(np.concatenate(salt).astype(np.int32))], ["key", "doc_id", "salt"])
 
 
+def _sorted(df: DataFrame) -> np.ndarray:
+    """A column of a bounded number of hashes, sorted as unsigned numbers."""
+    return np.sort(df.toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
+
+
 def _often(pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) that occur SHARED times or more; counted map-side first."""
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= SHARED).select("a", "b")
@@ -239,16 +246,18 @@ def _often(pairs: DataFrame) -> DataFrame:
 class Join:
     """The stages of one join, each on tables in the shared folder."""
 
-    def __init__(self, docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> None:
-        self.docs, self.percent, self.k = docs.select("doc_id", "text"), percent, k
+    def __init__(self, docs: DataFrame, percent: int = PERCENT) -> None:
+        self.docs, self.percent = docs.select("doc_id", "text"), percent
         self.spark = docs.sparkSession
         small_batches(self.spark)
-        if k != SHINGLE:
-            raise ValueError("summaries are of five-word shingles")
-        found = written(self.docs.mapInArrow(_summaries, "kind byte, doc_id long, n long, digest_1 long, digest_2 long, sketch binary"))
+        self.key = key = fresh_key()
+        found = written(self.docs.mapInArrow(lambda x: _summaries(x, key), "kind byte, doc_id long, n long, digest_1 long, digest_2 long, sketch binary"))
         self.rows = found.where("kind = 0").drop("kind")
         top = found.where("kind = 1").groupBy("digest_1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "digest_1").limit(FREQUENT)
-        self.frequent = np.sort(np.array([r[0] for r in top.select("digest_1").collect()], np.int64).view(np.uint64))
+        self.frequent = _sorted(top.select("digest_1"))
+        asked = emitted(self.docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ASKED)) == 0), self.frequent, np.zeros(0, np.uint64), percent, key)
+        many = asked.groupBy("key").agg(F.count_distinct("doc_id").alias("n")).where(F.col("n") >= HOT_SEEN).orderBy(F.desc("n"), "key").limit(HOT)
+        self.hot = _sorted(many.select("key"))
 
     def classes(self) -> DataFrame:
         """Edges from documents with equal sets to the smallest id among them."""
@@ -259,7 +268,7 @@ class Join:
     def lists(self) -> DataFrame:
         """(key, doc_id, first) of the keys that two documents or more have."""
         w = Window.partitionBy("key", "salt").orderBy("doc_id")
-        listed = emitted(self.docs, self.frequent, self.percent, self.k).select("key", "salt", "doc_id", F.first("doc_id").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("first"), F.lead("doc_id").over(w).alias("next"))
+        listed = emitted(self.docs, self.frequent, self.hot, self.percent, self.key).select("key", "salt", "doc_id", F.first("doc_id").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("first"), F.lead("doc_id").over(w).alias("next"))
         kept = written(listed.where("salt > 0 or doc_id <> first or next is not null").drop("next"))
         # Rows of salted keys are few; their lists' first documents come from a sum by key, and adaptive execution splits the join.
         salted = kept.where("salt > 0").select("key", "doc_id")
@@ -283,16 +292,23 @@ class Join:
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are links, from the sets of their texts."""
         left = written(self.unrefuted(pairs))
-        ids = written(left.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-        if ids.count() <= BROADCAST_IDS:
-            ids = F.broadcast(ids)
-        k, percent = self.k, self.percent
+        at = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_BITS))
+        bits = left.select(F.explode(F.array("a", "b")).alias("i")).select(at("i").alias("at"))
+        groups = bits.groupBy(F.expr("cast(at div 32 as int)").alias("g")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 32 as int)))").alias("m")).toArrow()
+        some = np.zeros(ID_BITS // 32, np.uint32)
+        some[groups.column("g").to_numpy()] = groups.column("m").to_numpy().astype(np.uint32)
+        some = self.spark.sparkContext.broadcast(some)
+        key, percent = self.key, self.percent
 
         def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array([s.tobytes() for s in sets_of(b.column("text"), k)], pa.large_binary())], ["doc_id", "members"])
+                at = b.column("at").to_numpy()
+                b = b.filter(pa.array((some.value[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)))
+                if b.num_rows:
+                    yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array([s.tobytes() for s in shingle_sets(b.column("text"), SHINGLE, key)], pa.large_binary())], ["doc_id", "members"])
 
-        sets = written(self.docs.join(ids, "doc_id", "left_semi").mapInArrow(hashed, "doc_id long, members binary"))
+        # Where a bit of the map is another id's, a set too many is made; the joins leave it out. No text is shuffled.
+        sets = written(self.docs.where("doc_id is not null").select("doc_id", "text", at("doc_id").alias("at")).mapInArrow(hashed, "doc_id long, members binary"))
         side = lambda x: sets.toDF(x, f"m_{x}")
         wide = left.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
 

@@ -4,9 +4,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import parity_join as pj
+from quarry.llm import shared
 from quarry.llm.queries import QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -105,6 +108,84 @@ def test_similar_sets_share_a_key():
         assert pj.distance(pj.sketch(x), pj.sketch(y)) <= len(x) + len(y) - 2 * both
 
 
+def morse(n):
+    a = "a"
+    while len(a) < n:
+        a += a.translate({97: 98, 98: 97})
+    return a
+
+
+def test_words_that_a_plain_polynomial_takes_for_equal(spark):
+    x = morse(2048)
+    y = x.translate({97: 98, 98: 97})
+    df = spark.createDataFrame([(1, x), (2, y), (3, x), (4, x + "\0"), (5, "w" * 448), (6, "w" * 449), (7, "w" * 449)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in pj.near_duplicates(df).collect()}
+    assert got == {1: (1, 1), 2: (1, 2), 3: (1, 1), 4: (1, 4), 5: (1, 5), 6: (1, 6), 7: (1, 6)}
+
+
+def test_hashes_are_equal_where_words_are():
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("abAB\0é") for _ in range(rng.choice([1, 2, 6, 7, 8, 13, 14, 15, 100, 447, 448, 449, 450, 3000]))) for _ in range(40)) for _ in range(60)] + [None, "", "\t\n", "a", "A"]
+    raw, at = shared.text_bytes(pa.array(texts))
+    seen = {}
+    for lower in (False, True):
+        h, starts, lengths, doc = shared.words(raw, at, lower, shared.fresh_key())
+        own = [bytes(raw[s : s + n]) for s, n in zip(starts, lengths, strict=True)]
+        want = [(k, w.encode()) for k, t in enumerate(texts) for w in WORD.findall(t or "")]
+        assert list(zip(doc.tolist(), own, strict=True)) == want
+        seen = dict(zip((w.lower() if lower else w for w in own), h.tolist(), strict=True))
+        assert all(seen[w.lower() if lower else w] == x for w, x in zip(own, h.tolist(), strict=True)) and len(set(seen.values())) == len(seen)
+
+
+@pytest.mark.parametrize("most", [5, 64, 1000])
+def test_slices_have_the_words_of_the_whole(monkeypatch, most):
+    rng = random.Random(most)
+    texts = ["".join(rng.choice("ab \n") for _ in range(3000)), "x" * 3000, " " * 300 + "y" * 2000 + " z", "a b"]
+    raw = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    assert all(b"".join(bytes(x) for x in shared.slices(r, most)) == bytes(r) for r in raw)
+    whole = [s.tolist() for s in shared.shingle_sets(pa.array(texts), 5, 7)]
+    monkeypatch.setattr(shared, "BLOCK_BYTES", most)
+    monkeypatch.setattr(shared.slices, "__defaults__", (most,))
+    monkeypatch.setattr(shared.blocks, "__defaults__", (most,))
+    assert [s.tolist() for s in shared.shingle_sets(pa.array(texts), 5, 7)] == whole
+
+
+def test_hot_keys_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(pj, "ASKED", 2)
+    monkeypatch.setattr(pj, "HOT_SEEN", 3)
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(100)]
+    rows = [(i, " ".join(base[:k] + [f"c{i}"] + base[k + 1 :])) for i in range(150) for k in [rng.randrange(100)]] + [(500 + i, " ".join(f"u{i}_{k}" for k in range(30))) for i in range(20)]
+    join = pj.Join(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert len(join.hot) > 10
+    salts = pj.emitted(join.docs, join.frequent, join.hot, 75, join.key).groupBy("key").agg(F.count_distinct("doc_id").alias("n"), F.count_distinct("salt").alias("s")).where("n > 40").agg(F.min("s")).first()[0]
+    assert salts > 1
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in join.documents().collect()) == brute(rows)
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_components_of_a_hub_and_chains(spark, monkeypatch, few):
+    monkeypatch.setattr(shared, "BROADCAST_EDGES", few)
+    edges = [(1000, i) for i in range(1001, 1400)] + [(i, i + 1) for i in range(0, 60)] + [(1399, 700), (5, 5)]
+    got = dict(tuple(r) for r in shared.components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert got == {700: 700} | {i: 700 for i in range(1000, 1400)} | {i: 0 for i in range(61)}
+    assert shared.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_folders_are_full_paths_and_are_removed(spark):
+    where = shared.shared_dir(spark)
+    assert where.startswith("file:/")
+    kept = shared.written(spark.range(3))
+    assert kept.count() == 3 and shared.cleanup(spark) >= 2 and shared.cleanup(spark) == 0
+
+
+def test_lowest_is_what_sorting_gives(spark):
+    df = spark.range(20_000)
+    want = [r.id for r in df.orderBy(F.xxhash64("id"), "id").limit(50).collect()]
+    got = shared.lowest(df, F.xxhash64("id"), 50, "id")
+    assert [r.id for r in got.collect()] == want and shared.lowest(df.limit(0), F.xxhash64("id"), 5, "id").count() == 0
+
+
 def test_empty_table(spark):
     assert pj.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
