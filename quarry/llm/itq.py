@@ -11,12 +11,12 @@ depends on the vectors (a common mean widens the angles once it is subtracted),
 so it is measured: pairs at exactly the cosine are planted around vectors of the
 sample that the rotation was not learned on, and tables are added until RECALL of other planted pairs share a key. Of the
 lengths of a key the one is taken that costs least in keys and in vectors compared
-(none at all for few rows, which are one list). Every row is indexed. A pair may share many keys, but counts in one of them: that of the
+(none at all for few rows, which are one list), with at most MOST_KEYS tables. Every row is indexed. A pair may share many keys, but counts in one of them: that of the
 first table where it does.
 
 Rerank. Pairs with codes at most FAR bits apart are compared by the cosine of
 their original vectors in double precision. Short lists of a key are joined pair
-by pair on codes; long lists are compared in blocks of BLOCK vectors, whose tasks
+by pair on codes; long lists are compared in blocks of about BLOCK vectors, dealt by hash, whose tasks
 return counts and a spanning forest of the links, never the pairs. Equal vectors
 are one class from the start. No list is cut.
 
@@ -35,10 +35,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import components, mix, small_batches, written
+from quarry.llm.shared import components, lowest, mix, small_batches, written
 
 COSINE = 0.95
 SAMPLE = 20_000
@@ -48,6 +48,8 @@ RECALL = 0.95
 PLANTS, TRIES = 8_000, 16
 #: Cost of a vector compared in a list, where a key costs 1.
 COMPARED = 1 / 16
+#: Tables at most, so keys a vector, however many rows and however wide the angles; shorter keys make up for it.
+MOST_KEYS = 128
 SHORT, BLOCK = 64, 512
 
 
@@ -114,22 +116,25 @@ class Tables:
         if seen is None:
             seen = (rng.random((SAMPLE, bits)) < 0.5).astype(np.uint64) << np.arange(bits, dtype=np.uint64)
             seen = seen.sum(axis=1, dtype=np.uint64)
-        self.bits, self.cost = bits, math.inf
+        self.bits, self.cost, self.full = bits, math.inf, False
         for width in range(0, bits + 1, 2):
             if found := self._chosen(width, recall, fit, held, rng, seen, rows):
                 self.parts, self.recall, self.cost = found
-            elif self.cost <= len(self.parts) * 2:
-                break  # keys are the greater part of the cost, and longer keys need more of them
+            elif self.cost <= len(self.parts) * 2 or self.full:
+                break  # keys are the greater part of the cost, or as many as may be, and longer keys need more of them
         self.far = int(max(np.bitwise_count(x).max() for x in (*fit, *held)))
 
     def _chosen(self, width: int, recall: float, fit: list[np.ndarray], held: list[np.ndarray], rng: np.random.Generator, seen: np.ndarray, rows: int) -> tuple[list[int], float, float] | None:
         """Tables of so many bits, each the one of TRIES that finds most of the
         pairs not found so far, the recall measured with them and what they cost
         a vector: its keys, and the other vectors that `seen` codes let expect in
-        their lists. None if that is not below the least cost so far."""
+        their lists. None if that is not below the least cost so far, or MOST_KEYS are not enough."""
         cost = 0.0
         parts, missed, left = [], np.concatenate(fit), list(held)
         while True:
+            if len(parts) == MOST_KEYS:
+                self.full = True
+                return None
             tried = np.argsort(rng.random((TRIES, self.bits)), axis=1)[:, :width].astype(np.uint64)
             tried = (np.uint64(1) << tried).sum(axis=1, dtype=np.uint64)
             part = tried[((missed[None, :] & tried[:, None]) == 0).sum(axis=1).argmax()]
@@ -208,7 +213,7 @@ def _of_length(rows: DataFrame, dim: int, cosine: float, sample: int) -> DataFra
     # Equal vectors are a class: its number is the smallest row number, its name the smallest id.
     classes = written(rows.groupBy("e").agg(F.min("row").alias("id"), F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("many")))
     n = classes.count()
-    picked = classes.orderBy(F.xxhash64("least", "id"), "id").limit(sample).select("e").toArrow()  # at most `sample` vectors
+    picked = lowest(classes, F.xxhash64("least", "id"), sample, "id").select("e").toArrow()  # at most `sample` vectors
     near = matrix(picked.column("e"), dim)
     codes, tables = fitted(near, n, cosine)
     codes = spark.sparkContext.broadcast(codes)
@@ -223,12 +228,10 @@ def _of_length(rows: DataFrame, dim: int, cosine: float, sample: int) -> DataFra
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column("id"), pa.array(c.view(np.int64)), pa.array(np.full(k, t, np.int32))], ["key", "id", "code", "tab"])
 
     keys = classes.select("id", "e").mapInArrow(keyed, "key long, id long, code long, tab int")
-    w = Window.partitionBy("key").orderBy("id")
-    listed = keys.withColumns({"at": F.row_number().over(w), "next": F.lead("id").over(w)}).where("at > 1 or next is not null").drop("next")
-    listed = written(listed)
-    longest = listed.groupBy("key").agg(F.max("at").alias("m")).where(F.col("m") > SHORT)
-    long_keys = written(longest)
-    short = listed.join(long_keys.hint("merge"), "key", "left_anti")
+    # Keys are counted map-side first and joined with their counts, a join that adaptive execution splits at a dense key.
+    counted = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
+    listed = written(keys.join(counted.hint("merge"), "key"))
+    short, long = listed.where(F.col("m") <= SHORT), listed.where(F.col("m") > SHORT)
     a, b = short.select("key", F.col("id").alias("a"), F.col("code").alias("ca")), short.select("key", F.col("id").alias("b"), F.col("code").alias("cb"), "tab")
     pairs = a.join(b.hint("merge"), "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("ca").bitwiseXOR(F.col("cb"))) <= tables.far)).select("a", "b", F.col("ca").bitwiseXOR(F.col("cb")).alias("x"), "tab")
 
@@ -249,8 +252,8 @@ def _of_length(rows: DataFrame, dim: int, cosine: float, sample: int) -> DataFra
     links = written(wide.mapInArrow(reranked, "a long, b long, m_a long, m_b long"))
     counts = links.select(F.col("a").alias("id"), F.col("m_b").alias("n")).union(links.select("b", "m_a"))
     edges = links.select("a", "b")
-    if not long_keys.isEmpty():
-        blocked = written(_blocks(listed.join(long_keys.hint("merge"), "key"), classes, tables, dim, cosine))
+    if not long.isEmpty():
+        blocked = written(_blocks(long, classes, tables, dim, cosine))
         counts = counts.union(blocked.where("b is null").select(F.col("a").alias("id"), "n"))
         edges = edges.union(blocked.where("b is not null").select("a", "b"))
     degree = counts.groupBy("id").agg(F.sum("n").alias("n"))
@@ -265,7 +268,7 @@ def _of_length(rows: DataFrame, dim: int, cosine: float, sample: int) -> DataFra
 def _blocks(listed: DataFrame, classes: DataFrame, tables: Tables, dim: int, cosine: float) -> DataFrame:
     """Links of long lists, a task for every two blocks of a list: (a, null, n), n
     vectors linked with a here, and (a, b, 0), edges that connect what is linked."""
-    placed = listed.withColumns({"block": ((F.col("at") - 1) / F.lit(BLOCK)).cast("int"), "blocks": F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")})
+    placed = listed.withColumn("blocks", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     sent = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "code", "tab")
     wide = sent.join(classes.select("id", "e", "many").hint("merge"), "id")
 

@@ -138,8 +138,8 @@ def test_recall_with_a_common_mean(share):
     assert links >= 500 and found >= 0.93
 
 
-@pytest.mark.parametrize("share", [0.0, 0.3, 0.5, 0.7])
-@pytest.mark.parametrize("rows", [51_282, 150_000])
+@pytest.mark.parametrize("share", [0.0, 0.3, 0.5, 0.7, 0.8])
+@pytest.mark.parametrize("rows", [51_282, 150_000, 3_000_000])
 def test_recall_of_large_tables(share, rows):
     x = common(share, 6000, 7)
     found, links = recall(np.concatenate([x, common(share, 20_000, 8)[:20_000]]), rows)
@@ -163,6 +163,13 @@ def test_keys_stay_few_as_rows_grow(rows):
     assert len(list(t.keys(np.zeros(1, np.uint64)))) <= 64 and t.recall >= 0.93
 
 
+@pytest.mark.parametrize("share", [0.0, 0.5, 0.8])
+@pytest.mark.parametrize("rows", [10**5, 10**7, 10**9])
+def test_keys_are_bounded_whatever_the_mean(rows, share):
+    _, t = itq.fitted(common(share, 18_000, 9)[:20_000], rows, 0.95)
+    assert len(t.parts) <= itq.MOST_KEYS == 128 and t.recall >= 0.93
+
+
 def test_every_length_is_indexed(spark):
     rng = np.random.default_rng(4)
     base = {d: rng.normal(size=(60, d)) for d in (64, 32, 3)}
