@@ -8,7 +8,7 @@ the logistic function. Texts are hashed whole, in numpy, straight from the Arrow
 buffers.
 
 Training reads at most TRAIN_ROWS labelled documents (the ones whose ids hash
-lowest; the bound is a parameter), never those held out (crc32 of the id's
+lowest; the bound is a parameter; of rows with one id the smallest text), never those held out (crc32 of the id's
 decimal text mod 5 is 0), in one streaming pass per epoch over one task that
 keeps only the model: 2**BITS weights, of a fixed size, which are broadcast.
 
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from quarry.llm.shared import blocks, mix, small_batches, text_bytes, words
+from quarry.llm.shared import blocks, lowest, mix, small_batches, text_bytes, words
 
 BITS = 18
 TRAIN_ROWS = 8000
@@ -117,8 +117,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndar
     small_batches(docs.sparkSession)
     marked = labels.where("quality is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg((F.min("quality") > 0).alias("good"))
     key = F.xxhash64("doc_id")
-    chosen = marked.orderBy(key, "doc_id").limit(rows)  # at most `rows` ids
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    chosen = lowest(marked, key, rows, "doc_id")  # at most `rows` ids
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "good").agg(F.min("text").alias("text"))
     passes = sample.withColumn("epoch", F.explode(F.array(*[F.lit(i) for i in range(EPOCHS)])))
     # One task: EPOCHS * rows documents at most, in an order that depends on their ids alone.
     ordered = passes.repartition(1).sortWithinPartitions("epoch", key, "doc_id", "text").select("text", "good")

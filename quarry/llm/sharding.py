@@ -23,10 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.shared import gapless, written
+from quarry.shipping import ship
 
 HEAVY = 4096
 FINE = 2048
 BUCKETS = 1024
+#: Classes up to this number are broadcast with their plan; more are joined by shuffle.
+BROADCAST_CLASSES = 50_000
 
 
 def size_class(size: Column) -> Column:
@@ -72,6 +75,7 @@ def shard(docs: DataFrame, shards: int = 8, text: str = "text") -> DataFrame:
 
     Only ids, sizes and hashes are shuffled, never texts. The join by group is
     between two shuffled tables, whose hot keys adaptive execution splits."""
+    ship(docs.sparkSession)
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = written(docs.select("doc_id", (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t.cast("binary")).cast("long").alias("text_crc32"), F.unhex(F.sha2(t, 256)).alias("group")))
     groups = rows.groupBy("group").agg(F.sum("size").alias("weight"))
@@ -92,7 +96,7 @@ def shard(docs: DataFrame, shards: int = 8, text: str = "text") -> DataFrame:
     plan = spark.createDataFrame(ends, "class long, first long, last long, shard int")
     plan = plan.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("last", "shard"))).alias("ends"))  # at most one entry per shard
     numbered = gapless(groups, "class", ["group"], "rank", BUCKETS)
-    placed = numbered.join(F.broadcast(plan), "class").select("group", F.expr("filter(ends, x -> x.last > rank)[0].shard").alias("shard"))
+    placed = numbered.join(F.broadcast(plan) if len(classes) <= BROADCAST_CLASSES else plan, "class").select("group", F.expr("filter(ends, x -> x.last > rank)[0].shard").alias("shard"))
     out = rows.join(written(placed), "group").select("doc_id", "size", "text_crc32", "shard")
     return gapless(out, "shard", ["doc_id", "text_crc32"], "slot", BUCKETS)
 

@@ -1,6 +1,7 @@
 """Shards against a plain heap, and the classifier on held-out documents."""
 
 import heapq
+import re
 import zlib
 
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import classifier, sharding
 from quarry.llm.queries import QUERIES
+from quarry.llm.shared import FIXED_KEY
 
 
 def heap_loads(sizes, shards):
@@ -91,3 +93,74 @@ def test_classifier_edges(spark):
     assert [round(r.score, 6) for r in got.collect()] == [0.5] * 5
     assert classifier.classify(docs.limit(0).select("doc_id", "text"), labels).count() == 0
     assert got.agg(F.count_if("held_out")).first()[0] <= 3
+
+
+M64, P61 = (1 << 64) - 1, (1 << 61) - 1
+
+
+def plain_mix(x):
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & M64
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & M64
+    return x ^ x >> 31
+
+
+def plain_hash(word):
+    h = 0
+    for i in range(0, len(word), 7):
+        h = (h * (FIXED_KEY % P61) + int.from_bytes(word[i : i + 7], "little")) % P61
+    return plain_mix((h * (FIXED_KEY % P61) + len(word)) % P61 ^ FIXED_KEY << 3 & M64)
+
+
+def plain_bag(text):
+    """n-gram indexes of a text, with words, shapes and marks as the module's docstring says."""
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+    shape = []
+    for w in words:
+        bits = 0
+        for c in w:
+            if chr(c) in "!|%$#*&<>.,":
+                bits |= 1 << 4 + "!|%$#*&<>.,".index(chr(c))
+            else:
+                bits |= 1 if 97 <= c <= 122 else 2 if 65 <= c <= 90 else 4 if 48 <= c <= 57 else 8 if c >= 128 else 1 << 15
+        shape.append(bits)
+    h = [plain_hash(w) for w in words]
+    raw = h + [s + (1 << 39) for s in shape]
+    for i in range(len(words) - 1):
+        raw += [h[i] * 0x9E3779B97F4A7C15 + h[i + 1] & M64, shape[i] * 65536 + shape[i + 1] + (1 << 40), 1 << 41 if h[i] == h[i + 1] else 1 << 42]
+    return [plain_mix(x) & (1 << classifier.BITS) - 1 for x in raw]
+
+
+def test_scores_are_those_of_plain_ftrl(spark):
+    rng = np.random.default_rng(2)
+    vocabulary = ["good", "plain", "Word", "x1", "###", "a,b", "é" * 9, "longer-word-of-many-bytes"]
+    rows = [(i, None if i == 7 else "" if i == 8 else " ".join(rng.choice(vocabulary[: 4 + 4 * (i % 2)], rng.integers(1, 30)))) for i in range(60)] + [(3, "an id again"), (None, "no id")]
+    labels = [(i, i % 2, 0) for i in range(50)] + [(51, None, 0), (4, 1, 0), (4, 0, 0)]
+    good = {}
+    for i, q, _ in labels:
+        if q is not None and zlib.crc32(str(i).encode()) % 5:
+            good[i] = min(good.get(i, 1), q)
+    order = {r.i: r.h for r in spark.createDataFrame([(i,) for i in good], "i long").withColumn("h", F.xxhash64("i")).collect()}
+    texts = {}
+    for i, t in rows:
+        if i in good and (i not in texts or t is not None and (texts[i] is None or t < texts[i])):
+            texts[i] = t
+    z, n = {}, {}
+    weight = lambda k: 0.0 if abs(z.get(k, 0.0)) <= classifier.L1 else -(z[k] - np.sign(z[k]) * classifier.L1) / ((classifier.BETA + n[k] ** 0.5) / classifier.ALPHA + classifier.L2)
+    logistic = lambda x: 1 / (1 + np.exp(-x))
+    for _ in range(classifier.EPOCHS):
+        for i in sorted(texts, key=lambda i: order[i]):
+            bag = plain_bag(texts[i])
+            x = {k: classifier.SCALE * bag.count(k) / len(bag) for k in set(bag)} | {-1: 1.0}
+            w = {k: weight(k) for k in x}
+            p = logistic(sum(w[k] * v for k, v in x.items()))
+            for k, v in x.items():
+                g, old = (p - good[i]) * v, n.get(k, 0.0)
+                z[k] = z.get(k, 0.0) + g - ((old + g * g) ** 0.5 - old**0.5) / classifier.ALPHA * w[k]
+                n[k] = old + g * g
+    want = []
+    for i, t in rows:
+        bag = plain_bag(t)
+        want.append((str(i), t or "", logistic(sum(weight(k) for k in bag) * classifier.SCALE / max(1, len(bag)) + weight(-1))))
+    got = classifier.classify(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    for (i, t, s), r in zip(sorted(want), sorted(got, key=lambda r: (str(r.doc_id), r.text or "")), strict=True):
+        assert (str(r.doc_id), r.text or "") == (i, t) and abs(r.score - s) < 1e-5 and r.predicted == int(r.score >= 0.3)
