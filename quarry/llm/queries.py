@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe, classifier, itq, packing, parity_join, quality_rules, records, secrets, sharding, sql, warc_zip
-from quarry.llm.shared import small_batches, table, written
+from quarry.llm.shared import small_batches, table
 
 #: Vocabulary of the tokenizing queries; a parameter of the operators.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -47,8 +47,7 @@ def op7_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", packing.word_length().alias("n"))
-    return packing.pack(written(docs), "n")
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", packing.word_length().alias("n")), "n")
 
 
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import zipfile
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import packing, warc_zip
 from quarry.llm.files import Ranges, Whole
@@ -120,6 +121,49 @@ def test_best_fit_is_brute_force_best_fit():
         assert sum(sizes) == sum(min(c for c in packing.CAPACITIES if c >= b[1]) for b in bins)
 
 
+def least_cost(lengths, caps):
+    """Cost of the best packing there is, by trying all ways to put pieces together."""
+    best = [float("inf")]
+
+    def place(i, bins):
+        if i == len(lengths):
+            best[0] = min(best[0], sum(packing.cost(min(c for c in caps if c >= b)) for b in bins))
+            return
+        for k in range(len(bins)):
+            if bins[k] + lengths[i] <= max(caps):
+                place(i + 1, bins[:k] + [bins[k] + lengths[i]] + bins[k + 1 :])
+        place(i + 1, bins + [lengths[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_lengths_chosen_together_are_near_the_optimum_and_never_worse_than_greedy():
+    rng = np.random.default_rng(4)
+    price = lambda sizes: sum(map(packing.cost, sizes))
+    ours = greedy = optimum = 0.0
+    for _ in range(60):
+        lengths = [int(x) for x in (rng.integers(1, 4097, 7) if rng.random() < 0.5 else rng.integers(1, 700, 7))]
+        where, offset, sizes = packing.joint(lengths)
+        used = np.bincount(where, weights=lengths)
+        assert all(u <= s and s in packing.CAPACITIES for u, s in zip(used, sizes, strict=True))
+        for b in range(len(sizes)):
+            own = sorted((offset[i], lengths[i]) for i in range(7) if where[i] == b)
+            assert [o for o, _ in own] == np.append(0, np.cumsum([n for _, n in own])[:-1]).tolist()
+        own, plain, best = price(sizes), price(packing.best_fit(lengths)[2]), least_cost(lengths, packing.CAPACITIES)
+        assert best <= own + 1e-9 and own <= plain + 1e-9 and own <= 1.35 * best
+        ours, greedy, optimum = ours + own, greedy + plain, optimum + best
+    assert ours <= 1.05 * optimum and ours < greedy
+    assert packing.mixes((5, 3, 9)) == [(3, 5, 9), (5, 9), (3, 9), (9,)] and len(packing.mixes(tuple(range(1, 30)))) == packing.MIXES
+
+
+def test_no_id_and_no_long_text_makes_a_group_large(spark):
+    df = spark.range(4000).selectExpr("cast(null as long) AS doc_id", "if(id = 7, 4096L * 3000, id % 900 + 1) AS n")
+    got = packing.pack(df, "n", group_docs=500)
+    sizes = [r.c for r in got.groupBy((F.col("bin_id") / 2**32).cast("int")).agg(F.count(F.lit(1)).alias("c")).collect()]
+    assert len(sizes) == 14 and max(sizes) <= 2 * 7000 / 14 and sum(sizes) == 6999
+
+
 def test_packing_rows(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     want = {r.doc_id: len((r.text or "").split()) + 1 for r in docs.collect()}
