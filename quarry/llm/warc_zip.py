@@ -28,10 +28,12 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.files import Ranges, Whole
+from quarry.llm.files import Ranges, Whole, opened
 from quarry.llm.shared import shared_dir, small_batches, written
 
 MEMBER_BYTES = 64 << 20
@@ -214,47 +216,57 @@ def _payload(html: str) -> Column:
     return F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary")
 
 
-def planned(pages: DataFrame) -> DataFrame:
-    """pages(page_id, url, html) as page_id, url, sha1, size, refers_to (null: a
-    response) and payload (of responses).
-
-    Digests by id, a narrow table, are summed map-side to those that occur twice
-    or more; only these are joined back, and adaptive execution splits a payload
-    that very many pages have. Where several rows share the largest id, one of
-    them is chosen by a number that is written before it is compared."""
-    rows = pages.select("page_id", "url", _payload("html").alias("payload")).withColumn("sha1", F.unhex(F.sha1("payload"))).withColumn("size", F.octet_length("payload").cast("long"))
-    ids = rows.where("page_id is not null").groupBy("sha1", "page_id").agg(F.count(F.lit(1)).alias("n"))
-    again = ids.groupBy("sha1").agg(F.sum("n").alias("all"), F.max(F.struct("page_id", "n")).alias("top")).where("all > 1")
-    tops = written(again.select("sha1", F.col("top.page_id").alias("top"), (F.col("top.n") > 1).alias("tied")))
-    named = rows.join(tops, "sha1", "left")
-    revisit = F.col("page_id").isNotNull() & F.col("top").isNotNull() & (F.col("page_id") != F.col("top"))
-    shaped = lambda df, gone: df.select("page_id", "url", "sha1", "size", F.when(gone, F.col("top")).alias("refers_to"), F.when(~gone, F.col("payload")).alias("payload"))
-    if tops.where("tied").isEmpty():
-        return shaped(named, revisit)
-    tie = F.coalesce(F.col("tied") & (F.col("page_id") == F.col("top")), F.lit(False))
-    tied = written(named.where(tie).select("page_id", "url", "sha1", "size", "top").withColumn("row", F.monotonically_increasing_id()))
-    payloads = named.where(tie).groupBy("sha1").agg(F.first("payload").alias("payload"))
-    firsts = written(tied.groupBy("sha1").agg(F.min("row").alias("row")).join(payloads, "sha1"))
-    chosen = tied.join(firsts.select("row", "payload"), "row", "left")
-    return shaped(named.where(~tie), revisit).unionByName(shaped(chosen, F.col("payload").isNull()))
+def _numbered(pages: DataFrame) -> DataFrame:
+    """page_id, url, payload and row: the partition's number and the row's in it."""
+    return pages.select("page_id", "url", _payload("html").alias("payload")).withColumn("row", F.monotonically_increasing_id())
+
+
+def revisits(pages: DataFrame) -> DataFrame:
+    """Which rows of pages(page_id, url, html) are revisits, and of which page: (row, sha1, refers_to).
+
+    Only row numbers, digests and ids are written and shuffled. Digests are summed
+    map-side to those that occur twice or more, with the row of the largest id (of
+    several such rows, the first); the join of these with the rows is between two
+    written tables, so adaptive execution splits a digest that very many rows have."""
+    rows = written(_numbered(pages).select("page_id", "row", F.unhex(F.sha1("payload")).alias("sha1")).where("page_id is not null"))
+    top = F.max(F.struct("page_id", (-F.col("row")).alias("row"))).alias("top")
+    tops = written(rows.groupBy("sha1").agg(F.count(F.lit(1)).alias("n"), top).where("n > 1").select("sha1", F.col("top.page_id").alias("top_id"), (-F.col("top.row")).alias("top_row")))
+    return rows.join(tops.hint("merge"), "sha1").where("row <> top_row").select("row", "sha1", F.col("top_id").alias("refers_to"))
 
 
 def write_packages(pages: DataFrame, folder: str | None = None) -> tuple[str, list[int]]:
-    """Writes a package per partition; returns the folder and the packages' numbers."""
+    """Writes a package per partition of pages; returns the folder and the packages' numbers.
+
+    The revisits are written to the shared folder by partition, and the task that
+    writes a partition's package reads its own, so no payload is shuffled or joined.
+    pages is read twice and must have the same rows in the same partitions then, as
+    files have; each revisit is held against its row's digest, and a difference
+    raises an error."""
     spark = pages.sparkSession
     small_batches(spark, 512)
     folder = folder or shared_dir(spark)
+    flags = shared_dir(spark)
+    by_part = revisits(pages).withColumn("part", F.shiftrightunsigned("row", 33))
+    by_part.repartition("part").sortWithinPartitions("part", "row").write.partitionBy("part").parquet(flags)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, packer, n = TaskContext.get().partitionId(), None, 0
+        part, packer, n, known = TaskContext.get().partitionId(), None, 0, None
         try:
             for b in batches:
-                for p, url, sha1, size, top, payload in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "sha1", "size", "refers_to", "payload")), strict=True):
+                for p, url, payload, row in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "row")), strict=True):
+                    if known is None:
+                        part, known = row >> 33, _flags(flags, row >> 33)
                     packer = packer or Packer(f"{folder}/pages-{part:06d}.zip")
-                    packer.add(record(p, url, payload or b"", size, base64.b32encode(sha1).decode(), top))
+                    sha1 = hashlib.sha1(payload).digest()
+                    own, top = known.pop(row, (sha1, None))
+                    if own != sha1:
+                        raise ValueError("pages has other rows than when its digests were taken")
+                    packer.add(record(p, url, b"" if top is not None else payload, len(payload), base64.b32encode(sha1).decode(), top))
                     n += 1
+            if known:
+                raise ValueError("pages has fewer rows than when its digests were taken")
         except BaseException as e:
             if packer:
                 packer.close(type(e))
@@ -263,10 +275,23 @@ def write_packages(pages: DataFrame, folder: str | None = None) -> tuple[str, li
             packer.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n": pa.array([n], pa.int64())})
 
-    made = written(planned(pages).mapInArrow(run, "part int, n long"))
+    made = written(_numbered(pages).mapInArrow(run, "part int, n long"))
     return folder, sorted(r.part for r in made.select("part").collect())  # one row per package
 
 
+def _flags(folder: str, part: int) -> dict[int, tuple[bytes, int]]:
+    """The revisits of one partition: row to its digest and the page that it refers to."""
+    store, path = opened(f"{folder}/part={part}")
+    out: dict[int, tuple[bytes, int]] = {}
+    if store.get_file_info(path).type.name == "NotFound":
+        return out
+    for info in store.get_file_info(fs.FileSelector(path)):
+        if info.base_name.endswith(".parquet"):
+            t = pq.read_table(store.open_input_file(info.path), columns=["row", "sha1", "refers_to"])
+            out |= {r: (h, x) for r, h, x in zip(*(t.column(c).to_pylist() for c in ("row", "sha1", "refers_to")), strict=True)}
+    return out
+
+
 def read_packages(spark: SparkSession, folder: str, parts: list[int]) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record of the packages."""
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"

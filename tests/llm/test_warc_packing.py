@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import packing, warc_zip
+from quarry.llm import packing, shared, warc_zip
 from quarry.llm.files import Ranges, Whole
 from quarry.llm.queries import QUERIES
 
@@ -44,6 +44,33 @@ def test_rows_equal_brute_force(spark, sf):
     assert sorted((tuple(r) for r in QUERIES["op7_warc_zip"](spark, sf).collect()), key=str) == expected(pages)
 
 
+def test_payloads_are_not_shuffled(spark, sf, monkeypatch):
+    monkeypatch.setattr(warc_zip, "written", lambda df: (plans.append(df), shared.written(df))[1])
+    plans: list = []
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pages = spark.read.parquet(f"{sf}/pages.parquet")
+        warc_zip.write_packages(pages)
+        plans.append(warc_zip.revisits(pages))
+        for df in plans:
+            text = df._jdf.queryExecution().optimizedPlan().toString()
+            below = [i for i, line in enumerate(text.splitlines()) if "Join" in line or "Aggregate" in line or "Repartition" in line]
+            assert not below or "html" not in text and "payload" not in text
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert len(plans) >= 4
+
+
+def test_changed_pages_are_noticed(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "u", "same"), (2, "u", "same"), (3, "u", "x")], "page_id long, url string, html string").coalesce(1)
+    other = spark.createDataFrame([(1, "u", "changed"), (2, "u", "same"), (3, "u", "x")], "page_id long, url string, html string").coalesce(1)
+    old = warc_zip.revisits
+    monkeypatch.setattr(warc_zip, "revisits", lambda _: old(df))
+    with pytest.raises(Exception, match="other rows"):
+        warc_zip.write_packages(other)
+
+
 @pytest.mark.parametrize("small", [0xFFFFFFFF, 10])
 def test_package_is_a_zip_file_with_zip64_where_needed(tmp_path, small):
     path = f"{tmp_path}/a.zip"
