@@ -45,12 +45,26 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def check_settings(d: dict) -> None:
+    """ValueError where a tokenizer file asks for something that cutting texts at single
+    spaces, or the merges here, would not heed."""
+    model, pre = d["model"], d.get("pre_tokenizer") or {}
+    plain = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+    odd = [k for k, v in plain.items() if (model.get(k) or None) != (v or None)]
+    if odd or d.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        raise ValueError(f"no plain byte-level BPE: {odd or 'normalizer or pre_tokenizer'}")
+    for t in d.get("added_tokens", []):
+        if t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized") or regex.search(r"\s", t["content"]):
+            raise ValueError(f"the added token {t['content']!r} depends on its surroundings or holds white space")
+
+
 class Vocabulary:
     """Ids, merges and special tokens of a byte-level BPE file."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             d = json.load(f)
+        check_settings(d)
         letters, vocab = byte_letters(), d["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in d["added_tokens"]}
         self.size = 1 + max([*vocab.values(), *self.special.values()])
@@ -172,7 +186,7 @@ def by_index(v: Vocabulary) -> Callable[[list[str]], tuple[np.ndarray, np.ndarra
         counts = np.zeros(len(chunks), np.int64)
         for k, chunk in enumerate(chunks):
             had = len(order)
-            if v.specials is not None and "<" in chunk and (cuts := list(v.specials.finditer(chunk))):
+            if v.specials is not None and (cuts := list(v.specials.finditer(chunk))):
                 at = 0
                 for m in cuts:
                     order += [pieces.setdefault(p, len(pieces)) for p in v.pieces.findall(chunk[at : m.start()])]

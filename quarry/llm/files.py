@@ -1,6 +1,7 @@
 """Files in the shared folder, written by tasks and read by range.
 
-Paths are URIs; any store that pyarrow opens will do. A file appears under its
+Paths are full URIs, as shared_dir() gives them (a path without a scheme is this
+machine's disk, for tests); any store that pyarrow opens will do. A file appears under its
 name only when it is whole, so a task that runs twice leaves one file."""
 
 from __future__ import annotations

@@ -10,15 +10,19 @@ lies an index of fixed-size entries (id, offset, length, tokens), so readers can
 fetch records in any order by range.
 
 Texts are encoded where they are read; what is shuffled are payloads, dealt to
-files by ranges of ids. A file is one task's, written under another name and
+files by ranges of (id, row) with about as many bytes each, so the number of files
+grows with the input and an id of very many rows has several. A file is one task's, written under another name and
 renamed when whole.
 
 Defined results: null text counts as empty, which is the end id alone; repeated
-rows are repeated records; a null id comes first; an empty table gives no file
+rows are repeated records, in order of their rows; a null id comes first; an empty table gives no file
 and no rows. Extra columns are not looked at."""
 
 from __future__ import annotations
 
+import bisect
+import json
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -31,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.bpe import Encoded, byte_letters, gather, grouped, vocabulary
+from quarry.llm.bpe import Encoded, check_settings, grouped
 from quarry.llm.files import Ranges, Whole
 from quarry.llm.shared import shared_dir, small_batches, written
 
@@ -41,8 +45,12 @@ _BODY = struct.Struct("<?qQB")
 ENTRY = np.dtype([("null", "<u1"), ("doc_id", "<i8"), ("offset", "<u8"), ("length", "<u8"), ("tokens", "<u8")])
 WIDE, NARROW = 4, 2
 READ_BYTES = 8 << 20
-#: Distinct chunks that a Python worker keeps with their ids.
-MEMORY = 300_000
+#: Chunks that the library encodes at a time.
+CHUNKS = 1 << 16
+#: Bytes of text expected in a file; on little data a file for each core has at least LEAST_BYTES.
+PART_BYTES, LEAST_BYTES = 128 << 20, 4 << 20
+#: Rows sampled for the edges between files, about; a few MB on the driver.
+EDGE_ROWS = 100_000
 
 
 def masked(data: bytes) -> int:
@@ -78,51 +86,31 @@ def unpacked(payload: bytes) -> tuple[int | None, np.ndarray]:
 
 
 class LibraryEncoder:
-    """Encodes distinct chunks with the tokenizers library: its BPE model on the
-    pieces of byte-level BPE, each distinct one once, and the whole library on
-    chunks that hold a special token. The first MEMORY chunks stay known."""
+    """Encodes distinct chunks of texts with the tokenizers library. Files whose
+    settings would make a chunk's tokens depend on its neighbours are refused."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        with open(path, encoding="utf-8") as f:
+            check_settings(json.load(f))
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        v = vocabulary(path)
-        self.pieces, self.special = v.pieces.findall, v.specials
-        self.letters = {b: c for c, b in byte_letters().items()}
-        self.kind = np.dtype("<u2") if v.size <= 65536 else np.dtype("<u4")
-        self.known: dict[str, bytes] = {}
+        self.kind = np.dtype("<u4" if self.wide else "<u2")
+
+    @property
+    def wide(self) -> bool:
+        return self.tok.get_vocab_size(with_added_tokens=True) > 65536
 
     def __call__(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        known, new, order, counts = self.known.get, {}, [], []
-        found = [known(c) for c in chunks]
-        number, pieces = new.setdefault, self.pieces
-        fresh = [k for k, x in enumerate(found) if x is None]
-        for k in fresh:
-            c = chunks[k]
-            if self.special is not None and "<" in c and self.special.search(c):
-                found[k] = np.array(self.tok.encode(c, add_special_tokens=False).ids, self.kind).tobytes()
-                counts.append(0)
-                continue
-            own = [number(p, len(new)) for p in pieces(c)]
-            order += own
-            counts.append(len(own))
-        tokenize, letters = self.tok.model.tokenize, self.letters
-        ids = [[t.id for t in tokenize(p.encode().decode("latin-1").translate(letters))] for p in new]
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat, at = gather(np.fromiter(chain.from_iterable(ids), self.kind, int(n.sum())), np.cumsum(n) - n, n, np.array(order, np.int64))
-        edges = (at[np.append(0, np.cumsum(counts, dtype=np.int64))] * self.kind.itemsize).tolist()
-        raw = flat.tobytes()
-        room = MEMORY - len(self.known)
-        for k, s, e in zip(fresh, edges, edges[1:], strict=False):
-            if found[k] is None:
-                found[k] = raw[s:e]
-                if room > 0 and e - s < 64:
-                    self.known[chunks[k]] = raw[s:e]
-                    room -= 1
-        lengths = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
-        return np.frombuffer(b"".join(found), self.kind), lengths
+        found, lengths = [], []
+        for i in range(0, len(chunks), CHUNKS):
+            ids = [e.ids for e in self.tok.encode_batch_fast(chunks[i : i + CHUNKS], add_special_tokens=False)]
+            lengths.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            found.append(np.fromiter(chain.from_iterable(ids), self.kind, int(lengths[-1].sum())))
+        return np.concatenate([np.zeros(0, self.kind), *found]), np.concatenate([np.zeros(0, np.int64), *lengths])
 
 
 @lru_cache(maxsize=2)
@@ -131,22 +119,25 @@ def library_encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
-def token_payloads(docs: DataFrame, path: str, end_id: int, vocabulary_size: int, edges: list[int]) -> DataFrame:
-    """docs(doc_id, text) to (part, doc_id, n, payload); part is the range of ids between the edges."""
+#: A place in the order of records: whether the id is there, the id, and the row's number.
+Place = tuple[bool, int, int]
+
+
+def token_payloads(docs: DataFrame, path: str, end_id: int, edges: list[Place]) -> DataFrame:
+    """docs(doc_id, text) to (part, doc_id, row, n, payload); part is the range between the edges that a row lies in."""
     small_batches(docs.sparkSession)
-    bounds = np.array(edges, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press, wide = zstandard.ZstdCompressor(level=3), vocabulary_size > 65536
+        press, encoder = zstandard.ZstdCompressor(level=3), library_encoder(path)
         for t in grouped(batches):
-            doc_ids = t.column("doc_id").to_pylist()
-            for which, ids, at in Encoded(t.column("text"), library_encoder(path)).parts():
-                own = [doc_ids[k] for k in which.tolist()]
-                payloads = [packed(d, np.append(ids[s:e], ids.dtype.type(end_id)), wide, press) for d, s, e in zip(own, at.tolist(), at[1:].tolist(), strict=False)]
-                part = np.array([0 if d is None else int(np.searchsorted(bounds, d, side="right")) for d in own], np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(own, pa.int64()), pa.array(np.diff(at) + 1, pa.int64()), pa.array(payloads, pa.binary())], ["part", "doc_id", "n", "payload"])
+            doc_ids, rows = t.column("doc_id").to_pylist(), t.column("row").to_numpy()
+            for which, ids, at in Encoded(t.column("text"), encoder).parts():
+                own, row = [doc_ids[k] for k in which.tolist()], rows[which]
+                payloads = [packed(d, np.append(ids[s:e], ids.dtype.type(end_id)), encoder.wide, press) for d, s, e in zip(own, at.tolist(), at[1:].tolist(), strict=False)]
+                part = [bisect.bisect_right(edges, (d is not None, d or 0, r)) for d, r in zip(own, row.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(own, pa.int64()), pa.array(row), pa.array(np.diff(at) + 1, pa.int64()), pa.array(payloads, pa.binary())], ["part", "doc_id", "row", "n", "payload"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "part int, doc_id long, n long, payload binary")
+    return docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, "part int, doc_id long, row long, n long, payload binary")
 
 
 def write_records(payloads: DataFrame, folder: str, parts: int) -> DataFrame:
@@ -175,7 +166,7 @@ def write_records(payloads: DataFrame, folder: str, parts: int) -> DataFrame:
             entries.__exit__(None)
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "rows": pa.array([rows], pa.int64()), "tokens": pa.array([tokens], pa.int64())})
 
-    dealt = payloads.repartitionById(parts, "part").sortWithinPartitions(F.asc_nulls_first("doc_id"), "payload")
+    dealt = payloads.repartitionById(parts, "part").sortWithinPartitions(F.asc_nulls_first("doc_id"), "row")
     return written(dealt.mapInArrow(run, "part int, rows long, tokens long"))
 
 
@@ -241,18 +232,31 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({c: pa.array([r[i] for r in out], pa.int64()) for i, c in enumerate(names)})
 
 
-def id_edges(docs: DataFrame, parts: int) -> list[int]:
-    """Edges between ranges of ids with about as many rows; of a scan of the ids alone."""
-    if parts < 2:
+def edges_of(docs: DataFrame, parts: int | None = None) -> list[Place]:
+    """Edges between ranges of (id, row) with about as many bytes of text: as many
+    ranges as PART_BYTES ask for, and on little data one for each core.
+
+    They come from at most some EDGE_ROWS sampled rows and only decide how even the
+    files are. An id that very many rows have, the null id too, is split by row."""
+    sizes = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n")).withColumn("row", F.monotonically_increasing_id())
+    rows, total = sizes.agg(F.count(F.lit(1)), F.sum("n")).first()
+    if parts is None:
+        least = min(docs.sparkSession.sparkContext.defaultParallelism, (total or 0) // LEAST_BYTES + 1)
+        parts = max(least, -(-(total or 0) // PART_BYTES))
+    if parts < 2 or not rows:
         return []
-    marks = docs.where("doc_id is not null").approxQuantile("doc_id", [i / parts for i in range(1, parts)], min(0.01, 0.2 / parts))
-    return sorted({int(x) for x in marks})
+    if rows > EDGE_ROWS:
+        sizes = sizes.where(F.pmod(F.xxhash64("row"), F.lit(-(-rows // EDGE_ROWS))) == 0)
+    t = sizes.toArrow()
+    places = sorted((d is not None, d or 0, r, n) for d, r, n in zip(*(t.column(c).to_pylist() for c in ("doc_id", "row", "n")), strict=True))
+    at = np.cumsum([n + 1 for *_, n in places])
+    cut = np.searchsorted(at, np.arange(1, parts) * (at[-1] / parts)) if len(at) else []
+    return sorted({places[k][:3] for k in np.minimum(cut, len(places) - 1).tolist()})
 
 
-def write_tokens(docs: DataFrame, path: str, end_id: int = 0, vocabulary_size: int = 65536, parts: int | None = None, folder: str | None = None) -> tuple[str, list[tuple[int, int, int]]]:
+def write_tokens(docs: DataFrame, path: str, end_id: int = 0, parts: int | None = None, folder: str | None = None) -> tuple[str, list[tuple[int, int, int]]]:
     """Writes docs(doc_id, text) as records; returns the folder and a line per file."""
-    spark = docs.sparkSession
-    edges = id_edges(docs, parts or int(spark.conf.get("spark.sql.shuffle.partitions")))
-    folder = folder or shared_dir(spark)
-    manifest = write_records(token_payloads(docs, path, end_id, vocabulary_size, edges), folder, len(edges) + 1)
+    edges = edges_of(docs, parts)
+    folder = folder or shared_dir(docs.sparkSession)
+    manifest = write_records(token_payloads(docs, path, end_id, edges), folder, len(edges) + 1)
     return folder, [tuple(r) for r in manifest.select("part", "rows", "tokens").collect()]  # one row per file

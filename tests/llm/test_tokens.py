@@ -1,6 +1,7 @@
 """Encoders and record files against the tokenizers library, and back."""
 
 import hashlib
+import json
 import os
 import zlib
 
@@ -81,6 +82,47 @@ def test_files_round_trip_in_any_order(spark, tok, tmp_path):
     assert records.write_tokens(docs.limit(0), PATH, parts=3)[1] == []
 
 
+def test_hot_and_null_ids_are_split(spark, tok, tmp_path):
+    rows = [(None, f"no id {i}") for i in range(300)] + [(5, f"five {i}") for i in range(300)] + [(-(2**63), "least"), (2**63 - 1, None)] + [(i, "w " * i) for i in range(10, 90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for part in (docs, docs.where("doc_id is null")):
+        folder, manifest = records.write_tokens(part, PATH, parts=8)
+        assert len(manifest) >= 7 and max(n for _, n, _ in manifest) < 200
+        got, last = [], (False, 0)
+        for p, _, _ in sorted(manifest):
+            for d, ids in records.read_records(f"{folder}/part-{p:06d}.rec", records.read_index(f"{folder}/part-{p:06d}.idx")):
+                assert last <= (d is not None, d or 0)
+                last = (d is not None, d or 0)
+                got.append((str(d), ids.tolist()))
+        want = [(str(r.doc_id), [*tok.encode(r.text or "", add_special_tokens=False).ids, 0]) for r in part.collect()]
+        assert sorted(got) == sorted(want)
+
+
+def test_number_of_files_follows_the_bytes(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "x" * 1000) for i in range(400)], "doc_id long, text string")
+    monkeypatch.setattr(records, "PART_BYTES", 10_000)
+    monkeypatch.setattr(records, "EDGE_ROWS", 150)
+    assert 30 <= len(records.edges_of(docs)) <= 40
+    assert records.edges_of(docs.limit(0)) == [] == records.edges_of(docs.limit(3))
+
+
+def test_settings_that_chunks_would_not_heed_are_refused():
+    with open(PATH) as f:
+        d = json.load(f)
+    bpe.check_settings(d)
+    for path, value in ((("normalizer",), {"type": "NFC"}), (("pre_tokenizer", "add_prefix_space"), True), (("pre_tokenizer",), None), (("model", "byte_fallback"), True), (("model", "dropout"), 0.1), (("model", "type"), "Unigram")):
+        own = json.loads(json.dumps({k: v for k, v in d.items() if k != "model"} | {"model": {k: v for k, v in d["model"].items() if k not in ("vocab", "merges")}}))
+        at = own
+        for k in path[:-1]:
+            at = at[k]
+        at[path[-1]] = value
+        with pytest.raises(ValueError):
+            bpe.check_settings(own)
+    for change in ({"lstrip": True}, {"normalized": True}, {"content": "two words"}):
+        with pytest.raises(ValueError):
+            bpe.check_settings({**d, "added_tokens": [{**d["added_tokens"][0], **change}]})
+
+
 def test_op3_and_op9_rows(spark, sf, tok):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     start = 0
