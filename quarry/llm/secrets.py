@@ -1,9 +1,11 @@
 """Secret scan with corpus-wide ownership frequency.
 
 Patterns find candidate values and where they stand. Each candidate's hash is
-counted over the whole corpus by distinct repositories and distinct owners: a
-value that several owners carry is a widely copied example, one that a single
-owner carries and that looks random is taken for a live credential. Base kinds
+counted over the whole corpus by distinct repositories and distinct owners. A value
+that both several owners and several repositories carry is a widely copied example;
+one that few owners carry, in however many repositories of theirs, or that many
+people share in few repositories, is specific to them, and taken for a live
+credential if it looks random. Base kinds
 (assign, access, hex) are always reported; candidates of the wider kinds
 (token, pem, url) are reported as added spans where they are owner-specific.
 
@@ -15,6 +17,8 @@ results; very long texts are scanned whole; an empty table gives no rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,31 +37,65 @@ WIDER = (
     ("url", r"([a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,64}:[^\s:/@]{6,}@)", 1, 10),
 )
 KINDS = tuple(k for k, *_ in (*BASE, *WIDER))
-#: From so many distinct owners on, a value is a widely copied example.
-COPIED_OWNERS = 3
+#: From so many distinct owners and so many distinct repositories on, a value is a widely copied example.
+COPIED_OWNERS, COPIED_REPOS = 3, 3
+#: Elements whose running sum is taken in one go, and levels of such runs.
+RUN, LEVELS = 64, 3
 #: Rows of one hot value are spread over so many keys when its verdict is joined.
 SALTS = 32
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value evaluated once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _slice(a: Column, i: Column, n: Column) -> Column:
+    return F.slice(a, (i + 1).cast("int"), n.cast("int"))
+
+
+def running(values: Column, add: Callable[[Column, Column], Column], zero: Column, levels: int = LEVELS) -> Column:
+    """Of an array of longs, what those before each one come to; linear in its
+    length, as no array is copied but runs of RUN, and runs of these on LEVELS levels.
+    add is associative, as + and greatest are, and zero its neutral element."""
+    fold = lambda a: F.aggregate(a, zero, add)
+
+    def within(a: Column, before: Column | None) -> Column:
+        def at(x: Column, i: Column) -> Column:
+            if before is None:
+                return fold(_slice(a, F.lit(0), i))
+            first = i - F.pmod(i, F.lit(RUN))
+            return add(F.get(before, (first / RUN).cast("int")), fold(_slice(a, first, i - first)))
+
+        return F.transform(a, at)
+
+    def from_level(a: Column, level: int) -> Column:
+        if not level:
+            return within(a, None)
+        count = F.ceil(F.size(a) / F.lit(RUN)).cast("int")
+        runs = F.transform(F.sequence(F.lit(0), count - 1), lambda k: fold(_slice(a, k * RUN, F.least(F.lit(RUN), F.size(a) - k * RUN))))
+        return let(runs, lambda r: let(from_level(r, level - 1), lambda before: within(a, before)))
+
+    return F.when(F.size(values) > 0, let(values, lambda a: from_level(a, levels))).otherwise(F.expr("cast(array() as array<bigint>)"))
+
+
 def _found(kind: str, pattern: str, group: int, least: int) -> Column:
     """Spans of one kind: array of (start, end, kind, value), in code points.
 
     The pieces between matches and the matches themselves, both in order, give
     the starts as running sums; only texts with a match pay for the split."""
-    q = "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    matches = f"regexp_extract_all(_t, {q}, 0)"
-    values = f"regexp_extract_all(_t, {q}, {group})"
-    pieces = f"split(_t, {q}, -1)"
-    starts = (
-        f"aggregate(zip_with({pieces}, {matches}, (p, m) -> named_struct('p', length(p), 'm', length(m))),"
-        f" named_struct('at', 0L, 'starts', cast(array() as array<bigint>)),"
-        f" (a, x) -> named_struct('at', a.at + x.p + coalesce(x.m, 0), 'starts', if(x.m is null, a.starts, array_append(a.starts, a.at + x.p))), a -> a.starts)"
-    )
-    return F.expr(
-        f"if(_t rlike {q}, filter(zip_with(zip_with({starts}, {matches}, (s, m) -> named_struct('s', s, 'e', s + length(m))), {values},"
-        f" (x, v) -> named_struct('start', x.s, 'end', x.e, 'kind', '{kind}', 'value', v)), x -> length(x.value) >= {least}),"
-        f" cast(array() as array<struct<start: bigint, end: bigint, kind: string, value: string>>))"
-    )
+    t, p = F.col("_t"), F.lit(pattern)
+    matches, values, pieces = F.regexp_extract_all(t, p, F.lit(0)), F.regexp_extract_all(t, p, F.lit(group)), F.split(t, pattern, -1)
+
+    def spans(ms: Column, ps: Column) -> Column:
+        steps = F.zip_with(F.slice(ps, 1, F.size(ms)), ms, lambda x, m: (F.length(x) + F.length(m)).cast("long"))
+        starts = F.zip_with(F.slice(ps, 1, F.size(ms)), running(steps, lambda a, x: a + x, F.lit(0).cast("long")), lambda x, before: F.length(x) + before)
+        ends = F.zip_with(starts, ms, lambda s, m: F.struct(s.alias("start"), (s + F.length(m)).alias("end")))
+        made = F.zip_with(ends, values, lambda x, v: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(kind).alias("kind"), v.alias("value")))
+        return F.filter(made, lambda x: F.length(x["value"]) >= least)
+
+    none = F.expr("cast(array() as array<struct<start: bigint, end: bigint, kind: string, value: string>>)")
+    return F.when(t.rlike(pattern), let(matches, lambda ms: let(pieces, lambda ps: spans(ms, ps)))).otherwise(none)
 
 
 def _digest(spans: Column) -> Column:
@@ -92,14 +130,15 @@ def ownership(found: DataFrame) -> DataFrame:
     return triples.groupBy("hash").agg(few("repo").alias("repos"), few("owner").alias("owners"))
 
 
-def scan(docs: DataFrame, repo: str = "source", owner: str = "source", carry: list[str] = (), copied: int = COPIED_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, repo: str = "source", owner: str = "source", carry: list[str] = (), owners: int = COPIED_OWNERS, repos: int = COPIED_REPOS) -> DataFrame:
     """A row per row of docs(doc_id, text, ...): doc_id, spans as arrays (base,
     added), counts by kind, how many of all candidates are widely copied,
     owner-specific, and owner-specific and live-looking, and the columns named in
     carry as the struct `carried`.
 
     Texts are scanned once; candidates go to the shared folder. Only rows that
-    have any are joined with what ownership says of them."""
+    have any are joined with what ownership says of them: a value that at least so many
+    `owners` and `repos` carry is widely copied."""
     carried = [F.struct(*[F.col(c) for c in carry]).alias("carried")] if carry else []
     named = docs.select("doc_id", *carried, F.col("text").alias("_text"), F.col(repo).cast("string").alias("_repo"), F.col(owner).cast("string").alias("_owner"))
     rows = written(candidates(named, "_text").drop("_text").withColumn("_row", F.monotonically_increasing_id()))
@@ -108,7 +147,7 @@ def scan(docs: DataFrame, repo: str = "source", owner: str = "source", carry: li
     spans = spans.select("_row", F.col("_repo").alias("repo"), F.col("_owner").alias("owner"), "s.wider", "s.x.*")
     owned = ownership(spans).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     judged = spans.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int")).join(owned.hint("merge"), ["hash", "_salt"])
-    wide = F.col("owners") >= copied
+    wide = (F.col("owners") >= owners) & (F.col("repos") >= repos)
     added = judged.groupBy("_row").agg(
         F.count_if(wide).alias("n_copied"), F.count_if(~wide).alias("n_owned"), F.count_if(~wide & F.col("live")).alias("n_live"),
         F.collect_list(F.when(F.col("wider") & ~wide & F.col("live"), F.struct("start", "end", "kind"))).alias("added"),
@@ -128,14 +167,32 @@ def digests(found: DataFrame) -> DataFrame:
     return found.withColumns({"base_sha256": F.sha2(_digest(F.col("base")), 256), "spans": _digest(F.concat("base", "added"))})
 
 
-def redact(text: Column, spans: Column) -> Column:
-    """text with each span (possibly overlapping) replaced by [SECRET]."""
-    ordered = F.sort_array(F.transform(spans, lambda x: F.struct(x["start"], x["end"])))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+#: Code points of a text that are looked for at a time when its spans are replaced.
+BLOCK = 1024
 
-    def step(a: Column, x: Column) -> Column:
-        before = F.substr(text, (a["at"] + 1).cast("int"), F.greatest(x["start"] - a["at"], F.lit(0)).cast("int"))
-        return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.when(x["end"] <= a["at"], a["out"]).otherwise(F.concat(a["out"], before, F.lit("[SECRET]"))).alias("out"))
 
-    done = lambda a: F.concat(a["out"], F.substr(text, (a["at"] + 1).cast("int"), F.lit(2147483647)))
-    return F.when(F.size(spans) > 0, F.aggregate(ordered, start, step, done)).otherwise(text)
+def redact(text: Column, spans: Column) -> Column:
+    """text with each span (possibly overlapping) replaced by [SECRET].
+
+    The text is cut once into blocks of BLOCK code points, and what stands between
+    spans is put together from these, so the work grows with the text and the number
+    of spans, not with their product."""
+    ordered = F.sort_array(F.transform(spans, lambda x: F.struct(x["start"].cast("long").alias("start"), x["end"].cast("long").alias("end"))))
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+    def between(b: Column, start: Column, end: Column) -> Column:
+        def part(k: Column) -> Column:
+            here = k * BLOCK
+            first = F.greatest(start - here, F.lit(0).cast("long"))
+            return F.substr(F.get(b, k.cast("int")), (first + 1).cast("int"), (F.least(end - here, F.lit(BLOCK).cast("long")) - first).cast("int"))
+
+        found = F.transform(F.sequence(F.expr("0L") + F.floor(start / BLOCK), F.floor((end - 1) / BLOCK)), part)
+        return F.when(start < end, F.array_join(found, "")).otherwise(F.lit(""))
+
+    def replaced(x: Column, b: Column) -> Column:
+        before = running(F.transform(x, lambda s: s["end"]), lambda a, e: F.greatest(a, e), F.lit(0).cast("long"))
+        kept = F.filter(F.zip_with(x, before, lambda s, e: F.struct(s["start"].alias("start"), s["end"].alias("end"), e.alias("before"))), lambda s: s["end"] > s["before"])
+        out = F.transform(kept, lambda s: F.concat(between(b, s["before"], s["start"]), F.lit("[SECRET]")))
+        return F.concat(F.array_join(out, ""), between(b, F.array_max(F.transform(x, lambda s: s["end"])), F.length(text).cast("long")))
+
+    return F.when(F.size(spans) > 0, let(ordered, lambda x: let(blocks, lambda b: replaced(x, b)))).otherwise(text)
