@@ -43,6 +43,8 @@ LOSS_WEIGHT = 20.0
 #: Strata up to this number are broadcast with their cutoffs; more are joined by shuffle.
 BROADCAST_STRATA = 10_000
 
+#: Bits of the hashes that bring equal windows together; texts too long for all of them have fewer.
+HASH_BITS = 64
 _SPACES = r"[\x20\x09-\x0D]+"
 
 
@@ -66,7 +68,7 @@ def counts(df: DataFrame, text: str = "text") -> DataFrame:
             "n_upper": F.col("n_chars_all") - F.length("_low"),
             "n_lines": F.size("_lines").cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "_bits": F.ceil(F.log2(F.col("n_words") + F.lit(2))).cast("int"),
+            "_bits": F.greatest(F.ceil(F.log2(F.col("n_words") + F.lit(2))).cast("int"), F.lit(64 - HASH_BITS)),
         }
     )
     # A long for each window: bits of the hash above, its position below. Sorted, equal windows are neighbours.
@@ -78,14 +80,20 @@ def counts(df: DataFrame, text: str = "text") -> DataFrame:
     same = "shiftrightunsigned(x, _bits) = shiftrightunsigned({y}, _bits) and {words}"
     equal = " and ".join(f"_words[cast(x & (shiftleft(1L, _bits) - 1) as int) + {i}] = _words[cast({{y}} & (shiftleft(1L, _bits) - 1) as int) + {i}]" for i in range(3))
     beside = [same.format(y=f"_windows[j {d} 1]", words=equal.format(y=f"_windows[j {d} 1]")) for d in "-+"]
-    df = df.withColumn("_again", F.expr(f"sort_array(transform(filter(_windows, (x, j) -> (j > 0 and {beside[0]}) or (j < size(_windows) - 1 and {beside[1]})), x -> x & (shiftleft(1L, _bits) - 1)))"))
+    # Where windows with equal hashes differ, equal ones may not be neighbours: such a text, a rare one, is sorted by the words themselves.
+    before = same.format(y="_windows[j - 1]", words=f"not ({equal.format(y='_windows[j - 1]')})").replace("(x,", "(_windows[j],").replace("cast(x &", "cast(_windows[j] &")
+    df = df.withColumn("_mixed", F.expr(f"size(_windows) > 1 and exists(sequence(1, size(_windows) - 1), j -> {before})"))
+    by_words = "sort_array(transform(slice(_words, 1, size(_words) - 2), (w, i) -> named_struct('g', concat_ws(' ', w, _words[i + 1], _words[i + 2]), 'i', cast(i as bigint))))"
+    by_words = f"transform(array({by_words}), e -> transform(filter(e, (x, j) -> (j > 0 and x.g = e[j - 1].g) or (j < size(e) - 1 and x.g = e[j + 1].g)), x -> x.i))[0]"
+    by_hash = f"transform(filter(_windows, (x, j) -> (j > 0 and {beside[0]}) or (j < size(_windows) - 1 and {beside[1]})), x -> x & (shiftleft(1L, _bits) - 1))"
+    df = df.withColumn("_again", F.expr(f"sort_array(case when _mixed then {by_words} else {by_hash} end)"))
     df = df.withColumns(
         {
             "n_repeat_words": F.expr("aggregate(_again, named_struct('p', -3L, 'n', 0L), (s, x) -> named_struct('p', x, 'n', s.n + least(3L, x - s.p)), s -> s.n)"),
             "n_runs": F.expr("size(filter(_words, (w, i) -> i > 0 and w = _words[i - 1]))").cast("long"),
         }
     )
-    return df.drop("_t", "_words", "_lines", "_plain", "_low", "_bits", "_windows", "_again", "n_chars_all")
+    return df.drop("_t", "_words", "_lines", "_plain", "_low", "_bits", "_windows", "_mixed", "_again", "n_chars_all")
 
 
 def base_failed() -> Column:
@@ -152,7 +160,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, carry: list[str] = ()) ->
 
     The texts are read once; the counts, a narrow table, are written to the
     shared folder and used for the holdout and for the verdict."""
-    carried = [F.struct(*[F.col(c) for c in carry]).alias("carried")] if carry else []
+    carried = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []
     features = written(counts(docs.select("doc_id", F.col("text").alias("_text"), "lang", *carried), "_text").drop("_text"))
     marked = labels.where("quality is not null").groupBy("doc_id").agg((F.min("quality") > 0).alias("good"))
     held = features.drop("carried").join(marked, "doc_id").withColumnRenamed("lang", "stratum")

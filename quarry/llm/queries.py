@@ -19,38 +19,46 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards 0 to 7 of all documents, law `bytes`. Nulls, ties, repeated rows, empty tables: as sharding says."""
     sharded = sharding.shard(table(spark, sf_dir, "documents"), 8)
     return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score of every document. Nulls, repeated rows and labels, empty tables: as classifier says."""
     scored = classifier.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
 def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in the record files, read back from them. Nulls, repeated rows, empty tables: as records says."""
     folder, manifest = records.write_tokens(table(spark, sf_dir, "documents"), VOCABULARY)
     return records.read_back(spark, folder, manifest)
 
 
 def op5_itq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors. Odd vectors, repeated rows, null ids, empty tables: as itq says."""
     return itq.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op6_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles and components of all documents. Nulls, short and repeated texts, empty tables: as parity_join says."""
     return parity_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op7_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, read back from the archives. Nulls, ties of ids, empty tables: as warc_zip says."""
     folder, parts = warc_zip.write_packages(table(spark, sf_dir, "pages"))
     return warc_zip.read_packages(spark, folder, parts)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in bins, by words and an end mark each. Nulls, repeated rows, empty tables: as packing says."""
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", packing.word_length().alias("n")), "n")
 
 
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and the text that they decode to. Nulls, empty texts and tables, repeated rows: as bpe says."""
     small_batches(spark)
     path = VOCABULARY
 
@@ -76,11 +84,13 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document. Nulls, overlapping spans, repeated rows, empty tables: as secrets says."""
     found = secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_copied", "n_owned", "n_live")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document. Nulls, empty texts, labels that differ, empty tables: as quality_rules says."""
     judged = quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 

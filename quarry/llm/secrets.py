@@ -139,7 +139,7 @@ def scan(docs: DataFrame, repo: str = "source", owner: str = "source", carry: li
     Texts are scanned once; candidates go to the shared folder. Only rows that
     have any are joined with what ownership says of them: a value that at least so many
     `owners` and `repos` carry is widely copied."""
-    carried = [F.struct(*[F.col(c) for c in carry]).alias("carried")] if carry else []
+    carried = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []
     named = docs.select("doc_id", *carried, F.col("text").alias("_text"), F.col(repo).cast("string").alias("_repo"), F.col(owner).cast("string").alias("_owner"))
     rows = written(candidates(named, "_text").drop("_text").withColumn("_row", F.monotonically_increasing_id()))
     some = F.size("_base") + F.size("_wider") > 0

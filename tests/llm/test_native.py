@@ -62,6 +62,16 @@ def test_counts_equal_brute_force(spark, docs, sf):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == counts(r.text)[:5], r.doc_id
 
 
+@pytest.mark.parametrize("bits", [6, 3])
+def test_repeats_are_found_whatever_hashes_meet(spark, docs, sf, monkeypatch, bits):
+    monkeypatch.setattr(qr, "HASH_BITS", bits)
+    frame = docs.select("doc_id", "text").union(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").where("length(text) < 3000"))
+    got = qr.counts(frame).collect()
+    assert len(got) > 100
+    for r in got:
+        assert r.n_repeat_words == counts(r.text)[4], r.doc_id
+
+
 def test_base_rule_and_empty_table(spark, docs):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in qr.quality_rules(docs, labels, carry=["text", "kept"]).collect()}
