@@ -6,24 +6,38 @@ columns of documents."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import classifier, packing, parity_join, quality_rules, secrets
 from quarry.llm.shared import table, written
 
 #: Ids up to this number are broadcast to the scan that drops them; more are joined by shuffle.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 100_000
+
+
+def _carried(docs: DataFrame) -> Column:
+    """A row of docs as one struct, whatever its columns are called."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("carried")
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier takes for good ones."""
+    """Documents that the quality classifier takes for good ones, whole rows.
+
+    Null and empty texts get the intercept's score; without labels all scores are
+    0.5 and all rows stay; equal texts share one fate, whatever their ids; an empty
+    table gives none."""
     weights = classifier.train(docs, table(spark, sf_dir, "labels"))
-    return classifier.score(docs, weights, name="_score").where(F.col("_score") >= classifier.THRESHOLD).select(*docs.columns)
+    rows = docs.select(F.col("text").alias("text"), _carried(docs))
+    return classifier.score(rows, weights, name="score").where(F.col("score") >= classifier.THRESHOLD).select("carried.*")
 
 
 def within_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep, whole rows.
+
+    Null texts count as empty and go, as all texts of under 50 words do; a null lang
+    is a stratum of its own; a ratio equal to its cutoff stays; repeated rows share
+    one fate; an empty table gives none."""
     judged = quality_rules.quality_rules(docs, table(spark, sf_dir, "labels"), carry=docs.columns)
     return judged.where("kept").select("carried.*")
 
@@ -35,9 +49,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     if docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
         rows = parity_join.near_duplicates(docs)
         gone = written(rows.where("doc_id <> component_id").select("doc_id"))
-        return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+        return docs.join(small(gone), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     # Ids that repeat: the rows are numbered, and the numbers take the place of the ids in the join.
-    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()))
+    numbered = written(docs.select("doc_id", "text", _carried(docs), F.monotonically_increasing_id().alias("_row")))
     groups = parity_join.near_duplicates(numbered.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
     named = numbered.where("doc_id is not null").select("_row", "doc_id", F.xxhash64("text").alias("_hash"))
     least = F.min(F.struct("doc_id", "_hash", "_row"))
@@ -46,21 +60,25 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     again = first.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     equal = numbered.join(first.select("_row"), "_row", "left_semi").join(again, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min("_row").alias("_row"))
     stay = first.join(again, "doc_id", "left_anti").select("_row").union(equal.select("_row")).union(numbered.where("doc_id is null").select("_row"))
-    return numbered.join(written(stay), "_row", "left_semi").select(*docs.columns)
+    return numbered.join(written(stay), "_row", "left_semi").select("carried.*")
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the secrets in their texts replaced; n_chars follows the text."""
+    """Documents with the secrets in their texts replaced; n_chars follows the text.
+    Null texts stay null; repeated rows are changed alike; an empty table gives none."""
     found = secrets.scan(docs, carry=docs.columns)
-    text = secrets.redact(F.col("carried.text"), F.concat("base", "added"))
-    clean = found.select("carried.*", text.alias("_clean"))
-    changed = {"text": F.col("_clean")} | ({"n_chars": F.length("_clean").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return clean.withColumns(changed).select(*docs.columns)
+    clean = found.select("carried", secrets.redact(F.col("carried.text"), F.concat("base", "added")).alias("text"))
+    changed = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return clean.select(*[changed.get(c, F.col("carried")[c]).alias(c) for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in bins of the permitted lengths, in words."""
-    return packing.pack(written(docs.select("doc_id", packing.word_length().alias("n"))), "n")
+    """Pieces of the documents in bins of the permitted lengths, in words. Null and
+    empty texts are their end mark alone; repeated rows and null ids are pieces of
+    their own; an empty table gives none."""
+    return packing.pack(docs.select("doc_id", packing.word_length().alias("n")), "n")
 
 
 STAGES = [
