@@ -21,13 +21,11 @@ and no rows. Extra columns are not looked at."""
 from __future__ import annotations
 
 import bisect
-import json
 import os
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.bpe import Encoded, check_settings, grouped
+from quarry.llm.bpe import Encoded, gather, grouped, vocabulary
 from quarry.llm.files import Ranges, Whole
 from quarry.llm.shared import shared_dir, small_batches, written
 
@@ -46,7 +44,7 @@ ENTRY = np.dtype([("null", "<u1"), ("doc_id", "<i8"), ("offset", "<u8"), ("lengt
 WIDE, NARROW = 4, 2
 READ_BYTES = 8 << 20
 #: Chunks that the library encodes at a time.
-CHUNKS = 1 << 16
+CHUNKS = 1 << 12
 #: Bytes of text expected in a file; on little data a file for each core has at least LEAST_BYTES.
 PART_BYTES, LEAST_BYTES = 128 << 20, 4 << 20
 #: Rows sampled for the edges between files, about; a few MB on the driver.
@@ -87,30 +85,52 @@ def unpacked(payload: bytes) -> tuple[int | None, np.ndarray]:
 
 class LibraryEncoder:
     """Encodes distinct chunks of texts with the tokenizers library. Files whose
-    settings would make a chunk's tokens depend on its neighbours are refused."""
+    settings would make a chunk's tokens depend on its neighbours are refused.
+
+    Chunks that begin with a space are put together to strings, as they would stand
+    in a text; where each one's ids end follows from the tokens' lengths in bytes."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        with open(path, encoding="utf-8") as f:
-            check_settings(json.load(f))
+        v = vocabulary(path)
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
+        self.size = np.array([len(b) for b in v.bytes])
+        self.wide = v.size > 65536
         self.kind = np.dtype("<u4" if self.wide else "<u2")
 
-    @property
-    def wide(self) -> bool:
-        return self.tok.get_vocab_size(with_added_tokens=True) > 65536
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found, lengths = [], []
-        for i in range(0, len(chunks), CHUNKS):
-            ids = [e.ids for e in self.tok.encode_batch_fast(chunks[i : i + CHUNKS], add_special_tokens=False)]
-            lengths.append(np.fromiter(map(len, ids), np.int64, len(ids)))
-            found.append(np.fromiter(chain.from_iterable(ids), self.kind, int(lengths[-1].sum())))
-        return np.concatenate([np.zeros(0, self.kind), *found]), np.concatenate([np.zeros(0, np.int64), *lengths])
+        found: list[np.ndarray] = [np.zeros(0, self.kind)]
+        lengths = np.zeros(len(chunks), np.int64)
+        inner = [k for k, c in enumerate(chunks) if c[:1] == " "]
+        outer = [k for k, c in enumerate(chunks) if c[:1] != " "]
+        order = np.array(inner + outer, np.int64)
+        for i in range(0, len(inner), CHUNKS):
+            own = inner[i : i + CHUNKS]
+            text = "".join([chunks[k] for k in own])
+            ids = self.ids([text])[0]
+            ends = np.cumsum([len(chunks[k].encode()) for k in own]) if not text.isascii() else np.cumsum([len(chunks[k]) for k in own])
+            at = np.cumsum(self.size[ids])
+            cut = np.searchsorted(at, ends) + 1
+            if (at[cut - 1] != ends).any():
+                raise ValueError("a token reaches over the end of a chunk")
+            lengths[own] = np.diff(cut, prepend=0)
+            found.append(ids)
+        for i in range(0, len(outer), CHUNKS):
+            some = self.ids([chunks[k] for k in outer[i : i + CHUNKS]])
+            lengths[outer[i : i + CHUNKS]] = [len(x) for x in some]
+            found += some
+        # Back to the order of the chunks.
+        n = lengths[order]
+        starts = np.empty(len(chunks), np.int64)
+        starts[order] = np.cumsum(n) - n
+        return gather(np.concatenate(found), starts, lengths, np.arange(len(chunks)))[0], lengths
 
 
 @lru_cache(maxsize=2)
