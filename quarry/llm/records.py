@@ -46,7 +46,7 @@ READ_BYTES = 8 << 20
 #: Chunks that the library encodes at a time.
 CHUNKS = 1 << 12
 #: Bytes of text expected in a file; on little data a file for each core has at least LEAST_BYTES.
-PART_BYTES, LEAST_BYTES = 128 << 20, 4 << 20
+PART_BYTES, LEAST_BYTES = 64 << 20, 4 << 20
 #: Rows sampled for the edges between files, about; a few MB on the driver.
 EDGE_ROWS = 100_000
 
