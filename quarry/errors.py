@@ -39,3 +39,7 @@ class IdMismatch(StoreError):
 
 class VectorDimMismatch(StoreError):
     status = 9
+
+
+class Conflict(StoreError):
+    status = 10

@@ -51,15 +51,14 @@ class GroupQuery:
         name = function_name(fn)
         back = self.query.backend
         df = self.query.frame()
-        rows = df.select(
-            back.group_key(self.field).alias("g"), back.value(self.field).alias("rep"),
-            (back.value(field) if field is not None else F.lit(None).cast("int") if not back.dynamic else F.parse_json(F.lit("null"))).alias("v"),
-            self._position().alias("o"),
-        )
+        value = back.value(field) if field is not None else F.lit(None).cast("int") if not back.dynamic else F.parse_json(F.lit("null"))
+        rows = df.select(back.value(self.field).alias("rep"), value.alias("v"), self._position().alias("o"))
         if back.dynamic:
-            rows = rows.withColumn("k", dynamic.order_key(F.col("v"), True) if name in ("min", "max") else F.lit(0))
+            rows = dynamic.with_key(rows, F.col("rep"), "g")
+            rows = dynamic.with_key(rows, F.col("v"), "k") if name in ("min", "max") else rows.withColumn("k", F.lit(0))
             out = rows.groupBy("g").agg(F.min_by("rep", "o").alias("rep"), self._dynamic(name).alias(name)).select(F.col("rep").alias("_id"), name, "g")
         else:
+            rows = rows.withColumn("g", F.col("rep"))
             out = rows.groupBy("g").agg(self._typed(name, back.kind(field) if field else T.NullType()).alias(name)).select(F.col("g").alias("_id"), name, "g")
         keys = [F.col("g")]
         if self.sort_field is not None and self.sort_field != "_id":

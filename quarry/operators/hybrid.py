@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.storage import written
+
 RRF_K = 60
 
 
 def ranked(scores: DataFrame) -> DataFrame:
     """(_id, rank) from 1 on, best score first, ties by id.
 
-    Rows are sorted by ranges over all tasks; each range's rows are numbered on
-    their own and begin where the counts of the ranges before it end, so no task
-    holds the whole ranking."""
+    Rows are dealt to tasks by ranges and written with their range's number, so that
+    no later computation finds them in another one. Each range's rows are numbered on
+    their own and begin where the counts of the ranges before it end: no task holds
+    the whole ranking."""
     ranges = scores.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    split = scores.select("_id", "score").repartitionByRange(int(ranges), F.desc("score"), F.asc("_id")).withColumn("part", F.spark_partition_id())
-    # Written down, since a range's number may differ when it is computed again.
-    split = split.persist()
+    split = written(scores.select("_id", "score").repartitionByRange(int(ranges), F.desc("score"), F.asc("_id")).withColumn("part", F.spark_partition_id()))
     counts = split.groupBy("part").agg(F.count(F.lit(1)).alias("c"))  # one row per range
     before = counts.select("part", F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     own = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("score"), F.asc("_id")))

@@ -8,6 +8,8 @@ from typing import TYPE_CHECKING, Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.plans import dynamic
+
 if TYPE_CHECKING:
     from quarry.operators.group import GroupQuery
 
@@ -51,7 +53,12 @@ class Query:
         heap in each task; an unsorted stream is put in order only where skip or
         limit would make its rows depend on chance."""
         df = self.source.where(self.backend.predicate(self.filter))
-        if self.sort_field is not None or self.skip_count or self.limit_count:
+        if self.sort_field is not None and self.backend.dynamic:
+            columns = df.columns
+            keyed, down = dynamic.with_key(df, self.backend.value(self.sort_field), "__key"), self.sort_descending
+            key, own = F.col("__key"), self.backend.id()
+            df = keyed.orderBy(*([key.desc(), own.desc()] if down else [key.asc(), own.asc()])).select(*columns)
+        elif self.sort_field is not None or self.skip_count or self.limit_count:
             df = df.orderBy(*self.ordering())
         if self.skip_count:
             df = df.offset(self.skip_count)

@@ -1,14 +1,18 @@
-"""Brute-force cosine search, in single precision."""
+"""Brute-force cosine search, in single precision, over a written table of unit vectors."""
 
 from __future__ import annotations
 
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
 from quarry.functions.values import NUMBER, rank_of_type
+from quarry.storage import written
 
 
 def as_vector(backend: Any, field: str, dim: int) -> Column:
@@ -43,8 +47,6 @@ def unit_vectors(df: DataFrame, backend: Any, field: str, dim: int) -> DataFrame
 
 
 def unit_query(query: list[float]) -> list[float]:
-    import numpy as np
-
     q = np.asarray(query, np.float32)
     norm = np.float32(0)
     for x in q:
@@ -53,12 +55,25 @@ def unit_query(query: list[float]) -> list[float]:
     return [float(x) for x in (q if norm == 0 else q / norm)]
 
 
-def scored(units: DataFrame, query: list[float], dim: int) -> DataFrame:
-    """(_id, score) of every vector; none for a query of another length."""
-    if len(query) != dim:
-        return units.select("_id", F.lit(0.0).cast("float").alias("score")).where(F.lit(False))
-    q = F.array(*[F.lit(x).cast("float") for x in unit_query(query)])
-    return units.select("_id", _sum(F.zip_with("unit", q, lambda x, y: (x * y).cast("float"))).alias("score"))
+class VectorIndex:
+    """Unit vectors of one snapshot."""
+
+    def __init__(self, df: DataFrame, backend: Any, field: str, dim: int) -> None:
+        self.dim = dim
+        self.units = written(unit_vectors(df, backend, field, dim))
+
+    def scored(self, query: list[float]) -> DataFrame:
+        """(_id, score) of every vector; none for a query of another length. Vectors are
+        multiplied a batch at a time, as a matrix."""
+        if len(query) != self.dim:
+            return self.units.select("_id", F.lit(0.0).cast("float").alias("score")).where(F.lit(False))
+        q, dim = np.array(unit_query(query), np.float32), self.dim
+
+        @arrow_udf("float")
+        def cosine(column: pa.Array) -> pa.Array:
+            return pa.array(column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) @ q, pa.float32())
+
+        return self.units.select("_id", cosine("unit").alias("score"))
 
 
 def top(scores: DataFrame, limit: int) -> DataFrame:

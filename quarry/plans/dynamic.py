@@ -10,7 +10,7 @@ import json
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.keys import container_key
@@ -61,6 +61,13 @@ def order_key(v: Column, containers: bool) -> Column:
     return key.withField("c", F.coalesce(c, F.lit(b"").cast("binary")))
 
 
+def with_key(df: DataFrame, v: Column, name: str) -> DataFrame:
+    """df with the order key of a variant. Only rows with an array or an object there go
+    through Python, and they alone."""
+    large = F.coalesce(kind_rank(v), F.lit(NULL)) >= ARRAY
+    return df.where(~large).withColumn(name, order_key(v, False)).unionByName(df.where(large).withColumn(name, order_key(v, True)))
+
+
 def literal_key(value: Any) -> Column:
     k = rank(value)
     n, r = number_literal(value) if k == NUMBER else (float(value) if k == BOOL else 0.0, 0)
@@ -116,7 +123,7 @@ def member(doc: Column, name: str) -> Column:
     """The value under a key of an object, whatever characters the key has; NULL where it is missing."""
     path = "$[" + json.dumps(name, ensure_ascii=False) + "]"
     if '"' in name or "\\" in name:
-        if "'" in name:
-            raise ValueError("a key with both kinds of quotes can't be addressed")
+        if "'" in name:  # no path can hold both kinds of quotes
+            return F.element_at(F.try_variant_get(doc, "$", "map<string,variant>"), F.lit(name))
         path = f"$['{name}']"
     return F.try_variant_get(doc, path, "variant")

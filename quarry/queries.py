@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from quarry.operators.query import Query
 from quarry.sources.backends import DYNAMIC, TypedBackend, with_doc
 from quarry.shipping import ship
 from quarry.sources.collection import Collection
+from quarry.storage import spread, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -37,9 +39,9 @@ def _filter(name: str, table: str, key: str, query: Any, sql: str, columns: str
 
 _O, _OK = "o_orderkey, o_orderstatus, o_totalprice", "o_orderkey"
 _L = "l_orderkey, l_linenumber, l_quantity, l_returnflag"
-_filter("filter_eq", "orders", _OK, {"o_orderstatus": "F", "o_custkey": {"$eq": 100.0}}, "orders WHERE o_orderstatus = 'F' AND o_custkey = 100", _O)
+_filter("filter_eq", "lineitem", "l_orderkey", {"l_returnflag": "R", "l_linenumber": {"$eq": 3.0}}, "lineitem WHERE l_returnflag = 'R' AND l_linenumber = 3", _L)
 _filter("filter_ne", "orders", _OK, {"o_orderstatus": {"$ne": "O"}}, "orders WHERE o_orderstatus <> 'O'", _O)
-_filter("filter_gt_gte_lt_lte", "orders", _OK, {"o_totalprice": {"$gt": 1000}, "o_custkey": {"$gte": 5.5, "$lte": 90.5}, "o_orderkey": {"$lt": 900}}, "orders WHERE o_totalprice > 1000 AND o_custkey >= 6 AND o_custkey <= 90 AND o_orderkey < 900", _O)
+_filter("filter_gt_gte_lt_lte", "orders", _OK, {"o_totalprice": {"$gt": 1000}, "o_custkey": {"$gte": 5.5}, "o_orderdate": {"$lt": datetime(1996, 1, 1)}, "o_orderstatus": {"$lte": "O"}}, "orders WHERE o_totalprice > 1000 AND o_custkey >= 6 AND o_orderdate < TIMESTAMP '1996-01-01' AND o_orderstatus <= 'O'", _O)
 _filter("filter_range", "orders", _OK, {"o_totalprice": {"$gte": 100000, "$lt": 150000.5}}, "orders WHERE o_totalprice >= 100000 AND o_totalprice < 150000.5::DOUBLE", _O)
 _filter("filter_in", "lineitem", "l_orderkey", {"l_returnflag": {"$in": ["A", "R", 5]}, "l_linenumber": {"$in": [1, 3.0, 2.5, "x"]}}, "lineitem WHERE l_returnflag IN ('A', 'R') AND l_linenumber IN (1, 3)", _L)
 _filter("filter_nin", "lineitem", "l_orderkey", {"l_returnflag": {"$nin": ["A", "R"]}, "l_linenumber": {"$nin": []}}, "lineitem WHERE l_returnflag NOT IN ('A', 'R')", _L)
@@ -47,8 +49,8 @@ _filter("filter_and", "lineitem", "l_orderkey", {"$and": [{"l_returnflag": "A"},
 _filter("filter_or", "lineitem", "l_orderkey", {"$or": [{"l_quantity": {"$lt": 3}}, {"l_linenumber": 7}, 5]}, "lineitem WHERE l_quantity < 3 OR l_linenumber = 7", _L)
 _filter("filter_nested_logical", "lineitem", "l_orderkey", {"$or": [{"$and": [{"l_quantity": {"$gte": 45}}, {"$or": [{"l_returnflag": "R"}, {"l_linestatus": "F"}]}]}, {"$and": [{"l_linenumber": 2}, {"l_quantity": 1}]}]}, "lineitem WHERE (l_quantity >= 45 AND (l_returnflag = 'R' OR l_linestatus = 'F')) OR (l_linenumber = 2 AND l_quantity = 1)", _L)
 _filter("filter_not", "orders", _OK, {"o_totalprice": {"$not": {"$gte": 50000, "$lt": 400000}}}, "orders WHERE NOT (o_totalprice >= 50000 AND o_totalprice < 400000)", _O)
-_filter("filter_malformed", "orders", _OK, {"o_totalprice": {"$not": {"$bogus": 1}}, "o_custkey": {"$lt": 50}}, "orders WHERE o_custkey < 50", _O)
-_filter("filter_cross_type", "orders", _OK, {"o_totalprice": {"$lt": "a string"}, "o_orderstatus": {"$gt": 5}, "o_custkey": {"$lt": 40}, "$or": [{"o_orderkey": {"$lt": 2**70}}, {"o_orderkey": "7"}]}, "orders WHERE o_custkey < 40", _O)
+_filter("filter_malformed", "orders", _OK, {"o_totalprice": {"$not": {"$bogus": 1}}, "$or": [{"o_orderstatus": {"$bogus": 1}}, {"o_orderstatus": {"$ne": "P"}}, {"o_custkey": {"$in": 7}}]}, "orders WHERE o_orderstatus <> 'P'", _O)
+_filter("filter_cross_type", "orders", _OK, {"o_totalprice": {"$lt": "a string"}, "o_orderstatus": {"$gt": 5}, "o_custkey": {"$not": {"$gt": "a string"}}, "$or": [{"o_orderkey": {"$lt": 2**70}}, {"o_orderkey": "7"}]}, "orders", _O)
 
 
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
@@ -98,8 +100,25 @@ QUERIES["sort_missing_desc"] = lambda spark, d: _find(_labelled(spark, d), "doc_
 SQL["sort_missing_desc"] = f"SELECT doc_id, quality FROM {_LJ} t WHERE n_chars < 2000 ORDER BY quality DESC NULLS LAST, doc_id DESC LIMIT 40"
 QUERIES["count_pipeline"] = lambda spark, d: _find(_read(spark, d, "orders"), _OK, {"o_orderstatus": "O"}).sort("o_totalprice").skip(100).limit(3000).count_frame()
 SQL["count_pipeline"] = "SELECT least(greatest(count(*) - 100, 0), 3000) AS n FROM orders WHERE o_orderstatus = 'O'"
-QUERIES["exists"] = lambda spark, d: _find(_read(spark, d, "orders"), _OK, {"o_totalprice": {"$gt": 1e12}}).limit(1).count_frame().select((F.col("n") > 0).alias("found"))
-SQL["exists"] = "SELECT count(*) > 0 AS found FROM orders WHERE o_totalprice > 1e12"
+
+
+def _exists(spark: SparkSession, d: str) -> DataFrame:
+    orders = Collection(spark, "orders", _read(spark, d, "orders"), _OK)
+    return spark.createDataFrame([("dear", orders.exists({"o_totalprice": {"$gt": 1e12}})), ("open", orders.exists({"o_orderstatus": "O"})), ("all", orders.exists())], "asked string, found boolean")
+
+
+QUERIES["exists"] = _exists
+SQL["exists"] = "SELECT 'dear' AS asked, count(*) > 0 AS found FROM orders WHERE o_totalprice > 1e12 UNION ALL SELECT 'open', count(*) > 0 FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT 'all', count(*) > 0 FROM orders"
+
+
+def _in_place(spark: SparkSession, d: str) -> DataFrame:
+    """What to_list() gives, with each document's place in it."""
+    found = _find(_read(spark, d, "customer"), "c_custkey", {"c_acctbal": {"$lt": 2000}}).sort("c_nationkey", True).to_list()
+    return spark.createDataFrame([(i, r["c_custkey"], r["c_nationkey"]) for i, r in enumerate(found)], "place long, c_custkey long, c_nationkey int")
+
+
+QUERIES["sort_places"] = _in_place
+SQL["sort_places"] = "SELECT row_number() OVER (ORDER BY c_nationkey DESC, c_custkey DESC) - 1 AS place, c_custkey, c_nationkey FROM customer WHERE c_acctbal < 2000"
 QUERIES["find_one"] = lambda spark, d: _find(_read(spark, d, "orders"), _OK, {"o_custkey": {"$gt": 20}}).sort("o_orderdate").limit(1).frame().select("o_orderkey", "o_custkey")
 SQL["find_one"] = "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey > 20 ORDER BY o_orderdate, o_orderkey LIMIT 1"
 QUERIES["primary_key_get"] = lambda spark, d: _find(_read(spark, d, "customer"), "c_custkey", {"c_custkey": 77}).limit(1).frame().select(*_C.split(", "))
@@ -126,12 +145,22 @@ _group("group_last", "events", "event_id", "event_type", "last", "value", "arg_m
 
 
 def _collect(spark: SparkSession, d: str) -> DataFrame:
-    df = _find(_read(spark, d, "orders"), _OK, {"o_totalprice": {"$gt": 300000}}).sort("o_totalprice", True).limit(60).group("o_orderstatus").frame("collect", "o_orderkey")
+    df = _find(_read(spark, d, "orders"), _OK, {}).sort("o_totalprice", True).group("o_custkey").frame("collect", "o_orderkey")
     return df.select(F.col("_id").alias("id"), F.array_join("collect", ",").alias("value"))
 
 
 QUERIES["group_collect"] = _collect
-SQL["group_collect"] = "SELECT o_orderstatus AS id, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_totalprice DESC, o_orderkey DESC) AS value FROM (SELECT * FROM orders WHERE o_totalprice > 300000 ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 60) t GROUP BY o_orderstatus"
+SQL["group_collect"] = "SELECT o_custkey AS id, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_totalprice DESC, o_orderkey DESC) AS value FROM orders GROUP BY o_custkey"
+
+
+def _group_places(spark: SparkSession, d: str) -> DataFrame:
+    """Groups in the order in which they come without a sort."""
+    rows = _find(_labelled(spark, d), "doc_id", {}).group("quality").agg("count")
+    return spark.createDataFrame([(i, r["_id"], r["count"]) for i, r in enumerate(rows)], "place long, id int, count long")
+
+
+QUERIES["group_places"] = _group_places
+SQL["group_places"] = f"SELECT row_number() OVER (ORDER BY quality NULLS FIRST) - 1 AS place, quality AS id, count(*) AS count FROM {_LJ} t GROUP BY quality"
 QUERIES["group_pipeline"] = lambda spark, d: _find(_read(spark, d, "orders"), _OK, {"o_orderstatus": {"$ne": "P"}}).sort("o_totalprice").skip(10).limit(200).group("o_orderpriority").frame("count").withColumnRenamed("_id", "id")
 SQL["group_pipeline"] = "SELECT o_orderpriority AS id, count(*) AS count FROM (SELECT * FROM orders WHERE o_orderstatus <> 'P' ORDER BY o_totalprice, o_orderkey LIMIT 200 OFFSET 10) t GROUP BY o_orderpriority"
 QUERIES["group_sort_limit"] = lambda spark, d: _find(_read(spark, d, "orders"), _OK, {}).group("o_custkey").sort("count", True).limit(10).frame("count").withColumnRenamed("_id", "id")
@@ -159,10 +188,35 @@ WORDS = "things tions from"
 _STEMS = {"thing": ("thing", "things", "thinges", "thinging", "thinged"), "tion": ("tion", "tions", "tioned", "tioning", "tiones"), "from": ("from", "froms", "fromes", "froming", "fromed")}
 
 
+#: Collections of this process by application, folder and name: as in a store, indexes serve many searches.
+_held: dict[tuple[str, str, str], Collection] = {}
+
+
+def held(spark: SparkSession, d: str, name: str) -> Collection:
+    """A collection that the search queries share, with its indexes."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _held:
+        if name == "vectors":
+            c = Collection(spark, name, _read(spark, d, "embeddings"), "vec_id")
+            c.create_vector_index("embedding", 64)
+        elif name == "texts":
+            c = Collection(spark, name, _read(spark, d, "documents"), "doc_id")
+            c.create_text_index("text")
+        elif name == "talks":
+            turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"])
+            c = Collection(spark, name, _read(spark, d, "conversations").groupBy("conv_id").agg(turns.alias("turns")), "conv_id")
+            c.create_text_index("turns")
+        else:
+            docs = _read(spark, d, "documents").select("doc_id", "text").join(_read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
+            c = Collection(spark, name, docs, "doc_id")
+            c.create_text_index("text")
+            c.create_vector_index("embedding", 64)
+        _held[key] = c
+    return _held[key]
+
+
 def _vectors(spark: SparkSession, d: str, limit: int) -> DataFrame:
-    c = Collection(spark, "vectors", _read(spark, d, "embeddings"), "vec_id")
-    c.create_vector_index("embedding", 64)
-    return c.vector_scores("embedding", VECTOR, limit)
+    return held(spark, d, "vectors").vector_scores("embedding", VECTOR, limit)
 
 
 QUERIES["vector_topk"] = lambda spark, d: _vectors(spark, d, 10).select(F.col("_id").alias("vec_id"), F.round(F.col("score").cast("double"), 4).alias("score"))
@@ -172,9 +226,7 @@ SQL["vector_all_rank"] = f"SELECT vec_id, round(list_cosine_similarity(embedding
 
 
 def _texts(spark: SparkSession, d: str, limit: int) -> DataFrame:
-    c = Collection(spark, "texts", _read(spark, d, "documents"), "doc_id")
-    c.create_text_index("text")
-    return c.text_scores("text", WORDS, limit)
+    return held(spark, d, "texts").text_scores("text", WORDS, limit)
 
 
 _VALUES = ", ".join(f"('{t}', '{s}')" for s, ts in _STEMS.items() for t in ts)
@@ -195,10 +247,7 @@ SQL["text_topk"] = _BM25 + "SELECT doc_id, round(score, 6) AS score FROM (SELECT
 
 
 def _array_texts(spark: SparkSession, d: str) -> DataFrame:
-    df = _read(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]).alias("turns"))
-    c = Collection(spark, "talks", df, "conv_id")
-    c.create_text_index("turns")
-    return c.text_scores("turns", "things", 0).select(F.col("_id").alias("conv_id"), F.round("score", 6).alias("score"))
+    return held(spark, d, "talks").text_scores("turns", "things", 0).select(F.col("_id").alias("conv_id"), F.round("score", 6).alias("score"))
 
 
 QUERIES["text_array"] = _array_texts
@@ -206,11 +255,7 @@ SQL["text_array"] = _BM25.replace("SELECT doc_id, list_transform(regexp_extract_
 
 
 def _hybrid(spark: SparkSession, d: str) -> DataFrame:
-    docs = _read(spark, d, "documents").select("doc_id", "text").join(_read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
-    c = Collection(spark, "both", docs, "doc_id")
-    c.create_text_index("text")
-    c.create_vector_index("embedding", 64)
-    return c.hybrid_scores("text", "embedding", WORDS, VECTOR, 20).select(F.col("_id").alias("doc_id"), F.round("score", 9).alias("score"))
+    return held(spark, d, "both").hybrid_scores("text", "embedding", WORDS, VECTOR, 20).select(F.col("_id").alias("doc_id"), F.round("score", 9).alias("score"))
 
 
 QUERIES["hybrid_rrf"] = _hybrid
@@ -222,6 +267,23 @@ f AS (SELECT doc_id, sum(p) AS score FROM parts GROUP BY doc_id)
 SELECT doc_id, round(score, 9) AS score FROM (SELECT * FROM f ORDER BY score DESC, doc_id LIMIT 20) t"""
 
 
+#: Texts by the event's id, of words whose stems do not begin as they do or end in y.
+_Y_TEXTS = ("a wide eyed", "flies, ies and dyed", "fly by eyed eyes EYED", "say yes")
+_Y_CASE = "CASE event_id % 4 " + " ".join(f"WHEN {i} THEN '{t} '" for i, t in enumerate(_Y_TEXTS)) + " END"
+_Y_STEMS = {"ei": ("eyed",), "i": ("ies",), "fly": ("fly",)}
+
+
+def _y_texts(spark: SparkSession, d: str) -> DataFrame:
+    df = _read(spark, d, "events").select("event_id", F.concat(F.expr(_Y_CASE), "event_type").alias("text"))
+    c = Collection(spark, "events", df, "event_id")
+    c.create_text_index("text")
+    return c.text_scores("text", "Eyed ies fly").select(F.col("_id").alias("event_id"), F.round("score", 6).alias("score"))
+
+
+QUERIES["text_y_stems"] = _y_texts
+SQL["text_y_stems"] = _BM25.replace("doc_id", "event_id").replace("FROM documents WHERE text IS NOT NULL", f"FROM (SELECT event_id, {_Y_CASE} || event_type AS text FROM events) e").replace(_VALUES, ", ".join(f"('{t}', '{x}')" for x, ts in _Y_STEMS.items() for t in ts)) + "SELECT event_id, round(score, 6) AS score FROM bm WHERE score > 0"
+
+
 def _customers(spark: SparkSession, d: str) -> Collection:
     return Collection(spark, "customer", _read(spark, d, "customer"), "c_custkey")
 
@@ -245,19 +307,42 @@ _write("update_one", lambda c: c.update_one({"c_mktsegment": "MACHINERY"}, {"$se
 _write("replace_one", lambda c: c.replace_one({"c_custkey": 33}, {"c_mktsegment": "ALL NEW"}), "SELECT c_custkey, CASE WHEN c_custkey = 33 THEN 'ALL NEW' ELSE c_mktsegment END AS c_mktsegment, CASE WHEN c_custkey = 33 THEN NULL ELSE c_acctbal END AS c_acctbal FROM customer")
 _write("delete_one", lambda c: c.delete_one({"c_acctbal": {"$gt": 100}}), "SELECT c_custkey, c_mktsegment, c_acctbal FROM customer WHERE c_custkey <> (SELECT min(c_custkey) FROM customer WHERE c_acctbal > 100)")
 _write("delete_many", lambda c: c.delete_many({"c_mktsegment": {"$in": ["BUILDING", "MACHINERY"]}}), "SELECT c_custkey, c_mktsegment, c_acctbal FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')")
-_write("insert_many", lambda c: c.insert_frame(c.backend.frame_of(c.spark, _new, 0)), f"SELECT c_custkey, c_mktsegment, c_acctbal FROM customer UNION ALL {_NEW}")
+_write("insert_many", lambda c: c.insert_many(_new), f"SELECT c_custkey, c_mktsegment, c_acctbal FROM customer UNION ALL {_NEW}")
+
+
+_CUSTOMERS = "SELECT c_custkey, c_mktsegment, c_acctbal FROM customer"
+_write("insert_one", lambda c: c.insert(_new[1]), f"{_CUSTOMERS} UNION ALL SELECT {_new[1]['c_custkey']}::BIGINT, 'NEW', 0.25::DOUBLE")
+_write("insert_frame", lambda c: c.insert_frame(c.frame.select((F.col("c_custkey") + 10**9).alias("c_custkey"), "c_name", "c_nationkey", "c_acctbal", F.lit("COPY").alias("c_mktsegment"))), f"{_CUSTOMERS} UNION ALL SELECT c_custkey + 1000000000, 'COPY', c_acctbal FROM customer")
+_write("set_doc", lambda c: (c.set_doc(12, {"c_mktsegment": "SET"}), c.set_doc(-1, {"c_mktsegment": "NO"})), "SELECT c_custkey, CASE WHEN c_custkey = 12 THEN 'SET' ELSE c_mktsegment END AS c_mktsegment, CASE WHEN c_custkey = 12 THEN NULL ELSE c_acctbal END AS c_acctbal FROM customer")
+_write("remove_doc", lambda c: (c.remove_doc(12), c.remove_doc(-1)), f"{_CUSTOMERS} WHERE c_custkey <> 12")
 
 
 def _batch(c: Collection) -> None:
     t = c.begin()
-    for row in _new:
-        t._puts[row["c_custkey"]] = (row, True)
+    t.insert_many(_new)
     t.update({"c_custkey": {"$lt": 5}}, {"$set": {"c_mktsegment": "LOW"}})
     t.delete({"c_custkey": {"$gte": 5, "$lt": 9}})
     t.update({"c_custkey": 2}, {"$set": {"c_mktsegment": "TWO"}})
     t.commit()
 
 
+def _batch_replace(c: Collection) -> None:
+    t = c.begin()
+    t.update({"c_acctbal": {"$lt": 0}}, {"$set": {"c_mktsegment": "DEBT"}})
+    t.replace({"c_custkey": 21}, {"c_acctbal": 21.5})
+    t.insert(_new[3])
+    t.commit()
+
+
+def _batch_rollback(c: Collection) -> None:
+    t = c.begin()
+    t.insert(_new[0])
+    t.delete({})
+    t.rollback()
+
+
+_write("batch_replace", _batch_replace, f"SELECT c_custkey, CASE WHEN c_custkey = 21 THEN NULL WHEN c_acctbal < 0 THEN 'DEBT' ELSE c_mktsegment END AS c_mktsegment, CASE WHEN c_custkey = 21 THEN 21.5 ELSE c_acctbal END AS c_acctbal FROM customer UNION ALL SELECT {_new[3]['c_custkey']}::BIGINT, 'NEW', 0.75::DOUBLE")
+_write("batch_rollback", _batch_rollback, _CUSTOMERS)
 _write("batch_commit", _batch, f"SELECT c_custkey, CASE WHEN c_custkey = 2 THEN 'TWO' WHEN c_custkey < 5 THEN 'LOW' ELSE c_mktsegment END AS c_mktsegment, c_acctbal FROM customer WHERE NOT (c_custkey >= 5 AND c_custkey < 9) UNION ALL {_NEW}")
 
 
@@ -268,8 +353,12 @@ def _documents(spark: SparkSession, d: str) -> Collection:
     v = F.when(kind == 0, F.to_json(F.struct(F.col("user_id").alias("v")))).when(kind == 1, F.to_json(F.struct(F.col("event_type").alias("v")))).when(kind == 2, F.lit('{"v":null}')).otherwise(F.lit("{}"))
     body = F.concat(F.lit('{"_id":"'), F.lpad(F.col("event_id").cast("string"), 12, "0"), F.lit('","type":"'), F.col("event_type"), F.lit('","props":'), F.col("props"), F.when(v == "{}", F.lit("")).otherwise(F.concat(F.lit(","), F.substring(v, 2, 1000), F.lit(""))), F.when(v == "{}", F.lit("}")).otherwise(F.lit("")))
     rows = e.select(F.lpad(F.col("event_id").cast("string"), 12, "0").alias("_id"), F.col("event_id").alias("seq"), body.alias("json"))
+    key = (spark.sparkContext.applicationId, d, "documents")
+    if key not in _held:  # written once, with the parsed documents
+        _held[key] = Collection(spark, "events")
+        _held[key].frame = written(with_doc(spread(rows.select(*DYNAMIC.names))))
     c = Collection(spark, "events")
-    c.frame = with_doc(rows.select(*DYNAMIC.names))
+    c.frame = _held[key].frame
     return c
 
 

@@ -7,7 +7,10 @@ order of keys) and doc (the same as VARIANT, for evaluation only)."""
 from __future__ import annotations
 
 import json
+import secrets
+import time
 from collections.abc import Callable, Iterator
+from itertools import count
 from typing import Any
 
 import pyarrow as pa
@@ -15,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.errors import InvalidUpdate, NotAnObject
+from quarry.errors import IdMustBeString, InvalidUpdate, NotAnObject
 from quarry.functions import paths
 from quarry.functions.values import LONG_MAX, LONG_MIN, NUMBER, rank_of_type, rendered
 from quarry.plans import dynamic, filters
@@ -24,6 +27,14 @@ from quarry.plans import dynamic, filters
 class TypedBackend:
     dynamic = False
 
+    def normalized(self, doc: Any) -> dict:
+        """A document with its id."""
+        if not isinstance(doc, dict):
+            raise NotAnObject("a document is an object")
+        if doc.get(self.key) is None:
+            raise IdMustBeString(f"a row needs its {self.key!r}")
+        return dict(doc)
+
     def __init__(self, schema: T.StructType, key: str, null_is: str = "missing", null_matches_missing: bool = False) -> None:
         self.schema, self.key = schema, key
         self.explicit = null_is == "explicit"
@@ -45,9 +56,6 @@ class TypedBackend:
         """Order of a stream that isn't sorted."""
         return self.id()
 
-    def group_key(self, name: str) -> Column:
-        return self.sort_key(name)
-
     def value(self, name: str) -> Column:
         return self.sort_key(name)
 
@@ -179,10 +187,28 @@ def with_doc(df: DataFrame) -> DataFrame:
     return df.select("_id", "seq", "json").withColumn("doc", F.parse_json("json"))
 
 
+_process, _ids = secrets.token_hex(5), count(secrets.randbits(20))
+
+
+def new_id() -> str:
+    """24 hexadecimal digits: the second, a number of the process, a counter."""
+    return f"{int(time.time()) & 0xFFFFFFFF:08x}{_process}{next(_ids) & 0xFFFFFF:06x}"
+
+
 class DynamicBackend:
     dynamic = True
     key = "_id"
 
+    def normalized(self, doc: Any) -> dict:
+        """A document with its id; a missing one is made and comes first."""
+        if not isinstance(doc, dict):
+            raise NotAnObject("a document is an object")
+        if "_id" not in doc:
+            return {"_id": new_id()} | doc
+        if not isinstance(doc["_id"], str):
+            raise IdMustBeString("_id is a string")
+        return dict(doc)
+
     def __init__(self, null_matches_missing: bool = False) -> None:
         self.null_matches_missing = null_matches_missing
 
@@ -204,9 +230,6 @@ class DynamicBackend:
     def order(self) -> Column:
         return F.col("seq")
 
-    def group_key(self, name: str) -> Column:
-        return dynamic.order_key(self.value(name), True)
-
     def documents(self, rows: list[Row]) -> list[dict]:
         return [json.loads(r["json"]) for r in rows]
 

@@ -1,14 +1,15 @@
 """Collections: reads, searches, writes, indexes and batches over snapshots.
 
-A collection's state is an immutable frame; a write plans a new one, validates
-it, and swaps it in under a lock. Every CHECKPOINT_EVERY writes the lineage is cut
-with a checkpoint in the folder of spark.checkpoint.dir."""
+A collection's state is an immutable frame; a write evaluates the rows that it
+touches into the shared folder, plans a frame of them and the untouched ones, and
+swaps it in under a lock. Every CHECKPOINT_EVERY writes the whole frame is written,
+which cuts the lineage. Indexes are written tables of one snapshot, made when they
+are first read."""
 
 from __future__ import annotations
 
-import tempfile
 import threading
-from itertools import count
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,28 +18,13 @@ from pyspark.sql import types as T
 
 from quarry.errors import DuplicateId, IdMismatch, IdMustBeString, InvalidUpdate, NoIndex, NoMatch, NotAnObject, PrimaryIndex, StoreError, VectorDimMismatch
 from quarry.operators import hybrid, text, vector
+from quarry.operators.index import FieldIndex
 from quarry.operators.query import Query
 from quarry.shipping import ship
 from quarry.sources.backends import DYNAMIC, DynamicBackend, TypedBackend, check_spec, with_doc
+from quarry.storage import written
 
 CHECKPOINT_EVERY = 16
-_ids = count(1)
-
-
-def new_id() -> str:
-    """24 hexadecimal digits of one counter of the process."""
-    return f"{next(_ids):024x}"
-
-
-def normalized(doc: Any) -> dict:
-    """A document with its id; a missing one is made and comes first."""
-    if not isinstance(doc, dict):
-        raise NotAnObject("a document is an object")
-    if "_id" not in doc:
-        return {"_id": new_id()} | doc
-    if not isinstance(doc["_id"], str):
-        raise IdMustBeString("_id is a string")
-    return dict(doc)
 
 
 class Collection:
@@ -49,7 +35,10 @@ class Collection:
         ship(spark)
         self.spark, self.name = spark, name
         self._lock = threading.RLock()
-        self._writes = 0
+        #: How often the snapshot has moved.
+        self.version = 0
+        self._seq: int | None = None
+        self._built: dict[tuple[str, str], Any] = {}
         self._value_indexes: set[str] = set()
         self._vector_indexes: dict[str, int] = {}
         self._text_indexes: set[str] = set()
@@ -93,25 +82,32 @@ class Collection:
 
     # Search
 
-    def _vectors(self, field: str) -> DataFrame:
+    def _index(self, kind: str, field: str, make: Callable[[], Any]) -> Any:
+        """An index of the present snapshot, made on its first use."""
+        with self._lock:
+            if (kind, field) not in self._built:
+                self._built[kind, field] = make()
+            return self._built[kind, field]
+
+    def _vectors(self, field: str) -> vector.VectorIndex:
         if field not in self._vector_indexes:
             raise NoIndex(f"no vector index on {field!r}")
-        return vector.unit_vectors(self.frame, self.backend, field, self._vector_indexes[field])
+        return self._index("vector", field, lambda: vector.VectorIndex(self.frame, self.backend, field, self._vector_indexes[field]))
 
-    def _texts(self, field: str) -> DataFrame:
+    def _texts(self, field: str) -> text.TextIndex:
         if field not in self._text_indexes:
             raise NoIndex(f"no text index on {field!r}")
-        return text.indexed(self.frame, self.backend, field)
+        return self._index("text", field, lambda: text.TextIndex(self.frame, self.backend, field))
 
     def vector_scores(self, field: str, query: list[float], limit: int = 0) -> DataFrame:
-        return vector.top(vector.scored(self._vectors(field), query, self._vector_indexes[field]), limit)
+        return vector.top(self._vectors(field).scored(query), limit)
 
     def text_scores(self, field: str, query: str, limit: int = 0) -> DataFrame:
-        return vector.top(text.scored(self._texts(field), query), limit)
+        return vector.top(self._texts(field).scored(query), limit)
 
     def hybrid_scores(self, text_field: str, vector_field: str, query: str, query_vector: list[float], limit: int = 0) -> DataFrame:
         words, vectors = self._texts(text_field), self._vectors(vector_field)
-        return vector.top(hybrid.fused(text.scored(words, query), vector.scored(vectors, query_vector, self._vector_indexes[vector_field])), limit)
+        return vector.top(hybrid.fused(words.scored(query), vectors.scored(query_vector)), limit)
 
     def _hits(self, scores: DataFrame) -> list[tuple[dict, float]]:
         own = self.frame.withColumn("__id", self.backend.id())
@@ -131,20 +127,17 @@ class Collection:
     # Writes
 
     def _swap(self, frame: DataFrame) -> None:
-        self._writes += 1
-        if self._writes % CHECKPOINT_EVERY == 0:
-            if self.spark.sparkContext.getCheckpointDir() is None:
-                where = self.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-")
-                self.spark.sparkContext.setCheckpointDir(where)
-            plain = frame.drop("doc") if self.backend.dynamic else frame
-            plain = plain.checkpoint()
-            frame = with_doc(plain) if self.backend.dynamic else plain
-        self.frame = frame
+        self.version += 1
+        self._built.clear()
+        self.frame = written(frame) if self.version % CHECKPOINT_EVERY == 0 else frame
 
     def _next_seq(self) -> int:
+        """The place of the next document in the order of insertion."""
         if not self.backend.dynamic:
             return 0
-        return (self.frame.agg(F.max("seq")).first()[0] or 0) + 1
+        if self._seq is None:
+            self._seq = self.frame.agg(F.max("seq")).first()[0] or 0
+        return self._seq + 1
 
     def _check_vectors(self, frame: DataFrame) -> None:
         """Present fields with a vector index are vectors of its length."""
@@ -158,15 +151,16 @@ class Collection:
 
     def insert_many(self, docs: list[dict]) -> list[str]:
         """All or none; the ids in order."""
-        docs = [normalized(d) for d in docs]
+        docs = [self.backend.normalized(d) for d in docs]
         ids = [d[self.backend.key] for d in docs]
         if not docs:
             return []
         if len(set(ids)) < len(ids):
             raise DuplicateId("an id occurs twice in the batch")
         with self._lock:
-            new = self.backend.frame_of(self.spark, docs, self._next_seq())
-            self._insert_frame(new)
+            seq = self._next_seq()
+            self._insert_frame(self.backend.frame_of(self.spark, docs, seq))
+            self._seq = seq + len(docs) - 1
         return ids
 
     def insert_frame(self, frame: DataFrame) -> None:
@@ -178,28 +172,36 @@ class Collection:
 
     def _insert_frame(self, new: DataFrame) -> None:
         key = self.backend.key
-        if not new.select(key).join(self.frame.select(key), key, "left_semi").isEmpty():
+        if not self.frame.select(key).join(new.select(key), key, "left_semi").isEmpty():
             raise DuplicateId("an id exists already")
         self._check_vectors(new)
-        self._swap(self.frame.unionByName(new))
+        self._seq = None
+        self._swap(self.frame.unionByName(new.select(*self.frame.columns)))
 
     def _first_match(self, query: Any) -> Any:
         found = self.frame.where(self.backend.predicate({} if query is None else query)).orderBy(self.backend.order()).select(self.backend.id()).limit(1).collect()
         return found[0][0] if found else None
 
-    def _rewrite(self, frame: DataFrame, match: Any) -> None:
-        """Validates every row of a planned update before the snapshot moves."""
-        frame = frame.persist()
+    def evaluated(self, rows: DataFrame) -> DataFrame:
+        """Rows of a planned change as a written table; InvalidUpdate where one can't be changed so."""
         try:
-            frame.count()
-            self._check_vectors(frame.where(match))
+            return written(rows)
         except StoreError:
             raise
         except Exception as e:
             if any(x in str(e) for x in ("PathError", "InvalidUpdate", "USER_RAISED_EXCEPTION")):
                 raise InvalidUpdate(str(e).splitlines()[0]) from e
             raise
-        self._swap(frame)
+
+    def _rewrite(self, match: Any, change: Callable[[DataFrame], DataFrame]) -> int:
+        """Changes the rows that match and validates them before the snapshot moves; how many they are."""
+        match = F.coalesce(match, F.lit(False))
+        rows = self.evaluated(change(self.frame.where(match)))
+        n = rows.count()
+        if n:
+            self._check_vectors(rows)
+            self._swap(self.frame.where(~match).unionByName(rows))
+        return n
 
     def update_one(self, query: Any, spec: dict) -> int:
         with self._lock:
@@ -207,21 +209,13 @@ class Collection:
             if target is None:
                 raise NoMatch("nothing matches")
             check_spec(spec)
-            hit = self.backend.id() == F.lit(target)
-            self._rewrite(self.backend.updated(self.frame, hit, spec), hit)
-            return 1
+            return self._rewrite(self.backend.id() == F.lit(target), lambda df: self.backend.updated(df, F.lit(True), spec))
 
     def update_many(self, query: Any, spec: dict) -> int:
         """All or none of the matching documents."""
         with self._lock:
             check_spec(spec)
-            match = self.backend.predicate({} if query is None else query)
-            ids = self.frame.where(match).select(self.backend.id().alias("i")).persist()
-            n = ids.count()
-            if n:
-                self._rewrite(self.backend.updated(self.frame, match, spec), F.lit(True))
-            ids.unpersist()
-            return n
+            return self._rewrite(self.backend.predicate({} if query is None else query), lambda df: self.backend.updated(df, F.lit(True), spec))
 
     def replace_one(self, query: Any, doc: dict) -> int:
         with self._lock:
@@ -229,9 +223,7 @@ class Collection:
             if target is None:
                 raise NoMatch("nothing matches")
             self._check_replacement(target, doc)
-            hit = self.backend.id() == F.lit(target)
-            self._rewrite(self.backend.replaced(self.frame, hit, doc), hit)
-            return 1
+            return self._rewrite(self.backend.id() == F.lit(target), lambda df: self.backend.replaced(df, F.lit(True), doc))
 
     def _check_replacement(self, target: Any, doc: Any) -> None:
         if not isinstance(doc, dict):
@@ -283,21 +275,30 @@ class Collection:
         if field != self.backend.key:
             self._value_indexes.add(field)
 
+    def index(self, field: str) -> FieldIndex:
+        """The index on a field: values and ids of the present snapshot."""
+        if field not in self.index_names():
+            raise NoIndex(f"no index on {field!r}")
+        return self._index("value", field, lambda: FieldIndex(self.frame, self.backend, field))
+
     def drop_index(self, field: str) -> None:
         if field == self.backend.key:
             raise PrimaryIndex("the index on ids can't be dropped")
         if field not in self._value_indexes:
             raise NoIndex(f"no index on {field!r}")
         self._value_indexes.discard(field)
+        self._built.pop(("value", field), None)
 
     def index_names(self) -> list[str]:
         return sorted({self.backend.key, *self._value_indexes})
 
     def create_vector_index(self, field: str, dim: int) -> None:
         self._vector_indexes[field] = dim
+        self._built.pop(("vector", field), None)
 
     def drop_vector_index(self, field: str) -> None:
         self._vector_indexes.pop(field, None)
+        self._built.pop(("vector", field), None)
 
     def has_vector_index(self, field: str) -> bool:
         return field in self._vector_indexes
@@ -310,6 +311,7 @@ class Collection:
 
     def drop_text_index(self, field: str) -> None:
         self._text_indexes.discard(field)
+        self._built.pop(("text", field), None)
 
     def has_text_index(self, field: str) -> bool:
         return field in self._text_indexes
@@ -340,20 +342,49 @@ class Collection:
         return {"docs": n, "docs_memory": size, "indexes": len(per), "per_index": per, "total_memory": size + sum(r["memory"] for r in per)}
 
     def reindex(self) -> int:
-        """How many value indexes there are; snapshots are always indexed anew."""
+        """Makes the value and text indexes anew; how many value indexes there are."""
+        with self._lock:
+            for kind, field in [k for k in self._built if k[0] != "vector"]:
+                del self._built[kind, field]
+            for field in self.index_names():
+                self.index(field)
+            for field in self._text_indexes:
+                self._texts(field)
         return len(self.index_names())
 
 
 class Store:
-    """Collections by name; reading one that doesn't exist finds nothing."""
+    """Collections by name; reading one that doesn't exist finds nothing.
+
+    connect() and close() frame its use as a client's: it works in the given session,
+    or the active one, and does not stop a session that others may use."""
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
         self._lock = threading.Lock()
         self._collections: dict[str, Collection] = {}
+        self._closed = False
+
+    @classmethod
+    def connect(cls, spark: SparkSession | None = None) -> Store:
+        return cls(spark or SparkSession.builder.getOrCreate())
+
+    def close(self) -> None:
+        """Forgets the collections; the store answers no more. Closing again does nothing."""
+        with self._lock:
+            self._collections.clear()
+            self._closed = True
+
+    def __enter__(self) -> Store:
+        return self
+
+    def __exit__(self, *_: Any) -> None:
+        self.close()
 
     def collection(self, name: str) -> Collection:
         with self._lock:
+            if self._closed:
+                raise StoreError("the store is closed")
             if name not in self._collections:
                 self._collections[name] = Collection(self.spark, name)
             return self._collections[name]

@@ -2,24 +2,32 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Any
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.errors import DuplicateId, NoMatch, StoreError
+from quarry.errors import Conflict, DuplicateId, NoMatch, StoreError
 from quarry.operators.query import Query
-from quarry.sources.backends import apply_spec, check_spec
+from quarry.sources.backends import check_spec
+from quarry.storage import written
 
 
 class Transaction:
     """Reads see the snapshot of begin(). Of several writes to one id the last
-    wins. The first error makes the batch fail; commit() then raises it."""
+    wins. The first error makes the batch fail; commit() then raises it, and so it
+    does where the collection was written to since begin().
+
+    Rows that an update, a replacement or a delete touches are written to the shared
+    folder as they will be; only inserted documents, which the caller holds anyway,
+    are on the driver."""
 
     def __init__(self, collection: Any) -> None:
         self.collection, self.backend = collection, collection.backend
-        self.snapshot = collection.frame
-        self._puts: dict[Any, tuple[dict, bool]] = {}  # id: document, whether it is new
-        self._gone: set[Any] = set()
+        self.snapshot, self.version = collection.frame, collection.version
+        self._new: dict[Any, dict] = {}
+        self._staged: list[tuple[DataFrame, bool]] = []  # rows, and whether they go
         self._error: StoreError | None = None
         self._done = False
 
@@ -54,33 +62,40 @@ class Transaction:
         raise error
 
     def insert(self, doc: dict) -> Any:
-        from quarry.sources.collection import normalized
+        return self.insert_many([doc])[0]
 
+    def insert_many(self, docs: list[dict]) -> list[Any]:
+        """All or none. Ids of the snapshot are taken, deleted ones too."""
         try:
-            doc = normalized(doc)
+            docs = [self.backend.normalized(d) for d in docs]
         except StoreError as e:
             self._fail(e)
-        i = doc[self.backend.key]
-        if i in self._puts or i in self._gone or self.contains(i):
+        ids = [d[self.backend.key] for d in docs]
+        if len(set(ids)) < len(ids) or any(i in self._new for i in ids):
+            self._fail(DuplicateId("an id occurs twice in the batch"))
+        if ids and not self.snapshot.where(self.backend.id().isin(ids)).isEmpty():
             self._fail(DuplicateId("an id exists already"))
-        self._puts[i] = (doc, True)
-        return i
+        self._new |= dict(zip(ids, docs, strict=True))
+        return ids
 
-    def insert_many(self, docs: list[dict]) -> list[Any]:
-        return [self.insert(d) for d in docs]
+    def _stage(self, rows: DataFrame, gone: bool) -> int:
+        try:
+            rows = self.collection.evaluated(rows)
+        except StoreError as e:
+            self._fail(e)
+        n = rows.count()
+        if n:
+            self._staged.append((rows, gone))
+        return n
 
     def update(self, query: Any, spec: dict) -> int:
         """How many documents of the snapshot match; none is no failure."""
         try:
             check_spec(spec)
-            found = self.find(query).to_list()
-            new = [(d[self.backend.key], apply_spec(d, spec)) for d in found]
+            rows = self.backend.updated(self.find(query).frame(), F.lit(True), spec)
         except StoreError as e:
             self._fail(e)
-        for i, d in new:
-            self._puts[i] = (d, False)
-            self._gone.discard(i)
-        return len(new)
+        return self._stage(rows, False)
 
     def replace(self, query: Any, doc: dict) -> int:
         old = self.find(query).first()
@@ -91,44 +106,42 @@ class Transaction:
             self.collection._check_replacement(i, doc)
         except StoreError as e:
             self._fail(e)
-        self._puts[i] = ({self.backend.key: i} | doc, False)
-        self._gone.discard(i)
-        return 1
+        return self._stage(self.backend.replaced(self.snapshot.where(self.backend.id() == F.lit(i)), F.lit(True), doc), False)
 
     def delete(self, query: Any) -> int:
-        ids = [r[0] for r in self.find(query).frame().select(self.backend.id()).collect()]
-        for i in ids:
-            self._puts.pop(i, None)
-            self._gone.add(i)
-        return len(ids)
+        return self._stage(self.find(query).frame(), True)
 
     def commit(self) -> None:
-        """One plan: rows that nothing touches, and what was put. Validated before the snapshot moves."""
+        """The snapshot without what was touched, the last version of each touched row,
+        and what was inserted. Validated before the collection's snapshot moves."""
         if self._error is not None:
             raise self._error
         if self._done:
             raise StoreError("the batch is over")
-        c = self.collection
+        c, key = self.collection, self.backend.key
         with c._lock:
-            spark, key = c.spark, self.backend.key
-            touched = [*self._puts, *self._gone]
-            if touched:
-                ids = spark.createDataFrame([(i,) for i in touched], f"{key} {dict(c.frame.dtypes)[key]}")
-                new = self.backend.frame_of(spark, [d for d, _ in self._puts.values()], c._next_seq()) if self._puts else None
-                frame = c.frame.join(F.broadcast(ids), key, "left_anti").select(*c.frame.columns)  # what a caller staged by hand
-                if new is not None:
-                    fresh = [(i,) for i, (_, is_new) in self._puts.items() if is_new]
-                    if fresh and not c.frame.join(F.broadcast(spark.createDataFrame(fresh, ids.schema)), key, "left_semi").isEmpty():
-                        raise DuplicateId("an id exists already")
-                    if self.backend.dynamic:
-                        old = c.frame.join(F.broadcast(ids), key, "left_semi").select(key, F.col("seq").alias("old"))
-                        new = new.join(old, key, "left").withColumn("seq", F.coalesce("old", "seq")).select(*c.frame.columns)
-                    c._check_vectors(new)
-                    frame = frame.unionByName(new)
+            if c.version != self.version:
+                raise Conflict("the collection was written to since the batch began")
+            frame, columns = self.snapshot, self.snapshot.columns
+            fresh = self.backend.frame_of(c.spark, list(self._new.values()), c._next_seq()) if self._new else None
+            if fresh is not None:
+                c._check_vectors(fresh)
+            if self._staged:
+                marked = [rows.select(F.col(f"`{key}`").alias("k"), F.struct(*[F.col(f"`{x}`") for x in columns]).alias("r"), F.lit(op).alias("op"), F.lit(gone).alias("gone")) for op, (rows, gone) in enumerate(self._staged)]
+                # Numbers of the last writes are compared, not rows, which may hold variants.
+                every = reduce(DataFrame.unionByName, marked)
+                last = every.groupBy("k").agg(F.max("op").alias("op"))
+                won = written(every.join(last, ["k", "op"]))
+                kept = won.where("not gone").select("r.*")
+                c._check_vectors(kept)
+                frame = frame.join(won.select(F.col("k").alias(key)), key, "left_anti").select(*columns).unionByName(kept)
+            if fresh is not None:
+                frame = frame.unionByName(fresh.select(*columns))
+            if self._staged or fresh is not None:
                 c._swap(frame)
             self._done = True
 
     def rollback(self) -> None:
-        self._puts.clear()
-        self._gone.clear()
+        self._new.clear()
+        self._staged.clear()
         self._done = True

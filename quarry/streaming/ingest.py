@@ -7,6 +7,8 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from quarry.storage import written
+
 
 def ingest(stream: DataFrame, collection: Any, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Each micro-batch of a stream with the collection's columns is inserted as a
@@ -16,7 +18,7 @@ def ingest(stream: DataFrame, collection: Any, checkpoint: str, available_now: b
     def batch(df: DataFrame, _: int) -> None:
         key = collection.backend.key
         fresh = df.dropDuplicates([key]).join(collection.frame.select(key), key, "left_anti").select(*df.columns)
-        rows = fresh.persist()
+        rows = written(fresh)
         if not rows.isEmpty():
             collection.insert_frame(rows)
 
