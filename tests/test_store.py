@@ -1,17 +1,23 @@
 """Collections: the fixtures' scenarios, writes, batches, search and figures."""
 
+import math
+import os
 import random
+import subprocess
+import sys
+from collections import Counter
 
+import numpy as np
 import pytest
-from matcher import matches
+from matcher import MISSING, matches
 from pyspark.sql import functions as F
 
-from quarry.errors import DuplicateId, IdMismatch, IdMustBeString, InvalidUpdate, NoIndex, NoMatch, NotAnObject, PrimaryIndex, VectorDimMismatch
+from quarry.errors import Conflict, DuplicateId, IdMismatch, IdMustBeString, InvalidUpdate, NoIndex, NoMatch, NotAnObject, PrimaryIndex, StoreError, VectorDimMismatch
 from quarry.functions import paths
 from quarry.functions.stemmer import stem, tokens
 from quarry.functions.values import order_bytes
 from quarry.operators.group import function_name
-from quarry.sources.collection import Collection, Store, write_parquet
+from quarry.sources.collection import CHECKPOINT_EVERY, Collection, Store, write_parquet
 from quarry.streaming.ingest import ingest
 
 
@@ -25,67 +31,97 @@ def ids(query):
     return [d["_id"] for d in query.to_list()]
 
 
+def drawn(seed, n, **fields):
+    """Documents with ids d00.. and each field drawn from its values; MISSING leaves it out."""
+    rng = random.Random(seed)
+    return [{"_id": f"d{i:02d}"} | {f: v for f, values in fields.items() if (v := rng.choice(values)) is not MISSING} for i in range(n)]
+
+
+def in_order(docs, field, down=False):
+    return sorted(docs, key=lambda d: (order_bytes(d.get(field)), d["_id"]), reverse=down)
+
+
+def names(docs):
+    return [d["_id"] for d in docs]
+
+
+STATIONS = drawn(4, 30, height=[0, 25, 50, 75, 400, 1200], zone=["coast", "plain", "hill"], manned=[True, False])
+
+
 @pytest.fixture(scope="module")
-def cows(spark):
-    rows = [("bess", 2, "milky"), ("moo", 5, "loud"), ("hilde", 5, "milky"), ("daisy", 9, "loud"), ("butch", 3, "loud"), ("clara", 7, "quiet")]
-    return made(spark, [{"_id": n, "name": n, "age": a, "tag": t} for n, a, t in rows])
-
-
-def test_sort_skip_limit(cows):
-    assert ids(cows.find().sort("age")) == ["bess", "butch", "hilde", "moo", "clara", "daisy"]
-    assert ids(cows.find().sort("age", True)) == ["daisy", "clara", "moo", "hilde", "butch", "bess"]
-    assert ids(cows.find().sort("age").skip(1).limit(2)) == ["butch", "hilde"]
-    assert set(ids(cows.find({"age": {"$gte": 3, "$lt": 7}}))) == {"butch", "hilde", "moo"}
-    assert cows.find({"tag": "loud"}).skip(1).count() == 2 and cows.count({"tag": "loud"}) == 3
-    assert cows.find({"tag": "none"}).first() is None and not cows.exists({"tag": "none"}) and cows.exists({"tag": "quiet"})
-    assert cows.find_one({"age": 9})["name"] == "daisy" and cows.get("moo")["age"] == 5 and cows.contains("moo") and not cows.contains("x")
-    q = cows.find({"a": 1}).sort("b", True).skip(2).limit(3)
+def stations(spark):
+    return made(spark, STATIONS)
+
+
+def test_sort_skip_limit(stations):
+    up, down = names(in_order(STATIONS, "height")), names(in_order(STATIONS, "height", True))
+    assert ids(stations.find().sort("height")) == up and ids(stations.find().sort("height", True)) == down == up[::-1]
+    assert ids(stations.find().sort("height").skip(4).limit(9)) == up[4:13]
+    query = {"height": {"$gte": 25, "$lt": 400}, "manned": True}
+    want = [d for d in STATIONS if matches(d, query)]
+    assert 0 < len(want) < 30 and sorted(ids(stations.find(query))) == sorted(names(want))
+    assert stations.find(query).skip(2).count() == len(want) - 2 and stations.count(query) == len(want)
+    assert stations.find({"zone": "sea"}).first() is None and not stations.exists({"zone": "sea"}) and stations.exists({"zone": "hill"})
+    assert stations.find_one({"height": 1200, "manned": True})["height"] == 1200 and stations.get("d07") == STATIONS[7] and stations.contains("d29") and not stations.contains("d30")
+    q = stations.find({"a": 1}).sort("b", True).skip(2).limit(3)
     assert (q.filter, q.sort_field, q.sort_descending, q.skip_count, q.limit_count) == ({"a": 1}, "b", True, 2, 3)
-    assert len(cows) == 6 and not cows.is_empty() and {d["_id"] for d in cows} == {d["_id"] for d in cows.find().to_list()}
+    assert len(stations) == 30 and not stations.is_empty() and sorted(names(stations)) == sorted(names(STATIONS))
 
 
-SCORES = [{"_id": "s01", "score": 3}, {"_id": "s02", "score": 7}, {"_id": "s03", "score": 5.0}, {"_id": "s04", "score": 5}, {"_id": "s05", "score": 11}, {"_id": "s06", "score": None}, {"_id": "s07"}]
+READINGS = [{"_id": "r1", "t": -4}, {"_id": "r2", "t": 12.5}, {"_id": "r3", "t": None}, {"_id": "r4"}, {"_id": "r5", "t": 12}, {"_id": "r6", "t": "off"}, {"_id": "r7", "t": True}, {"_id": "r8", "t": 12.0}]
 
 
 @pytest.mark.parametrize(
-    ("cond", "want"),
+    "cond",
     [
-        ({"$gt": 5}, "2 5"), ({"$ne": 7}, "1 3 4 5 6 7"), ({"$eq": None}, "6 7"), ({"$ne": None}, "1 2 3 4 5"), (5, "3 4"), (None, "6"), ({"$lt": 5}, "1 6"),
-        ({"$gte": None}, "1 2 3 4 5 6"), ({"$in": [None]}, "6 7"), ({"$nin": []}, "1 2 3 4 5 6 7"), ({"$not": {"$gt": 5}}, "1 3 4 6 7"), ({"$exists": True}, "1 2 3 4 5 6"),
-        ({"$exists": 1}, ""), ({"$in": 5}, ""), ({"$nin": 5}, ""), ({"$not": {"$bogus": 1}}, "1 2 3 4 5 6 7"), ({"$and": []}, ""), ({"$gt": 4, "$lt": 2}, ""),
+        {"$gt": 12}, {"$gte": 12}, {"$lt": 12}, {"$lte": -4.0}, {"$ne": 12}, {"$eq": None}, {"$ne": None}, 12, None, True, {"$gte": None}, {"$gt": None}, {"$lt": "off"}, {"$in": [None, 12.5]}, {"$in": []}, {"$nin": [12, "off"]}, {"$nin": []},
+        {"$not": {"$gt": 5}}, {"$exists": True}, {"$exists": False}, {"$exists": 0}, {"$in": "off"}, {"$nin": None}, {"$not": {"$bogus": 1}}, {"$not": 12}, {"$and": []}, {"$gt": 20, "$lt": 1},
     ],
 )
-def test_missing_and_null(spark, cond, want):
-    c = made(spark, SCORES)
-    assert sorted(ids(c.find({"score": cond}))) == [f"s0{x}" for x in want.split()]
+def test_missing_and_null(spark, cond):
+    c = made(spark, READINGS)
+    assert sorted(ids(c.find({"t": cond}))) == [d["_id"] for d in READINGS if matches(d, {"t": cond})]
 
 
 def test_direct_null_policy(spark):
     c = Collection(spark, null_matches_missing=True)
-    c.insert_many(SCORES)
-    assert sorted(ids(c.find({"score": None}))) == ["s06", "s07"]
+    c.insert_many(READINGS)
+    assert sorted(ids(c.find({"t": None}))) == ["r3", "r4"]
+
 
+def test_malformed_filters_match_nothing_or_everything(spark):
+    c = made(spark, READINGS)
+    assert ids(c.find({"$nor": [{"t": 1}]})) == [] == ids(c.find({"$not": {"t": 1}})) == ids(c.find({"t": {"$bogus": 1}})) == ids(c.find({"$and": 5})) == ids(c.find({"$or": []}))
+    assert len(ids(c.find({"$and": []}))) == len(READINGS) == len(ids(c.find({})))
 
-ELEM = [
-    {"_id": "a", "sizes": [1, 4]}, {"_id": "b", "sizes": [5, 9]}, {"_id": "c", "sizes": [7, 7]}, {"_id": "d", "sizes": 5}, {"_id": "e"},
-    {"_id": "sd1", "instock": [{"qty": 3, "warehouse": "A"}, {"qty": 8, "warehouse": "A"}]}, {"_id": "sd2", "instock": [{"qty": 10, "warehouse": "B"}]},
+
+LEGS = [
+    {"_id": "f1", "legs": [{"km": 320, "by": "rail"}, {"km": 40, "by": "foot"}], "stops": [2, 8]}, {"_id": "f2", "legs": [{"km": 900, "by": "air"}], "stops": [5]},
+    {"_id": "f3", "legs": [], "stops": []}, {"_id": "f4", "legs": {"km": 10, "by": "rail"}, "stops": 8}, {"_id": "f5", "stops": [[8], "8", 8.0, None]}, {"_id": "f6", "legs": [{"by": "rail"}, 7, None]},
 ]
 
 
 @pytest.mark.parametrize(
-    ("field", "cond", "want"),
-    [("sizes", 4, "a"), ("sizes", 5, "b"), ("sizes", {"$gt": 4}, "b c"), ("sizes", {"$gte": 8.0}, "b"), ("sizes", {"$in": [1, 7]}, "a c"), ("sizes", {"qty": 1}, ""), ("sizes", {}, "a b c"), ("sizes", {"q": {"$exists": False}}, "a b c"),
-     ("instock", {"warehouse": "B"}, "sd2"), ("instock", {"$and": [{"qty": 3}]}, ""), ("instock", {"qty": {"$gt": 2}, "$and": [{"warehouse": "A"}]}, "sd1")],
+    ("field", "cond"),
+    [("stops", 8), ("stops", {"$gt": 5}), ("stops", {"$lt": 3, "$gte": 2}), ("stops", {"$in": [5, None]}), ("stops", {"km": 1}), ("stops", {}), ("stops", [8]), ("stops", {"x": {"$exists": False}}), ("stops", {"$not": {"$lte": 8}}),
+     ("legs", {"by": "rail"}), ("legs", {"by": "rail", "km": {"$lt": 400}}), ("legs", {"$or": [{"km": 900}, {"by": "foot"}]}), ("legs", {"km": {"$exists": False}}), ("legs", {"km": 900, "by": "air"}), ("legs", {"$and": [{"km": 40}]})],
 )
-def test_elem_match(spark, field, cond, want):
-    c = made(spark, ELEM)
-    assert sorted(ids(c.find({field: {"$elemMatch": cond}}))) == want.split()
+def test_elem_match(spark, field, cond):
+    c = made(spark, LEGS)
+    assert sorted(ids(c.find({field: {"$elemMatch": cond}}))) == [d["_id"] for d in LEGS if matches(d, {field: {"$elemMatch": cond}})]
 
 
 def test_rank_comparison(spark):
-    c = made(spark, [{"_id": str(i), "v": v} for i, v in enumerate(["b", "c", True, False, 5])] + [{"_id": "x"}])
-    values = lambda cond: sorted(map(str, (d["v"] for d in c.find({"v": cond}).to_list())))
-    assert values({"$gt": "b"}) == ["c"] and values({"$gte": True}) == ["5", "True", "b", "c"] and values({"$lt": 5}) == ["False", "True"]
+    docs = [{"_id": str(i), "v": v} for i, v in enumerate([None, False, True, -7, 0.5, 3, "", "x", [0], [], {"k": 1}, {}])] + [{"_id": "gone"}]
+    c = made(spark, docs)
+    for cond in ({o: v} for o in ("$gt", "$gte", "$lt", "$lte") for v in (None, True, 3, "x", [0], {"k": 1})):
+        assert sorted(ids(c.find({"v": cond}))) == sorted(d["_id"] for d in docs if matches(d, {"v": cond})), cond
+
+
+def test_keys_with_both_kinds_of_quotes(spark):
+    key = "it's \"odd\\"
+    c = made(spark, [{"_id": "a", key: 1}, {"_id": "b", key: None}, {"_id": "c"}])
+    assert ids(c.find({key: 1})) == ["a"] and sorted(ids(c.find({key: {"$exists": True}}))) == ["a", "b"]
 
 
 def random_value(rng, depth=0):
@@ -188,72 +224,136 @@ def test_filters_reach_the_scan(spark, sf):
     assert "TakeOrderedAndProject" in plan(orders.find().sort("o_totalprice").limit(5))
 
 
-SALES = [
-    {"_id": "a", "region": "east", "price": 10, "tag": "x", "qty": 2}, {"_id": "b", "region": "east", "price": 20, "tag": "x", "qty": 1}, {"_id": "c", "region": "west", "price": 5, "tag": "y", "qty": 4},
-    {"_id": "d", "region": "west", "price": 30, "qty": 3}, {"_id": "e", "region": "east", "price": 15.5, "qty": 5}, {"_id": "f", "price": 1},
-]
+PARCELS = drawn(6, 40, route=["north", "ring", None, MISSING], kg=[2, 7, 12, 7.5, MISSING, None, "heavy"], label=["a", "b", MISSING])
+
+
+def plain_group(docs, field, fn, value=None, key=None, down=False):
+    """Groups in order of their keys; first, last and collect see documents in the given order."""
+    if key:
+        docs = in_order(docs, key, down)
+    groups = {}
+    for d in docs:
+        groups.setdefault(order_bytes(d.get(field)), (d.get(field), []))[1].append(d)
+    out = []
+    for _, (g, own) in sorted(groups.items()):
+        values = [d.get(value) for d in own]
+        there = [d[value] for d in own if value in d]
+        numbers = [v for v in values if isinstance(v, (int, float)) and not isinstance(v, bool)]
+        low, high = min(there, key=order_bytes, default=None), max(there, key=order_bytes, default=None)
+        out.append((g, {"count": len(own), "sum": sum(numbers), "mean": sum(numbers) / len(numbers) if numbers else None, "min": low, "max": high, "collect": values, "first": values[0], "last": values[-1]}[fn]))
+    return out
 
 
 def test_grouping(spark):
-    c = made(spark, SALES)
-    g = c.find().group("region")
+    c = made(spark, PARCELS)
+    g = c.find().group("route")
     rows = lambda fn, field=None, q=g: [(r["_id"], r[function_name(fn)]) for r in q.agg(fn, field)]
-    assert rows("count") == rows(0) == rows("COUNT") == [(None, 1), ("east", 3), ("west", 2)]
-    assert rows("sum", "price") == [(None, 1), ("east", 45.5), ("west", 35)] and isinstance(rows("sum", "price")[2][1], int)
-    assert rows("mean", "price") == [(None, 1.0), ("east", 45.5 / 3), ("west", 17.5)] and rows("mean", "tag")[0] == (None, None)
-    assert rows("min", "price") == [(None, 1), ("east", 10), ("west", 5)] and rows("max", "price") == [(None, 1), ("east", 20), ("west", 30)]
-    by = c.find().sort("price")
-    assert rows("first", "tag", by.group("region"))[1:] == [("east", "x"), ("west", "y")]
-    assert rows("last", "tag", c.find().sort("price", True).group("region"))[1:] == [("east", "x"), ("west", "y")]
-    assert rows("collect", "tag", by.group("region"))[1] == ("east", ["x", None, "x"])
-    assert [r[0] for r in rows("count", None, g.sort("count", True))] == ["east", "west", None]
-    assert [r[0] for r in rows("sum", "price", g.sort("sum"))] == [None, "west", "east"]
-    assert rows("count", None, by.limit(2).group("region")) == [(None, 1), ("west", 1)]
-    assert len(rows("count", None, g.limit(2))) == 2
-    assert sum(r[1] for r in made(spark, [{"_id": str(i), "v": v} for i, v in enumerate([5, -5.0, 2.0])]).find().group("v").agg("sum", "v") and [(0, r["sum"]) for r in made(spark, [{"_id": str(i), "v": v} for i, v in enumerate([5, -5.0, 2.0])]).find().group("none").agg("sum", "v")]) == 2.0
-    big = made(spark, [{"_id": "1", "v": 2**62}, {"_id": "2", "v": 2**62}, {"_id": "3", "v": 1.0}, {"_id": "4", "v": 1}])
-    assert big.find({"v": {"$gt": 5}}).group("none").agg("sum", "v")[0]["sum"] == float(2**63)
-    assert [r["count"] for r in big.find().group("v").agg("count")] == [2, 2]
+    assert rows("count") == rows(0) == rows("COUNT") == plain_group(PARCELS, "route", "count")
+    for fn in ("sum", "mean", "min", "max"):
+        assert rows(fn, "kg") == plain_group(PARCELS, "route", fn, "kg"), fn
+    assert rows("mean", "label")[0][1] is None and rows("sum", "label")[0][1] == 0
+    for down in (False, True):
+        by = c.find().sort("kg", down).group("route")
+        for fn in ("first", "last", "collect"):
+            assert rows(fn, "label", by) == plain_group(PARCELS, "route", fn, "label", "kg", down), (fn, down)
+    counted = plain_group(PARCELS, "route", "count")
+    assert rows("count", None, g.sort("count", True)) == sorted(counted, key=lambda r: (r[1], order_bytes(r[0])), reverse=True)
+    assert rows("sum", "kg", g.sort("sum")) == sorted(plain_group(PARCELS, "route", "sum", "kg"), key=lambda r: (r[1], order_bytes(r[0])))
+    assert rows("count", None, c.find().sort("kg").limit(5).group("route")) == plain_group(in_order(PARCELS, "kg")[:5], "route", "count")
+    assert rows("count", None, g.limit(2)) == counted[:2]
+    mixed = made(spark, [{"_id": str(i), "v": v} for i, v in enumerate([4, 4.0, [1], [1.0], {"k": [2]}, "4", None])])
+    assert [r["count"] for r in mixed.find().group("v").agg("count")] == [1, 2, 1, 2, 1]
+    big = made(spark, [{"_id": "1", "v": 2**62}, {"_id": "2", "v": 2**62}, {"_id": "3", "v": 3}])
+    assert big.find({"v": {"$gt": 5}}).group("none").agg("sum", "v")[0]["sum"] == float(2**63) and isinstance(big.find({"v": 3}).group("none").agg("sum", "v")[0]["sum"], int)
     with pytest.raises(ValueError):
         g.agg("median")
 
 
+#: Words and stems that the paper of 1980 gives for its rules, with what the later rules make of them.
+PAPER = """plastered plaster bled bled motoring motor sing sing conflated conflat troubled troubl tanned tan radicalli radic differentli differ vileli vile analogousli analog
+predication predic operator oper feudalism feudal decisiveness decis hopefulness hope callousness callous formaliti formal sensitiviti sensit sensibiliti sensibl formalize formal
+electriciti electr goodness good revival reviv allowance allow inference infer airliner airlin gyroscopic gyroscop adjustable adjust defensible defens irritant irrit
+replacement replac dependent depend homologou homolog communism commun activate activ angulariti angular effective effect probate probat rate rate roll roll"""
+
+
 def test_words():
-    pairs = "caresses caress ponies poni ties ti caressed caress cats cat feed feed feeds feed agreed agre agree agre feeder feeder planned plan plan plan ceases ceas cease ceas controls control control control rails rail rail rail motorized motor sexualized sexual conditional condit condition condit consonant conson matrices matric ratified ratifi ratifies ratifi moo moo moos moo trials trial tried tri skied ski skies ski sky sky write write running run hopes hope hoping hope hop hop hopped hop hopping hop agrees agre hopeful hope planful plan formative form electrical electr rational ration relief relief relational relat digitizer digit conformabli conform vietnamization vietnam triplicate triplic adjustment adjust adoption adopt bowdlerize bowdler controll control falling fall hissing hiss fizzed fizz failing fail filing file sized size happy happi by by".split()
+    pairs = PAPER.split()
     for word, want in zip(pairs[::2], pairs[1::2], strict=True):
         assert stem(word) == want, word
-    assert tokens("It's İ 3-D Über") == ["it", "s", "3", "d", "ber"]
+    assert stem("eyed") == "ei" and stem("ies") == "i" and stem("as") == "as"
+    assert tokens("O'Neil İzmir x-86 Ärger") == ["o", "neil", "zmir", "x", "86", "rger"]
+
+
+def plain_bm25(texts, query):
+    """Scores above 0 of texts by id, from a scan that stems all."""
+    counts = {i: Counter(stem(t) for t in tokens(x)) for i, x in texts.items()}
+    n, mean = len(counts), sum(c.total() for c in counts.values()) / max(1, len(counts))
+    out = {}
+    for i, c in counts.items():
+        score = 0.0
+        for s in sorted({stem(t) for t in tokens(query)}):
+            if c[s]:
+                df = sum(1 for o in counts.values() if o[s])
+                score += math.log(1 + (n - df + 0.5) / (df + 0.5)) * (c[s] * 2.2) / (c[s] + 1.2 * (0.25 + 0.75 * c.total() / mean))
+        if score > 0:
+            out[i] = score
+    return out
 
 
-def test_text_search(spark):
-    c = made(spark, [{"_id": "a", "t": "the quick moose runs"}, {"_id": "b", "t": "moo moo moo moo"}, {"_id": "c", "t": ["moo and lots", "of other words here"]}, {"_id": "d", "t": "a completely different topic"}, {"_id": "e", "t": 5}, {"_id": "f", "t": ""}])
+WORDS = "eyed eyes eye ies ties tied tying yes says say dyed dying flies fly yyy y s as is ed ing boat boats boating harbour quay 7 77 a-b İi".split()
+
+
+def test_text_search_equals_a_scan_that_stems_all(spark):
+    rng = random.Random(9)
+    texts = {f"t{i:02d}": " ".join(rng.choice(WORDS) for _ in range(rng.choice([0, 1, 3, 20]))) for i in range(60)}
+    c = made(spark, [{"_id": i, "x": t if rng.random() < 0.7 else t.split(" ")} for i, t in texts.items()] + [{"_id": "n1", "x": 4}, {"_id": "n2", "x": ["a", 1]}, {"_id": "n3"}])
     with pytest.raises(NoIndex):
-        c.text_search("t", "moo")
-    c.create_text_index("t")
-    assert [d["_id"] for d, _ in c.text_search("t", "moos")] == ["b", "c"] and c.text_search("t", "!!") == []
-    assert c.has_text_index("t") and c.text_index_names() == ["t"]
-    c.drop_text_index("t")
-    assert not c.has_text_index("t")
+        c.text_search("x", "boat")
+    c.create_text_index("x")
+    for query in ["eyed", "ies", "flies and ties", "yes", "y", "ED ing", "boat harbours quay 77", "!!", "", *WORDS[:12]]:
+        want = plain_bm25(texts, query)
+        got = {r["_id"]: r["score"] for r in c.text_scores("x", query).collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - s) < 1e-9 for i, s in want.items()), query
+    best = sorted(plain_bm25(texts, "boats").items(), key=lambda x: (-x[1], x[0]))
+    assert [d["_id"] for d, _ in c.text_search("x", "boating", 4)] == [i for i, _ in best[:4]]
+    c.insert({"_id": "new", "x": "boat " * 9})  # the index follows the snapshot
+    assert "new" in [d["_id"] for d, _ in c.text_search("x", "boat", 0)]
+    c.delete_many({"_id": {"$ne": "new"}})
+    assert [d["_id"] for d, _ in c.text_search("x", "boat")] == ["new"]
+    assert c.has_text_index("x") and c.text_index_names() == ["x"]
+    c.drop_text_index("x")
+    assert not c.has_text_index("x")
 
 
 def test_vector_and_hybrid_search(spark):
-    rows = [("alpha", "moo the alpha cow", [1, 0]), ("gamma", "moo the gamma cow", [1, 1]), ("beta", "just a horse", [0, 1])]
-    c = made(spark, [{"_id": i, "body": b, "embedding": e} for i, b, e in rows] + [{"_id": "delta", "body": "a zebra grazing"}])
+    rng = np.random.default_rng(3)
+    vectors = {f"v{i:02d}": [round(float(x), 2) for x in rng.normal(size=3)] for i in range(25)} | {"zero": [0.0, 0.0, 0.0], "ints": [1, 0, 0]}
+    texts = {i: " ".join(rng.choice(["kite", "kites", "wind", "sand"], 4)) for i in [*list(vectors)[:20], "only-text"]}
+    docs = [{"_id": i} | ({"e": vectors[i]} if i in vectors else {}) | ({"x": texts[i]} if i in texts else {}) for i in sorted({*vectors, *texts})]
+    c = made(spark, docs)
     with pytest.raises(NoIndex):
-        c.hybrid_search("body", "embedding", "moo", [1, 0])
-    c.create_text_index("body")
-    c.create_vector_index("embedding", 2)
-    hits = c.vector_search("embedding", [2, 0])
-    assert [d["_id"] for d, _ in hits] == ["alpha", "gamma", "beta"] and [round(s, 4) for _, s in hits] == [1.0, 0.7071, 0.0]
-    assert c.vector_search("embedding", [1, 0, 0]) == [] and len(c.vector_search("embedding", [0, 0], 0)) == 3 and len(c.vector_search("embedding", [1, 0], 1)) == 1
-    got = c.hybrid_search("body", "embedding", "moo", [1, 0])
-    assert [d["_id"] for d, _ in got] == ["alpha", "gamma", "beta"] and got[0][1] == pytest.approx(2 / 61) and got[2][1] == pytest.approx(1 / 63)
+        c.hybrid_search("x", "e", "kite", [1, 0, 0])
+    c.create_text_index("x")
+    c.create_vector_index("e", 3)
+    query = [0.2, -1.0, 0.4]
+    unit = lambda v: np.array(v) / (np.linalg.norm(v) or 1)
+    cosine = {i: float(unit(v) @ unit(query)) for i, v in vectors.items()}
+    order = sorted(cosine, key=lambda i: (-round(cosine[i], 6), i))
+    hits = c.vector_search("e", query, 0)
+    assert [d["_id"] for d, _ in hits] == order and all(abs(s - cosine[d["_id"]]) < 1e-6 for d, s in hits)
+    assert c.vector_search("e", [1.0, 0.0]) == [] and len(c.vector_search("e", [0, 0, 0], 0)) == 27 and [d["_id"] for d, _ in c.vector_search("e", query, 1)] == order[:1]
+    by_text = plain_bm25(texts, "kite wind")
+    ranks = [sorted(by_text, key=lambda i: (-by_text[i], i)), order]
+    fused = {i: sum(1 / (60 + r.index(i) + 1) for r in ranks if i in r) for i in {*by_text, *order}}
+    got = c.hybrid_search("x", "e", "kite wind", query, 0)
+    assert {d["_id"] for d, _ in got} == set(fused) and all(abs(s - fused[d["_id"]]) < 1e-12 for d, s in got)
+    assert [d["_id"] for d, _ in got] == sorted(fused, key=lambda i: (-round(fused[i], 12), i))
     with pytest.raises(VectorDimMismatch):
-        c.insert({"_id": "x", "embedding": [1, 2, 3]})
+        c.insert({"_id": "x", "e": [1, 2]})
     with pytest.raises(VectorDimMismatch):
-        c.update_one({"_id": "beta"}, {"$set": {"embedding": "no"}})
-    c.delete_one({"_id": "gamma"})
-    assert [d["_id"] for d, _ in c.vector_search("embedding", [1, 1])] == ["alpha", "beta"]
+        c.update_one({"_id": "v03"}, {"$set": {"e": "no"}})
+    c.delete_one({"_id": order[0]})
+    assert [d["_id"] for d, _ in c.vector_search("e", query, 3)] == order[1:4]
 
 
 def test_inserts(spark):
@@ -342,25 +442,55 @@ def test_batches(spark):
     assert len(c) == 3
 
 
+BOATS = drawn(8, 24, mast=[1, 2, 2.0, 3, None, MISSING, "none"], port=["Kiel", "Brest"])
+
+
 def test_indexes_and_stats(spark):
-    c = made(spark, [{"_id": "moo", "age": 4, "sound": "moo"}, {"_id": "bess", "age": 6, "sound": "baa"}, {"_id": "daisy", "age": 4.0, "sound": "moo"}])
-    c.create_index("age")
-    c.create_index("sound")
+    c = made(spark, BOATS)
+    c.create_index("mast")
+    c.create_index("port")
     c.create_index("_id")
-    assert c.index_names() == ["_id", "age", "sound"] and c.reindex() == 3
+    assert c.index_names() == ["_id", "mast", "port"] and c.reindex() == 3
     s = c.stats()
-    assert s["docs"] == 3 and s["indexes"] == 3 and {r["field"]: r["distinct"] for r in s["per_index"]} == {"_id": 3, "age": 2, "sound": 2}
+    different = {f: len({order_bytes(d.get(f)) for d in BOATS}) for f in ("_id", "mast", "port")}
+    assert s["docs"] == 24 and s["indexes"] == 3 and {r["field"]: r["distinct"] for r in s["per_index"]} == different
     assert s["total_memory"] == s["docs_memory"] + sum(r["memory"] for r in s["per_index"])
-    c.drop_index("age")
+    assert names(c.clustered("mast", 2).collect()) == names(in_order(BOATS, "mast"))
+    mast = c.index("mast")
+    assert len(mast) == 24 and not mast.is_empty() and mast.distinct() == different["mast"] and mast.memory_size() == 16 * 24
+    assert names(mast.iter().collect()) == names(in_order(BOATS, "mast"))
+    key = lambda d: order_bytes(d.get("mast"))
+    for v in (2, None, "none", 9):
+        want = sorted(d["_id"] for d in BOATS if key(d) == order_bytes(v))
+        assert sorted(names(mast.ids_equal(v).collect())) == want and mast.contains_value(v) == bool(want)
+    for low, high in ((1, 3), (None, 2), (2, "none"), (None, None), (3, 1)):
+        for a in (True, False):
+            for b in (True, False):
+                want = [d["_id"] for d in BOATS if (order_bytes(low) <= key(d) if a else order_bytes(low) < key(d)) and (key(d) <= order_bytes(high) if b else key(d) < order_bytes(high))]
+                assert sorted(names(mast.ids_range(low, high, a, b).collect())) == want, (low, high, a, b)
+    assert len(mast.ids_range(low_open=True, high_open=True).collect()) == 24 and sorted(names(mast.ids_range(low_open=True, high=2).collect())) == [d["_id"] for d in BOATS if key(d) < order_bytes(2)]
+    c.insert({"_id": "new", "mast": 9})
+    assert c.index("mast").contains_value(9)
+    c.drop_index("mast")
     with pytest.raises(PrimaryIndex):
         c.drop_index("_id")
-    with pytest.raises(NoIndex):
-        c.drop_index("age")
+    for act in (c.drop_index, c.index):
+        with pytest.raises(NoIndex):
+            act("mast")
     c.create_vector_index("v", 3)
     assert c.has_vector_index("v") and c.vector_index_names() == ["v"]
     c.drop_vector_index("v")
     c.drop_vector_index("v")
-    assert [r["_id"] for r in c.clustered("age", 2).collect()] == ["daisy", "moo", "bess"]
+
+
+def test_index_of_a_typed_column(spark):
+    c = Collection(spark, "t", spark.createDataFrame([(i, None if i % 5 == 0 else i % 7) for i in range(40)], "id long, v int"), "id")
+    c.create_index("v")
+    v = c.index("v")
+    assert sorted(names(v.ids_equal(3.0).collect())) == [i for i in range(40) if i % 5 and i % 7 == 3]
+    assert sorted(names(v.ids_equal(None).collect())) == list(range(0, 40, 5)) and v.distinct() == 8
+    assert sorted(names(v.ids_range(2, 4, True, True).collect())) == [i for i in range(40) if i % 5 and 2 <= i % 7 <= 4]
+    assert [r.v for r in v.iter().limit(9).collect()] == [None] * 8 + [0]
 
 
 def test_store_files_and_streams(spark, tmp_path):
@@ -394,6 +524,66 @@ def test_typed_updates_of_nested_columns(spark):
 
 def test_lineage_is_cut(spark):
     c = Collection(spark)
-    for i in range(18):
-        c.insert({"_id": f"{i:02d}", "v": i})
-    assert len(c) == 18 and c._writes == 18
+    scans = lambda: c.frame._jdf.queryExecution().optimizedPlan().toString().count("parquet")
+    for i in range(CHECKPOINT_EVERY - 1):
+        c.insert({"_id": f"{i:02d}", "v": i}) if i % 5 != 1 else c.update_many({"v": {"$lt": 3}}, {"$inc": {"w": 1}})
+    before = c.find().sort("v").to_list()
+    plan = c.frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan
+    c.insert({"_id": "last"})
+    plan = c.frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and scans() == 1 and c.version == CHECKPOINT_EVERY
+    assert {d["_id"]: d for d in c.find().to_list()} == {d["_id"]: d for d in [*before, {"_id": "last"}]}
+
+
+def test_writes_leave_nothing_persisted(spark):
+    c = made(spark, PARCELS)
+    c.update_many({"kg": {"$gt": 3}}, {"$set": {"seen": True}})
+    c.update_one({"route": "ring"}, {"$set": {"seen": False}})
+    assert c.count({"seen": {"$exists": True}}) > 0 and spark.sparkContext._jsc.getPersistentRDDs().size() == 0
+
+
+def test_a_batch_notices_writes_since_it_began(spark):
+    c = made(spark, [{"_id": "a", "n": 1}, {"_id": "b", "n": 2}])
+    t = c.begin()
+    t.update({"_id": "a"}, {"$inc": {"n": 1}})
+    c.update_one({"_id": "a"}, {"$set": {"n": 50}})
+    with pytest.raises(Conflict):
+        t.commit()
+    assert c.get("a")["n"] == 50
+    t = c.begin()
+    t.insert_many([{"_id": "c"}, {"n": 7}])
+    for bad in ([{"_id": "c"}], [{"_id": "e"}, {"_id": "e"}], [{"_id": "b"}]):
+        with pytest.raises(DuplicateId):
+            t.insert_many(bad)
+    with pytest.raises(DuplicateId):
+        t.commit()
+    assert len(c) == 2
+
+
+def test_typed_batches_without_collecting(spark):
+    c = Collection(spark, "t", spark.range(1000).selectExpr("id", "id % 10 AS v", "cast(null as string) AS s"), "id")
+    t = c.begin()
+    assert t.update({"v": {"$lt": 5}}, {"$inc": {"v": 100}}) == 500 and t.delete({"v": 3}) == 100 and t.update({"id": 13}, {"$set": {"s": "back"}}) == 1
+    t.replace({"id": 0}, {"s": "new"})
+    t.insert({"id": 5000, "v": 1, "s": None})
+    t.commit()
+    assert len(c) == 902 and c.get(13) == {"id": 13, "v": 3, "s": "back"} and c.get(0) == {"id": 0, "v": None, "s": "new"} and c.get(4)["v"] == 104 and c.get(5000)["v"] == 1 and c.get(23) is None
+    with pytest.raises(StoreError):
+        t.commit()
+
+
+def test_ids_differ_between_processes():
+    code = "from quarry.sources.backends import new_id; print(*[new_id() for _ in range(50)])"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    made_ids = [i for _ in range(2) for i in subprocess.run([sys.executable, "-c", code], cwd=root, check=True, capture_output=True, text=True, timeout=120).stdout.split()]
+    assert len(set(made_ids)) == 100 and all(len(i) == 24 and int(i, 16) for i in made_ids)
+
+
+def test_store_connects_and_closes(spark):
+    with Store.connect(spark) as store:
+        store.collection("c").insert({"_id": "a"})
+        assert store.collection("c").count() == 1
+    store.close()
+    with pytest.raises(StoreError):
+        store.collection("c")
