@@ -6,13 +6,13 @@ from collections import Counter
 from collections.abc import Iterator
 from typing import Any
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.stemmer import stem, tokens
+from quarry.operators.vector import best_of_each
 from quarry.storage import spread, written
 
 K1, B = 1.2, 0.75
@@ -94,7 +94,23 @@ class TextIndex:
         df = hits.groupBy("stem").agg(F.count(F.lit(1)).cast("double").alias("df"))
         idf = df.select("stem", F.log(F.lit(1.0) + (F.lit(float(self.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
         tf = F.col("tf").cast("double")
-        part = F.col("idf") * (tf * (K1 + 1.0)) / (tf + K1 * ((1.0 - B) + B * F.col("dl") / F.lit(float(np.float64(self.mean)))))
+        part = F.col("idf") * (tf * (K1 + 1.0)) / (tf + K1 * ((1.0 - B) + B * F.col("dl") / F.lit(float(self.mean))))
         parts = hits.join(F.broadcast(idf), "stem").select("_id", F.struct("stem", part.alias("part")).alias("p"))
         summed = F.aggregate(F.array_sort(F.collect_list("p")), F.lit(0.0), lambda s, x: s + x["part"])
         return parts.groupBy("_id").agg(summed.alias("score")).where("score > 0")
+
+    def scored_many(self, queries: list[str], limit: int) -> DataFrame:
+        """(query, _id, score): the best documents of each query by its number, ties by
+        id. The postings of all queries' stems are read once; what is broadcast is a row
+        for each query's stem."""
+        spark = self.postings.sparkSession
+        asked = [(k, s) for k, q in enumerate(queries) for s in query_stems(q)]
+        plan = spark.createDataFrame(asked, "query int, stem string")
+        hits = self.postings.where(F.col("stem").isin(sorted({s for _, s in asked})))
+        df = hits.groupBy("stem").agg(F.count(F.lit(1)).cast("double").alias("df"))
+        idf = df.select("stem", F.log(F.lit(1.0) + (F.lit(float(self.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+        tf = F.col("tf").cast("double")
+        part = F.col("idf") * (tf * (K1 + 1.0)) / (tf + K1 * ((1.0 - B) + B * F.col("dl") / F.lit(float(self.mean))))
+        parts = hits.join(F.broadcast(idf.join(F.broadcast(plan), "stem")), "stem").select("query", "_id", F.struct("stem", part.alias("part")).alias("p"))
+        summed = F.aggregate(F.array_sort(F.collect_list("p")), F.lit(0.0), lambda s, x: s + x["part"])
+        return best_of_each(parts.groupBy("query", "_id").agg(summed.alias("score")).where("score > 0"), limit)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
@@ -76,6 +77,29 @@ class VectorIndex:
         return self.units.select("_id", cosine("unit").alias("score"))
 
 
+    def scored_many(self, queries: list[list[float]], limit: int) -> DataFrame:
+        """(query, _id, score): the best vectors of each query by its number, ties by id.
+        Each batch is multiplied with all queries at once and keeps its best ones."""
+        good = [k for k, q in enumerate(queries) if len(q) == self.dim]
+        q = np.array([unit_query(queries[k]) for k in good], np.float32).reshape(-1, self.dim)
+        kind, dim = self.units.schema["_id"].dataType, self.dim
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                scores = b.column("unit").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) @ q.T
+                rows, which = np.nonzero(scores >= (np.partition(scores, -limit, axis=0)[-limit] if len(scores) > limit else -np.inf))  # ties stay
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(good, np.int32)[which]), b.column("_id").take(pa.array(rows)), pa.array(scores[rows, which])], ["query", "_id", "score"])
+
+        schema = T.StructType([T.StructField("query", T.IntegerType()), T.StructField("_id", kind), T.StructField("score", T.FloatType())])
+        return best_of_each(self.units.mapInArrow(best, schema), limit)
+
+
+def best_of_each(scores: DataFrame, limit: int) -> DataFrame:
+    """The best `limit` rows of each query of (query, _id, score), ties by id."""
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.asc("_id")))
+    return scores.withColumn("place", place).where(F.col("place") <= limit).drop("place")
+
+
 def top(scores: DataFrame, limit: int) -> DataFrame:
     """Best scores first, ties by id; limit 0 is all. A limit is a bounded heap per task."""
     df = scores.orderBy(F.desc("score"), F.asc("_id"))

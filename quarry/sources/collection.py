@@ -105,6 +105,14 @@ class Collection:
     def text_scores(self, field: str, query: str, limit: int = 0) -> DataFrame:
         return vector.top(self._texts(field).scored(query), limit)
 
+    def vector_scores_many(self, field: str, queries: list[list[float]], limit: int) -> DataFrame:
+        """(query, _id, score) of the best `limit` documents of each of many queries, in one job."""
+        return self._vectors(field).scored_many(queries, limit)
+
+    def text_scores_many(self, field: str, queries: list[str], limit: int) -> DataFrame:
+        """(query, _id, score) of the best `limit` documents of each of many queries, in one job."""
+        return self._texts(field).scored_many(queries, limit)
+
     def hybrid_scores(self, text_field: str, vector_field: str, query: str, query_vector: list[float], limit: int = 0) -> DataFrame:
         words, vectors = self._texts(text_field), self._vectors(vector_field)
         return vector.top(hybrid.fused(words.scored(query), vectors.scored(query_vector)), limit)
