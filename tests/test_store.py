@@ -342,6 +342,14 @@ def test_vector_and_hybrid_search(spark):
     hits = c.vector_search("e", query, 0)
     assert [d["_id"] for d, _ in hits] == order and all(abs(s - cosine[d["_id"]]) < 1e-6 for d, s in hits)
     assert c.vector_search("e", [1.0, 0.0]) == [] and len(c.vector_search("e", [0, 0, 0], 0)) == 27 and [d["_id"] for d, _ in c.vector_search("e", query, 1)] == order[:1]
+    many = {(r["query"], r["_id"]): r["score"] for r in c.vector_scores_many("e", [query, [1.0], [0, 1, 0]], 5).collect()}
+    assert {i for k, i in many if k == 0} == set(order[:5]) and not [k for k, _ in many if k == 1] and len([k for k, _ in many if k == 2]) == 5
+    asked = ["kite", "wind sand", "", "kites sand"]
+    many = {(r["query"], r["_id"]): r["score"] for r in c.text_scores_many("x", asked, 4).collect()}
+    for k, q in enumerate(asked):
+        want = plain_bm25(texts, q)
+        best = sorted(want, key=lambda i: (-want[i], i))[:4]
+        assert {i for x, i in many if x == k} == set(best) and all(abs(many[k, i] - want[i]) < 1e-9 for i in best)
     by_text = plain_bm25(texts, "kite wind")
     ranks = [sorted(by_text, key=lambda i: (-by_text[i], i)), order]
     fused = {i: sum(1 / (60 + r.index(i) + 1) for r in ranks if i in r) for i in {*by_text, *order}}
