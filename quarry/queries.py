@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from quarry.operators.query import Query
 from quarry.sources.backends import DYNAMIC, TypedBackend, with_doc
 from quarry.shipping import ship
-from quarry.sources.collection import Collection
-from quarry.storage import spread, written
+from quarry.sources.collection import Collection, Store, write_parquet
+from quarry.storage import shared_dir, spread, written
+from quarry.streaming.ingest import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -49,7 +50,7 @@ _filter("filter_and", "lineitem", "l_orderkey", {"$and": [{"l_returnflag": "A"},
 _filter("filter_or", "lineitem", "l_orderkey", {"$or": [{"l_quantity": {"$lt": 3}}, {"l_linenumber": 7}, 5]}, "lineitem WHERE l_quantity < 3 OR l_linenumber = 7", _L)
 _filter("filter_nested_logical", "lineitem", "l_orderkey", {"$or": [{"$and": [{"l_quantity": {"$gte": 45}}, {"$or": [{"l_returnflag": "R"}, {"l_linestatus": "F"}]}]}, {"$and": [{"l_linenumber": 2}, {"l_quantity": 1}]}]}, "lineitem WHERE (l_quantity >= 45 AND (l_returnflag = 'R' OR l_linestatus = 'F')) OR (l_linenumber = 2 AND l_quantity = 1)", _L)
 _filter("filter_not", "orders", _OK, {"o_totalprice": {"$not": {"$gte": 50000, "$lt": 400000}}}, "orders WHERE NOT (o_totalprice >= 50000 AND o_totalprice < 400000)", _O)
-_filter("filter_malformed", "orders", _OK, {"o_totalprice": {"$not": {"$bogus": 1}}, "$or": [{"o_orderstatus": {"$bogus": 1}}, {"o_orderstatus": {"$ne": "P"}}, {"o_custkey": {"$in": 7}}]}, "orders WHERE o_orderstatus <> 'P'", _O)
+_filter("filter_malformed", "orders", _OK, {"o_totalprice": {"$not": {"$bogus": 1}}, "$or": [{"$bogus": [{}]}, {"o_orderstatus": {"$bogus": 1}}, {"o_orderstatus": {"$ne": "P"}}, {"o_custkey": {"$in": 7}}]}, "orders WHERE o_orderstatus <> 'P'", _O)
 _filter("filter_cross_type", "orders", _OK, {"o_totalprice": {"$lt": "a string"}, "o_orderstatus": {"$gt": 5}, "o_custkey": {"$not": {"$gt": "a string"}}, "$or": [{"o_orderkey": {"$lt": 2**70}}, {"o_orderkey": "7"}]}, "orders", _O)
 
 
@@ -389,3 +390,65 @@ def _dynamic_update(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES["dyn_update"] = _dynamic_update
 SQL["dyn_update"] = f"SELECT id, CASE WHEN event_type = 'click' THEN k + 5 ELSE k END AS k, CASE WHEN event_type = 'click' THEN 'me' END AS seen, CASE WHEN event_type = 'click' THEN 1::BIGINT END AS n FROM {_DYN}"
+
+
+def _read_json(spark: SparkSession, d: str) -> DataFrame:
+    """Events as JSON lines in the shared folder, read as schemaless documents."""
+    e = _read(spark, d, "events")
+    line = F.to_json(F.struct(F.concat(F.lit("e"), "event_id").alias("_id"), "event_type", "value", "user_id"))
+    path = shared_dir(spark)
+    e.select(F.when(F.col("event_id") % 10 == 0, F.concat(line, F.lit("\n"))).otherwise(line)).write.text(path)
+    c = Store(spark).read_json("events", path)
+    doc = F.col("doc")
+    return c.find({"value": {"$gte": 20}, "event_type": {"$in": ["click", "view"]}}).frame().select("_id", F.try_variant_get(doc, "$.user_id", "bigint").alias("user_id"), F.try_variant_get(doc, "$.value", "double").alias("value"))
+
+
+QUERIES["read_json"] = _read_json
+SQL["read_json"] = "SELECT 'e' || event_id AS _id, user_id, value FROM events WHERE value >= 20 AND event_type IN ('click', 'view')"
+
+
+def _write_parquet(spark: SparkSession, d: str) -> DataFrame:
+    """A result to files, and the files as a collection."""
+    path = shared_dir(spark)
+    write_parquet(_find(_read(spark, d, "customer"), "c_custkey", {"c_acctbal": {"$gt": 5000}}).frame(), path)
+    return Store(spark).read_parquet("rich", path, "c_custkey").find({"c_mktsegment": {"$ne": "BUILDING"}}).frame().select(*_C.split(", "))
+
+
+QUERIES["write_parquet"] = _write_parquet
+SQL["write_parquet"] = f"{_CUSTOMERS} WHERE c_acctbal > 5000 AND c_mktsegment <> 'BUILDING'"
+
+
+def _stream(spark: SparkSession, d: str) -> DataFrame:
+    """A stream of files into a collection that has some of their rows already."""
+    customers = _read(spark, d, "customer")
+    path = shared_dir(spark)
+    customers.repartition(3).write.parquet(path)
+    c = Collection(spark, "customer", customers.where("c_custkey % 7 = 0").withColumn("c_mktsegment", F.lit("HAD")), "c_custkey")
+    ingest(spark.readStream.schema(customers.schema).option("maxFilesPerTrigger", 2).parquet(path), c, shared_dir(spark)).awaitTermination()
+    return c.frame.select(*_C.split(", "))
+
+
+QUERIES["stream_ingest"] = _stream
+SQL["stream_ingest"] = "SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'HAD' ELSE c_mktsegment END AS c_mktsegment, c_acctbal FROM customer"
+
+
+def _indexed(spark: SparkSession, d: str) -> DataFrame:
+    """A search by an indexed column, and the ids of a range of its values."""
+    c = Collection(spark, "orders", _read(spark, d, "orders"), _OK)
+    c.create_index("o_custkey")
+    found = c.find({"o_custkey": {"$gte": 20, "$lt": 40}, "o_orderstatus": {"$ne": "P"}}).frame().select("o_orderkey", F.lit("find").alias("by"))
+    return found.unionByName(c.index("o_custkey").ids_range(20, 40).select(F.col("_id").alias("o_orderkey"), F.lit("range").alias("by")))
+
+
+QUERIES["index_range"] = _indexed
+SQL["index_range"] = "SELECT o_orderkey, 'find' AS by FROM orders WHERE o_custkey >= 20 AND o_custkey < 40 AND o_orderstatus <> 'P' UNION ALL SELECT o_orderkey, 'range' FROM orders WHERE o_custkey >= 20 AND o_custkey < 40"
+
+
+def _missing(spark: SparkSession, d: str) -> DataFrame:
+    """What a collection that nobody made answers."""
+    c = Store(spark).collection("none")
+    return spark.createDataFrame([(c.count(), c.exists(), len(c.find().to_list()), len(c.find().group("x").agg("count")), c.stats()["docs"])], "n long, found boolean, listed long, groups long, docs long")
+
+
+QUERIES["missing_collection"] = _missing
+SQL["missing_collection"] = "SELECT 0::BIGINT AS n, false AS found, 0::BIGINT AS listed, 0::BIGINT AS groups, 0::BIGINT AS docs"

@@ -52,7 +52,16 @@ class Collection:
     # Reads
 
     def find(self, query: Any = None) -> Query:
-        return Query(self.frame, self.backend, {} if query is None else query)
+        return Query(self._source(query), self.backend, {} if query is None else query)
+
+    def _source(self, query: Any) -> DataFrame:
+        """The snapshot, or its copy in ranges of an indexed column that the filter names,
+        whose files and row groups Parquet's statistics then skip."""
+        named = [f for f in query if f in self._value_indexes and f in self.frame.columns] if isinstance(query, dict) and not self.backend.dynamic else []
+        if not named:
+            return self.frame
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return self._index("clustered", named[0], lambda: written(self.clustered(named[0], parts)))
 
     def find_one(self, query: Any = None) -> dict | None:
         return self.find(query).first()
@@ -280,6 +289,8 @@ class Collection:
     # Indexes and figures
 
     def create_index(self, field: str) -> None:
+        """An index of values and ids; of a typed column also a copy of the rows in ranges
+        of it, which searches that name the column read. Both are made on first use."""
         if field != self.backend.key:
             self._value_indexes.add(field)
 
@@ -296,6 +307,7 @@ class Collection:
             raise NoIndex(f"no index on {field!r}")
         self._value_indexes.discard(field)
         self._built.pop(("value", field), None)
+        self._built.pop(("clustered", field), None)
 
     def index_names(self) -> list[str]:
         return sorted({self.backend.key, *self._value_indexes})
@@ -409,8 +421,9 @@ class Store:
     def read_json(self, name: str, path: str, id_field: str = "_id") -> Collection:
         """Schemaless documents of a JSON-lines file, ids from a string field."""
         lines = self.spark.read.text(path).where("trim(value) <> ''")
-        doc = F.parse_json("value")
-        rows = lines.select(F.try_variant_get(doc, f"$['{id_field}']", "string").alias("_id"), F.monotonically_increasing_id().alias("seq"), F.col("value").alias("json"))
+        # A filter on ids may come before that on blank lines, so these are no JSON by themselves.
+        line = F.when(F.trim("value") != "", F.col("value"))
+        rows = lines.select(F.try_variant_get(F.parse_json(line), f"$['{id_field}']", "string").alias("_id"), F.monotonically_increasing_id().alias("seq"), line.alias("json"))
         c = Collection(self.spark, name)
         c.insert_frame(with_doc(rows))
         with self._lock:
