@@ -27,6 +27,10 @@ def made(spark, docs, name="c"):
     return c
 
 
+def ids_of(query):
+    return sorted(d["id"] for d in query.to_list())
+
+
 def ids(query):
     return [d["_id"] for d in query.to_list()]
 
@@ -499,6 +503,9 @@ def test_index_of_a_typed_column(spark):
     assert sorted(names(v.ids_equal(None).collect())) == list(range(0, 40, 5)) and v.distinct() == 8
     assert sorted(names(v.ids_range(2, 4, True, True).collect())) == [i for i in range(40) if i % 5 and 2 <= i % 7 <= 4]
     assert [r.v for r in v.iter().limit(9).collect()] == [None] * 8 + [0]
+    assert ids_of(c.find({"v": {"$gte": 5}})) == [i for i in range(40) if i % 5 and i % 7 >= 5] and c.find({"v": 3}).source is not c.frame and c.find({"id": 3}).source is c.frame
+    c.update_one({"id": 3}, {"$set": {"v": 50}})
+    assert ids_of(c.find({"v": {"$gt": 40}})) == [3]
 
 
 def test_store_files_and_streams(spark, tmp_path):
