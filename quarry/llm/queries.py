@@ -109,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 SQL: dict[str, str] = {
     "op4_secret_scan": sql.secrets_sql(),
+    "op5_itq_near_dedup": sql.VECTORS,
     "op6_parity_join": sql.JACCARD,
     "op7_warc_zip": sql.WARC,
     "op10_quality_rules": sql.rules_sql(),

@@ -24,6 +24,19 @@ reach(doc_id, root) AS (
 SELECT doc_id, n::BIGINT AS n_shingles, component_id FROM sizes JOIN (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id)
 """
 
+#: All pairs. The query finds its candidates by tables of keys, which on few rows are one list: there the two are equal.
+VECTORS = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND CASE WHEN len(x.e) = len(y.e) THEN list_cosine_similarity(x.e, y.e) >= 0.95 ELSE false END),
+reach(vec_id, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT b, root FROM reach JOIN links ON a = vec_id),
+roots AS (SELECT vec_id, min(root) AS component_id FROM reach GROUP BY vec_id),
+degree AS (SELECT a AS vec_id, count(*)::BIGINT AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM roots LEFT JOIN degree USING (vec_id)
+"""
+
 WARC = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS hex, max(page_id) OVER (PARTITION BY html) AS top FROM p),

@@ -10,7 +10,7 @@ from quarry.llm.queries import QUERIES, SQL
 def test_equals_sql(spark, sf, name):
     d = sf.replace("0.001", "0.01") if name != "op6_parity_join" else sf
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{d}/{t}.parquet')")
     rel = con.execute(SQL[name])
     names = [x[0] for x in rel.description]
@@ -39,3 +39,16 @@ def test_rules_equal_sql_where_cutoffs_exist(spark, tmp_path):
     kept = {r.doc_id: (r.base_failed, r.kept) for r in got}
     assert all(kept[i] == (False, False) for i, *_ in bad)  # by a cutoff, not by the base rule
     assert all(kept[i] == (False, True) for i, *_ in good + few)
+
+
+def test_vectors_equal_sql_where_links_exist(spark, tmp_path):
+    d = str(tmp_path)
+    rows = [(i, [float(i % 7 + 1), float(i % 5), 0.02 * (i % 3)], 0) for i in range(120)] + [(500, None, 0), (501, [0.0, 0.0, 0.0], 0), (502, [1.0, float("nan"), 0.0], 0), (503, [1.0, 2.0], 0), (504, [2.0, 4.0], 0)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{d}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{d}/embeddings.parquet/*.parquet')")
+    rel = con.execute(SQL["op5_itq_near_dedup"])
+    names = [x[0] for x in rel.description]
+    want = sorted(rel.fetchall())
+    assert sum(r[names.index("n_links")] for r in want) > 100 and len({r[names.index("component_id")] for r in want}) > 5
+    assert sorted(map(tuple, QUERIES["op5_itq_near_dedup"](spark, d).select(*names).collect())) == want
