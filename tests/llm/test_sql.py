@@ -1,5 +1,7 @@
 """Queries of the operators that SQL can express against DuckDB."""
 
+import math
+
 import duckdb
 import pytest
 
@@ -43,7 +45,8 @@ def test_rules_equal_sql_where_cutoffs_exist(spark, tmp_path):
 
 def test_vectors_equal_sql_where_links_exist(spark, tmp_path):
     d = str(tmp_path)
-    rows = [(i, [float(i % 7 + 1), float(i % 5), 0.02 * (i % 3)], 0) for i in range(120)] + [(500, None, 0), (501, [0.0, 0.0, 0.0], 0), (502, [1.0, float("nan"), 0.0], 0), (503, [1.0, 2.0], 0), (504, [2.0, 4.0], 0)]
+    at = [math.radians(25 * (i % 9) + i % 3) for i in range(120)]  # 18 degrees and less are linked
+    rows = [(i, [math.cos(a), math.sin(a), 0.02 * (i % 4)], 0) for i, a in enumerate(at)] + [(500, None, 0), (501, [0.0, 0.0, 0.0], 0), (502, [1.0, float("nan"), 0.0], 0), (503, [1.0, 2.0], 0), (504, [2.0, 4.0], 0)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{d}/embeddings.parquet")
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{d}/embeddings.parquet/*.parquet')")
