@@ -73,7 +73,9 @@ class Transaction:
         ids = [d[self.backend.key] for d in docs]
         if len(set(ids)) < len(ids) or any(i in self._new for i in ids):
             self._fail(DuplicateId("an id occurs twice in the batch"))
-        if ids and not self.snapshot.where(self.backend.id().isin(ids)).isEmpty():
+        key = self.backend.key
+        mine = self.collection.spark.createDataFrame([(i,) for i in ids], f"`{key}` {dict(self.snapshot.dtypes)[key]}")
+        if ids and not self.snapshot.select(key).join(mine, key, "left_semi").isEmpty():
             self._fail(DuplicateId("an id exists already"))
         self._new |= dict(zip(ids, docs, strict=True))
         return ids
