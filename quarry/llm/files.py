@@ -41,6 +41,9 @@ class Whole:
     def __exit__(self, kind, *_) -> None:
         self.out.close()
         if kind is None:
+            # What an earlier run of the task left goes first: not every store renames over a file.
+            if self.fs.get_file_info(self.path).type != fs.FileType.NotFound:
+                self.fs.delete_file(self.path)
             self.fs.move(self.own, self.path)
         else:
             self.fs.delete_file(self.own)

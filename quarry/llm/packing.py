@@ -119,7 +119,7 @@ def pack(docs: DataFrame, length: str, capacities: tuple[int, ...] = CAPACITIES,
     group large, nor do the many pieces of a long text."""
     ship(docs.sparkSession)
     top = max(capacities)
-    rows = written(docs.select("doc_id", F.greatest(F.col(length), F.lit(1)).cast("long").alias("n")).withColumn("row", F.monotonically_increasing_id()))
+    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.greatest(F.col(length), F.lit(1)).cast("long").alias("n")).withColumn("row", F.monotonically_increasing_id()))
     many = rows.agg(F.sum(F.expr(f"(n - 1) div {top} + 1"))).first()[0] or 0
     groups = max(1, math.ceil(many / group_docs))
     # A piece per full bin and one for the rest; a very long document's pieces may lie in several groups.

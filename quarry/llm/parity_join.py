@@ -247,7 +247,7 @@ class Join:
     """The stages of one join, each on tables in the shared folder."""
 
     def __init__(self, docs: DataFrame, percent: int = PERCENT) -> None:
-        self.docs, self.percent = docs.select("doc_id", "text"), percent
+        self.docs, self.percent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), percent
         self.spark = docs.sparkSession
         small_batches(self.spark)
         self.key = key = fresh_key()

@@ -186,6 +186,13 @@ def test_lowest_is_what_sorting_gives(spark):
     assert [r.id for r in got.collect()] == want and shared.lowest(df.limit(0), F.xxhash64("id"), 5, "id").count() == 0
 
 
+def test_ids_of_a_narrower_type(spark):
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base[:30] + [f"x{i}"] + base[30:])) for i in range(4)] + [(9, "alone here")]
+    got = pj.near_duplicates(spark.createDataFrame(rows, "doc_id int, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows) and brute(rows)[3][2] == 0
+
+
 def test_empty_table(spark):
     assert pj.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -113,6 +113,13 @@ def test_failed_writer_leaves_nothing(tmp_path):
     assert os.listdir(tmp_path) == []
 
 
+def test_a_task_that_runs_twice_leaves_one_file(tmp_path):
+    for data in (b"first", b"second"):
+        with Whole(f"{tmp_path}/c") as w:
+            w.write(data)
+    assert os.listdir(tmp_path) == ["c"] and (tmp_path / "c").read_bytes() == b"second"
+
+
 def check_bins(rows, caps):
     bins = {}
     for r in rows:
@@ -211,4 +218,5 @@ def test_packing_edges(spark):
     assert sum(r.length for r in got) == 10000 + 1 + 1 + 4096 + 1 + 30000
     assert sorted((r.piece, r.start, r.length) for r in got if r.doc_id == 1) == [(0, 0, 4096), (1, 4096, 4096), (2, 8192, 1808)]
     assert packing.pack(df.limit(0), "n").count() == 0
+    assert packing.pack(df.selectExpr("cast(doc_id as int) AS doc_id", "n"), "n").count() == len(got)
     assert packing.sequences(packing.pack(df, "n")).agg({"capacity": "sum"}).first()[0] >= 34099
