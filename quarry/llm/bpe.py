@@ -177,10 +177,16 @@ def merged(v: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return index.symbol[index.live], np.add.reduceat(index.live.astype(np.int64), starts)
 
 
-def by_index(v: Vocabulary) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
-    """An encoder of distinct chunks: their ids one after another, and how many each has."""
+#: Encodes distinct chunks, given without the spaces before them and with which of them
+#: have one: their ids one after another, and how many each has.
+ChunkEncoder = Callable[[pa.Array, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
-    def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+
+def by_index(v: Vocabulary) -> ChunkEncoder:
+    """An encoder by the pair occurrence index."""
+
+    def encode(strings: pa.Array, spaced: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        chunks = [" " + s if f else s for s, f in zip(strings.to_pylist(), spaced.tolist(), strict=True)]
         pieces: dict[str, int] = {}
         order: list[int] = []  # a piece's number, or -1 - id of a special token
         counts = np.zeros(len(chunks), np.int64)
@@ -222,11 +228,11 @@ def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, order: n
 class Encoded:
     """Texts as runs of distinct chunks, each of which is encoded once.
 
-    encode gives the ids of distinct chunks one after another and how many each
-    has. What is kept is a number per chunk of the texts; ids of whole texts are
+    A chunk after a space has that space, no white space beside it and none but
+    line ends at its own end. What is kept is a number per chunk of the texts; ids of whole texts are
     made for PART_CHUNKS chunks at a time."""
 
-    def __init__(self, texts: pa.Array, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> None:
+    def __init__(self, texts: pa.Array, encode: ChunkEncoder) -> None:
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
         texts = pc.fill_null(texts, "")
@@ -246,13 +252,12 @@ class Encoded:
         variant = parts.indices.to_numpy(zero_copy_only=False) * 2
         variant[self.edges[:-1]] += 1  # the first chunk of a text has no space before it
         used = np.flatnonzero(np.bincount(variant)) if len(variant) else np.zeros(0, np.int64)
-        strings = parts.dictionary.take(pa.array(used // 2)).to_pylist()
-        chunks = [s if f else " " + s for s, f in zip(strings, (used % 2).tolist(), strict=True)]
+        strings = parts.dictionary.take(pa.array(used // 2))
         number = np.zeros((int(used[-1]) + 1) if len(used) else 0, np.int32)
         number[used] = np.arange(len(used), dtype=np.int32)
         self.chunk = number[variant]
-        del parts, variant, number, strings
-        self.ids, self.lengths = encode(chunks)
+        del parts, variant, number
+        self.ids, self.lengths = encode(strings, used % 2 == 0)
         self.starts = np.cumsum(self.lengths) - self.lengths
 
     def parts(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -265,7 +270,7 @@ class Encoded:
             i = j
 
 
-def encode_all(texts: pa.Array, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+def encode_all(texts: pa.Array, encode: ChunkEncoder) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after another and the edges between them, in the order of the texts."""
     found: dict[int, np.ndarray] = {}
     for which, ids, at in Encoded(texts, encode).parts():

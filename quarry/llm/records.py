@@ -29,6 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -87,8 +88,9 @@ class LibraryEncoder:
     """Encodes distinct chunks of texts with the tokenizers library. Files whose
     settings would make a chunk's tokens depend on its neighbours are refused.
 
-    Chunks that begin with a space are put together to strings, as they would stand
-    in a text; where each one's ids end follows from the tokens' lengths in bytes."""
+    Chunks after a space are put together to strings, as they would stand in a text;
+    where each one's ids end follows from the tokens' lengths in bytes. Texts that are
+    a chunk as they are, with any white space at their ends, are encoded alone."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -105,32 +107,32 @@ class LibraryEncoder:
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.kind) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, strings: pa.Array, spaced: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        inner, outer = np.flatnonzero(spaced), np.flatnonzero(~spaced)
         found: list[np.ndarray] = [np.zeros(0, self.kind)]
-        lengths = np.zeros(len(chunks), np.int64)
-        inner = [k for k, c in enumerate(chunks) if c[:1] == " "]
-        outer = [k for k, c in enumerate(chunks) if c[:1] != " "]
-        order = np.array(inner + outer, np.int64)
-        for i in range(0, len(inner), CHUNKS):
-            own = inner[i : i + CHUNKS]
-            text = "".join([chunks[k] for k in own])
-            ids = self.ids([text])[0]
-            ends = np.cumsum([len(chunks[k].encode()) for k in own]) if not text.isascii() else np.cumsum([len(chunks[k]) for k in own])
-            at = np.cumsum(self.size[ids])
+        counts = [np.zeros(0, np.int64)]
+        own = strings.take(pa.array(inner))
+        bytes_of = pc.binary_length(own).to_numpy(zero_copy_only=False).astype(np.int64) + 1  # with the space
+        edges = np.append(np.arange(0, len(inner), CHUNKS), len(inner)).astype(np.int32)
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(edges), own), " ") if len(inner) else []
+        for i, j, text in zip(edges[:-1].tolist(), edges[1:].tolist(), joined, strict=False):
+            ids = self.ids([" " + text.as_py()])[0]
+            at, ends = np.cumsum(self.size[ids]), np.cumsum(bytes_of[i:j])
             cut = np.searchsorted(at, ends) + 1
             if (at[cut - 1] != ends).any():
                 raise ValueError("a token reaches over the end of a chunk")
-            lengths[own] = np.diff(cut, prepend=0)
+            counts.append(np.diff(cut, prepend=0))
             found.append(ids)
-        for i in range(0, len(outer), CHUNKS):
-            some = self.ids([chunks[k] for k in outer[i : i + CHUNKS]])
-            lengths[outer[i : i + CHUNKS]] = [len(x) for x in some]
+        alone = strings.take(pa.array(outer)).to_pylist()
+        for i in range(0, len(alone), CHUNKS):
+            some = self.ids(alone[i : i + CHUNKS])
+            counts.append(np.array([len(x) for x in some], np.int64))
             found += some
         # Back to the order of the chunks.
-        n = lengths[order]
-        starts = np.empty(len(chunks), np.int64)
-        starts[order] = np.cumsum(n) - n
-        return gather(np.concatenate(found), starts, lengths, np.arange(len(chunks)))[0], lengths
+        n, order = np.concatenate(counts), np.concatenate([inner, outer])
+        lengths, starts = np.empty(len(n), np.int64), np.empty(len(n), np.int64)
+        lengths[order], starts[order] = n, np.cumsum(n) - n
+        return gather(np.concatenate(found), starts, lengths, np.arange(len(n)))[0], lengths
 
 
 @lru_cache(maxsize=2)

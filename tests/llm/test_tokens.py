@@ -39,6 +39,16 @@ def test_encoders_equal_the_library(tok, texts, own):
         assert ids[at[k] : at[k + 1]].tolist() == tok.encode(t or "", add_special_tokens=False).ids, (t or "")[:50]
 
 
+@pytest.mark.parametrize("own", [True, False])
+def test_white_ends_of_texts_do_not_meet(tok, own):
+    """Texts that begin and end with white space, of which tokens of two texts together could be made."""
+    encode = bpe.by_index(bpe.vocabulary(PATH)) if own else records.library_encoder(PATH)
+    for texts in ([" \u00a0", " \u00a0 \u00a0"], [" \u00a0 \u00a0 \u00a0", " \u00a0", "\u00a0 x", " \n", "  "], ["  x  ", "   y", " a\n", "  b", "c d\n", "e f"], [], [""], [None], ["one"]):
+        ids, at = bpe.encode_all(pa.array(texts, pa.string()), encode)
+        for k, t in enumerate(texts):
+            assert ids[at[k] : at[k + 1]].tolist() == tok.encode(t or "", add_special_tokens=False).ids, t
+
+
 def test_random_bytes_merge_as_the_library(tok):
     rng = np.random.default_rng(1)
     texts = ["".join(rng.choice(list("abté .\n'"), 300)) for _ in range(60)]
