@@ -44,8 +44,8 @@ _BODY = struct.Struct("<?qQB")
 ENTRY = np.dtype([("null", "<u1"), ("doc_id", "<i8"), ("offset", "<u8"), ("length", "<u8"), ("tokens", "<u8")])
 WIDE, NARROW = 4, 2
 READ_BYTES = 8 << 20
-#: Chunks that the library encodes at a time.
-CHUNKS = 1 << 12
+#: Chunks that the library encodes at a time; longer strings cost it more a byte.
+CHUNKS = 1 << 10
 #: Bytes of text expected in a file; on little data a file for each core has at least LEAST_BYTES.
 PART_BYTES, LEAST_BYTES = 64 << 20, 4 << 20
 #: Rows sampled for the edges between files, about; a few MB on the driver.
