@@ -33,7 +33,7 @@ PART_CHUNKS = 1 << 18
 #: Fixed value: the pieces of byte-level BPE that merges don't cross.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WHITE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-#: Texts with a space at an end or beside other white space are not cut into chunks.
+#: Texts with a space at an end or beside other white space have spaces at which they are not cut.
 UNSAFE = f" {_WHITE}|{_WHITE} |^ | $"
 
 
@@ -225,28 +225,43 @@ def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, order: n
     return values[np.repeat(starts[order] - edges[:-1], n) + np.arange(edges[-1])], edges
 
 
+def at_spaces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The texts cut at every space: their parts one after another, and how many each has."""
+    cut = pc.split_pattern(texts, " ")
+    return cut.flatten(), pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def at_single_spaces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """As at_spaces(), but only where no white space is on either side, nor an end of the text."""
+    values, counts = at_spaces(texts)
+    first = np.cumsum(counts) - counts
+    white_end = pc.match_substring_regex(values, _WHITE + r"\z|^\z").to_numpy(zero_copy_only=False)
+    white_start = pc.match_substring_regex(values, f"^{_WHITE}|" + r"^\z").to_numpy(zero_copy_only=False)
+    begins = np.append(True, ~white_end[:-1] & ~white_start[1:])
+    begins[first] = True
+    edges = np.append(np.flatnonzero(begins), len(values)).astype(np.int32)
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(edges), values), " "), np.add.reduceat(begins.astype(np.int64), first)
+
+
 class Encoded:
     """Texts as runs of distinct chunks, each of which is encoded once.
 
-    A chunk after a space has that space, no white space beside it and none but
-    line ends at its own end. What is kept is a number per chunk of the texts; ids of whole texts are
+    A chunk after a space has that space and goes on with another character. What is kept is a number per chunk of the texts; ids of whole texts are
     made for PART_CHUNKS chunks at a time."""
 
     def __init__(self, texts: pa.Array, encode: ChunkEncoder) -> None:
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
         texts = pc.fill_null(texts, "")
-        whole = pc.match_substring_regex(texts, UNSAFE).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, UNSAFE).to_numpy(zero_copy_only=False)
         #: Numbers of the texts in the order in which parts() gives them.
-        self.order = np.concatenate([np.flatnonzero(~whole), np.flatnonzero(whole)])
-        n_whole = int(whole.sum())
-        cut = pc.split_pattern(texts.filter(pa.array(~whole)) if n_whole else texts, " ")
-        counts = np.append(pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64), np.ones(n_whole, np.int64))
-        values = cut.flatten()
-        if n_whole:
-            values = pa.concat_arrays([values, texts.filter(pa.array(whole))])
+        self.order = np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])
+        values, counts = at_spaces(texts.filter(pa.array(~odd)) if odd.any() else texts)
+        if odd.any():
+            more, n = at_single_spaces(texts.filter(pa.array(odd)))
+            values, counts = pa.concat_arrays([values, more]), np.append(counts, n)
         parts = values.dictionary_encode()
-        del cut, values
+        del values
         #: Where each text's chunks begin.
         self.edges = np.append(0, np.cumsum(counts))
         variant = parts.indices.to_numpy(zero_copy_only=False) * 2

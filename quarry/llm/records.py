@@ -89,8 +89,8 @@ class LibraryEncoder:
     settings would make a chunk's tokens depend on its neighbours are refused.
 
     Chunks after a space are put together to strings, as they would stand in a text;
-    where each one's ids end follows from the tokens' lengths in bytes. Texts that are
-    a chunk as they are, with any white space at their ends, are encoded alone."""
+    where each one's ids end follows from the tokens' lengths in bytes. The first ones
+    of texts, which may begin with any white space, are encoded alone."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer

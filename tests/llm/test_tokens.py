@@ -49,6 +49,22 @@ def test_white_ends_of_texts_do_not_meet(tok, own):
             assert ids[at[k] : at[k + 1]].tolist() == tok.encode(t or "", add_special_tokens=False).ids, t
 
 
+def test_white_space_of_all_kinds(tok):
+    rng = np.random.default_rng(2)
+    letters = [*"ab. ", " ", " ", "\n", "\t", "\u00a0", "\u2003", "\x1c", "\x85", "\u200b", "\u180e", "é", "7", "<|endoftext|>"]
+    texts = ["".join(rng.choice(letters, rng.integers(0, 40))) for _ in range(800)]
+    for encode in (bpe.by_index(bpe.vocabulary(PATH)), records.library_encoder(PATH)):
+        ids, at = bpe.encode_all(pa.array(texts, pa.string()), encode)
+        for k, t in enumerate(texts):
+            assert ids[at[k] : at[k + 1]].tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_long_text_is_cut_beside_odd_white_space():
+    """A double space doesn't make one unit of the whole text."""
+    chunks, counts = bpe.at_single_spaces(pa.array([" a b  c\n d e ", "x" + " y" * 1000 + "  ", ""]))
+    assert chunks.to_pylist()[:3] == [" a", "b  c\n d", "e "] and counts.tolist() == [3, 1001, 1]
+
+
 def test_random_bytes_merge_as_the_library(tok):
     rng = np.random.default_rng(1)
     texts = ["".join(rng.choice(list("abté .\n'"), 300)) for _ in range(60)]
