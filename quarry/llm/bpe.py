@@ -246,8 +246,9 @@ def at_single_spaces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 class Encoded:
     """Texts as runs of distinct chunks, each of which is encoded once.
 
-    A chunk after a space has that space and goes on with another character. What is kept is a number per chunk of the texts; ids of whole texts are
-    made for PART_CHUNKS chunks at a time."""
+    A chunk after a space has that space and goes on with another character. What is
+    kept is a number per chunk of the texts; ids of whole texts are made for
+    PART_CHUNKS chunks at a time."""
 
     def __init__(self, texts: pa.Array, encode: ChunkEncoder) -> None:
         if isinstance(texts, pa.ChunkedArray):
